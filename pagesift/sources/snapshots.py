@@ -1,0 +1,47 @@
+"""Mutable tables on plain parquet: every change writes a new version folder.
+
+Readers use the newest version that finished (its ``_SUCCESS`` marker exists), so a
+job that dies half-way leaves the table as it was. One writer at a time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def _versions(spark: SparkSession, root: str) -> tuple[list[int], int]:
+    """Finished versions, and the first number no writer has used yet."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return [], 0
+    used, finished = [], []
+    for entry in fs.listStatus(path):
+        name = entry.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit():
+            used.append(int(name[1:]))
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+                finished.append(int(name[1:]))
+    return sorted(finished), max(used, default=-1) + 1
+
+
+def save_snapshot(df: DataFrame, root: str) -> int:
+    """Write ``df`` as the next version of the table; it may be derived from the current one."""
+    _, number = _versions(df.sparkSession, root)
+    df.write.parquet(f"{root}/v{number:08d}")
+    return number
+
+
+def load_snapshot(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Newest finished version, or an empty table when there is none."""
+    finished, _ = _versions(spark, root)
+    if not finished:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/v{finished[-1]:08d}")
+
+
+def reset_snapshot(spark: SparkSession, root: str, schema: T.StructType) -> int:
+    """Empty the table."""
+    return save_snapshot(spark.createDataFrame([], schema).coalesce(1), root)
