@@ -70,14 +70,23 @@ lk AS (
   SELECT page_id, CAST(pos AS INTEGER) AS pos, parent, {canon_sql("full_url")} AS url
   FROM (SELECT page_id, pos, parent, regexp_extract(parent, '^[^/]*//[^/]*') || href AS full_url FROM hrefs))"""
 
-_LINE = "trim(regexp_replace(replace(regexp_replace(s, '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+def unescape_sql(text: str) -> str:
+    for entity, char in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "''", "&#39;": "''", "&amp;": "&"}.items():
+        text = f"replace({text}, '{entity}', '{char}')"
+    return text
+
+
+def line_sql(text: str) -> str:
+    return f"trim(regexp_replace({unescape_sql(text)}, '\\s+', ' ', 'g'))"
+
+
 SQL_CONTENT = f"""
 body_lines AS (
   SELECT page_id, {canon_sql("url")} AS url,
-    trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+    {line_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
     list_filter(list_transform(
       regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>|<br>'),
-      lambda s: {_LINE}), lambda s: s <> '') AS lines,
+      lambda s: {line_sql("regexp_replace(s, '<[^>]*>', '', 'g')")}), lambda s: s <> '') AS lines,
     len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_hrefs
   FROM pages),
 ap AS (

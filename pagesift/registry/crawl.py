@@ -226,7 +226,7 @@ _SITE = "https://corpus.example.com"
         UNION ALL SELECT page_id, page_id * 2 + 2 FROM pages) e ON e.src = reach.page_id WHERE e.dst IN (SELECT page_id FROM pages)),
     own AS (SELECT page_id, unnest(found) AS href, unnest(range(len(found))) AS pos FROM (
         SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS found FROM pages)),
-    tree AS (SELECT page_id, pos + 1000000 AS pos, '/p/' || (page_id * 2 + 1 + pos) AS href FROM pages, (VALUES (0), (1)) AS v(pos)),
+    tree AS (SELECT page_id, '/p/' || (page_id * 2 + 1 + pos) AS href, pos + 1000000 AS pos FROM pages, (VALUES (0), (1)) AS v(pos)),
     lk AS (SELECT r + 1 AS enqueue_round, page_id, pos, CASE WHEN page_id = 0 THEN '{_SITE}' ELSE '{_SITE}/p/' || page_id END AS parent,
              {canon_sql(f"('{_SITE}' || href)")} AS url
            FROM (SELECT * FROM own UNION ALL SELECT * FROM tree) JOIN reach USING (page_id)),

@@ -53,7 +53,7 @@ def stream_rate(spark, sf):
 _KINDS = {"view": "discover", "click": "take", "error": "retry", "purchase": "done", "signup": "recover"}
 _KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " END"
 _URL_EVENTS_SQL = f"""ue AS (SELECT 'https://site.example.com/' || user_id AS url, ts, event_id AS seq, {_KIND_SQL} AS kind,
-  'w' || (event_id % 20) AS worker_id, epoch_ms(ts) + CAST(value * 3600000 AS BIGINT) AS retry_at,
+  'w' || (event_id % 20) AS worker_id, (epoch_us(ts) // 1000) + CAST(round(value * 3600000) AS BIGINT) AS retry_at,
   'https://site.example.com/' || (user_id // 2) AS parent FROM events)"""
 
 
@@ -72,7 +72,7 @@ def url_events(events: DataFrame) -> DataFrame:
     )
 
 
-_LAST_SQL = f"""{_URL_EVENTS_SQL}, wm AS (SELECT epoch_ms(max(ts)) - 600000 AS wm FROM events),
+_LAST_SQL = f"""{_URL_EVENTS_SQL}, wm AS (SELECT (epoch_us(max(ts)) // 1000) - 600000 AS wm FROM events),
 newest AS (SELECT * FROM ue QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, seq DESC) = 1)"""
 
 
@@ -83,7 +83,7 @@ def stream_retry(spark, sf):
 
 @query(
     "stream_reaper",
-    f"WITH {_LAST_SQL} SELECT url, epoch_ms(ts) + 15000 AS stale_at FROM newest, wm WHERE kind = 'take' AND epoch_ms(ts) + 15000 <= wm",
+    f"WITH {_LAST_SQL} SELECT url, (epoch_us(ts) // 1000) + 15000 AS stale_at FROM newest, wm WHERE kind = 'take' AND (epoch_us(ts) // 1000) + 15000 <= wm",
 )
 def stream_reaper(spark, sf):
     return _caught_up(J.stale_work(url_events(event_stream(spark, sf))), "stream_reaper")
@@ -95,7 +95,7 @@ def stream_reaper(spark, sf):
       coalesce(max_by(CASE kind WHEN 'take' THEN 2 WHEN 'retry' THEN 6 WHEN 'done' THEN 3 ELSE 1 END, (ts, seq)) FILTER (kind <> 'discover'), 1) AS status,
       coalesce(max_by(worker_id, (ts, seq)) FILTER (kind = 'take'), '') AS worker_id,
       count(*) FILTER (kind = 'retry') AS try,
-      coalesce(max_by(epoch_ms(ts), (ts, seq)) FILTER (kind = 'take'), -1) AS take_on_at,
+      coalesce(max_by((epoch_us(ts) // 1000), (ts, seq)) FILTER (kind = 'take'), -1) AS take_on_at,
       coalesce(max_by(retry_at, (ts, seq)) FILTER (kind = 'retry'), -1) AS retry_at,
       coalesce(min_by(parent, (ts, seq)) FILTER (kind = 'discover'), '') AS parent
     FROM ue GROUP BY url""",
