@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesift.functions.html import parse_html
-from pagesift.functions.urls import canonical_url, resolve_url, same_site
+from pagesift.functions.urls import base_path, base_root, canonical_url, hostname, resolve_hrefs
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "timestamp_ntz": pa.timestamp("us")}
 _PARSED = [
@@ -72,15 +72,17 @@ def assemble_pages(corpus: DataFrame, url: str = "url", body: str = "html", stri
 
 def links_of(assembled: DataFrame, url: str = "url", id_col: str = "page_id", strict_base: str | None = None) -> DataFrame:
     """Same-site links in document order, duplicates kept: ``(page_id, pos, parent, url)``."""
-    base = F.col("parent")
-    strict = F.col(strict_base) if strict_base else None
-    extra = [strict_base] if strict_base else []
-    return (
-        assembled.select(id_col, F.col(url).alias("parent"), *extra, F.posexplode("hrefs").alias("pos", "href"))
-        .withColumn("url", resolve_url(base, F.col("href"), strict))
-        .where(F.col("url").isNotNull() & same_site(F.col("url"), base))
-        .select(id_col, "pos", "parent", "url")
+    page = F.col(url)
+    taken_apart = assembled.select(
+        id_col,
+        page.alias("parent"),
+        "hrefs",
+        base_root(page).alias("_root"),
+        base_path(F.col(strict_base) if strict_base else page).alias("_path"),
+        hostname(page).alias("_host"),
     )
+    links = resolve_hrefs(F.col("hrefs"), F.col("_root"), F.col("_path"), F.col("_host"))
+    return taken_apart.select(id_col, "parent", F.inline(links)).select(id_col, "pos", "parent", "url")
 
 
 def extract_links(corpus: DataFrame, url: str = "url", body: str = "html", id_col: str = "page_id") -> DataFrame:

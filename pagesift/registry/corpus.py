@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions import fetch
 from pagesift.functions.text import page_text
-from pagesift.functions.urls import canonical_url, hostname, is_static_asset, resolve_url, same_site, start_url
+from pagesift.functions.urls import base_path, base_root, canonical_url, hostname, is_static_asset, resolve_hrefs, same_site, start_url
 from pagesift.operators.extract import assemble_pages, extract_links, parse_bodies
 from pagesift.operators.urls import dedupe_urls
 from pagesift.registry.base import (
@@ -51,8 +51,9 @@ def start_urls(spark, sf):
 @query("resolved_links", f"WITH {SQL_LINKS} SELECT page_id, pos, url FROM lk")
 def resolved_links(spark, sf):
     parsed = assemble_pages(spread(table(spark, sf, "pages")))
-    hrefs = parsed.select("page_id", F.col("url").alias("base"), F.posexplode("hrefs").alias("pos", "href"))
-    return hrefs.select("page_id", "pos", resolve_url(F.col("base"), F.col("href")).alias("url"))
+    page = F.col("url")
+    split = parsed.select("page_id", "hrefs", base_root(page).alias("root"), base_path(page).alias("path"))
+    return split.select("page_id", F.inline(resolve_hrefs(F.col("hrefs"), F.col("root"), F.col("path"))))
 
 
 @query("dedupe_urls", f"SELECT min(page_id) AS page_id, url FROM (SELECT page_id, {canon_sql('url')} AS url FROM pages) GROUP BY url")
