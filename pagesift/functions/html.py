@@ -11,11 +11,11 @@ import re
 from html import unescape
 from typing import NamedTuple
 
-_NAME = r"[^\s/>][^\s/>=]*+"
-_VALUE = r"""\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"""
+_NAME = r"[^\s/<>][^\s/<>=]*+"
+_VALUE = r"""\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+"""
 _ATTRS = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?)?+")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
     rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+{_NAME}(?:\s*+=\s*+(?:{_VALUE})?)?+)*+)[\s/]*+>",
     re.S,
 )
@@ -52,6 +52,7 @@ _LIKELY = re.compile(r"\b(?:article|body|content|entry|main|page|post|story|text
 _DESCRIPTION_KEYS = ["description", "og:description", "twitter:description", "dc:description"]
 _MIN_PARAGRAPH = 25
 _SCORED_ANCESTORS = 5
+_MAX_DEPTH = 512  # deeper elements stay in the box they are in, as in browsers
 
 
 class Parsed(NamedTuple):
@@ -150,7 +151,7 @@ def parse_html(body: str) -> Parsed:
             continue
         tag, closing = token.group(2).lower(), token.group(1) == "/"
         if tag in _RAW_TEXT and not closing:
-            stop = re.compile(r"</" + tag + r"(?=[\s/>])[^>]*>|\Z", re.I).search(body, position)
+            stop = re.compile(r"</" + tag + r"(?=[\s/>])[^>]*+(?:>|\Z)|\Z", re.I).search(body, position)
             if tag == "title" and title is None:
                 title = " ".join(unescape(body[position : stop.start()]).split())
             position = max(stop.end(), position)
@@ -177,7 +178,7 @@ def parse_html(body: str) -> Parsed:
             names = ""
             if "class" in token.group(3) or "id" in token.group(3):
                 names = " ".join(v for k, v in _attributes(token.group(3)) if k in ("class", "id"))
-            if tag not in ("hr", "html"):
+            if tag not in ("hr", "html") and len(open_boxes) < _MAX_DEPTH:
                 open_boxes.append(_Box(tag, names, open_boxes[-1]))
     flush()
 
