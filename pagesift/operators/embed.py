@@ -128,8 +128,8 @@ def embed_texts(
             return pa.RecordBatch.from_arrays([*columns, column], names=[*keep, "vector"])
 
         for batch in batches:
-            for i, value in enumerate(batch.column("_text").to_pylist()):
-                value = value or ""
+            for i, cell in enumerate(batch.column("_text")):
+                value = cell.as_py() or ""
                 verdict = budget.place(len(value.encode()))
                 if verdict != ByteBudget.SAME_CHUNK and rows:
                     yield finish(embed(texts))

@@ -43,7 +43,7 @@ def parse_bodies(corpus: DataFrame, body: str = "html") -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse_html(b or "") for b in batch.column(body).to_pylist()]
+            parsed = [parse_html(b.as_py() or "") for b in batch.column(body)]
             columns = [batch.column(n) for n in names]
             columns += [pa.array([getattr(p, f.name) for p in parsed], f.type) for f in _PARSED]
             yield pa.RecordBatch.from_arrays(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions.vectors import l2_normalize
+from pagesift.session import broadcast_if_small
 
 _TEXT = ["title", "description", "content"]
 _PAGE = ["url", *_TEXT, "crawled_at", "vector"]
@@ -13,7 +14,8 @@ _PAGE = ["url", *_TEXT, "crawled_at", "vector"]
 
 def get_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``pages`` for the URLs in ``wanted(url)``; missing text reads as ''."""
-    found = pages.select(_PAGE).join(wanted.select("url").distinct(), "url", "left_semi")
+    keys = broadcast_if_small(wanted.select("url").distinct(), "url")
+    found = pages.select(_PAGE).join(keys, "url", "left_semi")
     return found.select("url", *[F.coalesce(c, F.lit("")).alias(c) for c in _TEXT], "crawled_at", "vector")
 
 
@@ -26,8 +28,9 @@ def get_page(pages: DataFrame, url: str) -> DataFrame:
 
 def pages_exist(pages: DataFrame, probes: DataFrame) -> DataFrame:
     """``(url, exists)`` for every distinct probe URL."""
-    known = pages.select("url").distinct().withColumn("known", F.lit(True))
-    return probes.select("url").distinct().join(known, "url", "left").select(
+    asked = probes.select("url").distinct()
+    known = pages.select("url").join(broadcast_if_small(asked, "url"), "url", "left_semi").distinct()
+    return asked.join(known.withColumn("known", F.lit(True)), "url", "left").select(
         "url", F.coalesce("known", F.lit(False)).alias("exists")
     )
 

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift import schemas as S
@@ -18,7 +18,7 @@ from pagesift.session import written
 # Queries compared in one pass over the pages. Their matrix is what gets broadcast:
 # 16,384 queries of 384 doubles are 50 MB. More queries take more passes.
 MAX_QUERIES_PER_PASS = 16_384
-_HITS = "query_id bigint, page_id bigint, sim double"
+_HITS = "query_id bigint, k bigint, page_id bigint, sim double"
 _MAX_CELLS = 8_000_000
 _SPLIT_LIMIT = 40
 
@@ -93,10 +93,17 @@ class _TopK:
         self.kept = self.pending = int(best.sum())
         return self.parts[0]
 
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        query, page, sim = self.shrink()
+        columns = [(ids[query], pa.int64()), (self.k[query], pa.int64()), (page, pa.int64()), (sim, pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["query_id", "k", "page_id", "sim"])
 
-def _top_rows(hits: DataFrame, ks: Column) -> DataFrame:
-    ranked = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "page_id")
-    return hits.withColumn("rk", F.row_number().over(ranked)).where(F.col("rk") <= ks)
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    """Final ranking of what the tasks sent on: at most k rows per query and task."""
+    best_first = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "page_id")
+    ranked = hits.withColumn("rk", F.row_number().over(best_first)).where(F.col("rk") <= F.col("k"))
+    return ranked.select("query_id", "rk", "page_id", "sim")
 
 
 def _one_pass(pages: DataFrame, queries: _QuerySet, min_similarity: float) -> DataFrame:
@@ -113,11 +120,7 @@ def _one_pass(pages: DataFrame, queries: _QuerySet, min_similarity: float) -> Da
                 sims = q.unit @ unit[lo : lo + step].T
                 at_query, at_page = np.nonzero(sims > min_similarity)
                 best.add(at_query, page_ids[lo + at_page], np.round(sims[at_query, at_page], 6))
-        query, page, sim = best.shrink()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q.ids[query], pa.int64()), pa.array(page, pa.int64()), pa.array(sim, pa.float64())],
-            names=["query_id", "page_id", "sim"],
-        )
+        yield best.rows(q.ids)
 
     vectors = pages.select("page_id", "vector").where(F.col("vector").isNotNull())
     return vectors.mapInArrow(scan, _HITS)
@@ -143,13 +146,6 @@ def _query_columns(queries: DataFrame) -> DataFrame:
     return queries.select(cols).where(F.col("vector").isNotNull())
 
 
-def _ranked(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    if "k" not in queries.columns:
-        return _top_rows(hits, F.lit(k)).select("query_id", "rk", "page_id", "sim")
-    wanted = queries.select("query_id", F.col("k").alias("_k"))
-    return _top_rows(hits.join(wanted, "query_id"), F.col("_k")).select("query_id", "rk", "page_id", "sim")
-
-
 def search_topk(
     pages: DataFrame, queries: DataFrame, k: int = S.DEFAULT_K, min_similarity: float = S.MIN_SIMILARITY
 ) -> DataFrame:
@@ -161,7 +157,7 @@ def search_topk(
     most k rows per query, and that is all that is ever shuffled.
     """
     hits = _in_passes(_query_columns(queries), k, lambda q: _one_pass(pages, q, min_similarity))
-    return _ranked(hits, queries, k)
+    return _ranked(hits)
 
 
 # --- approximate search -------------------------------------------------------------
@@ -266,17 +262,13 @@ def search_ann(
                     sims = np.einsum("ij,ij->i", q.unit[qs], unit[ps])
                     hit = sims > min_similarity
                     best.add(qs[hit], page_ids[ps[hit]], np.round(sims[hit], 6))
-            query, page, sim = best.shrink()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q.ids[query], pa.int64()), pa.array(page, pa.int64()), pa.array(sim, pa.float64())],
-                names=["query_id", "page_id", "sim"],
-            )
+            yield best.rows(q.ids)
 
         candidates = signatures.mapInArrow(near, "page_id bigint, near array<int>")
         vectors = pages.select("page_id", "vector")
         return candidates.join(vectors, "page_id").select("page_id", "near", "vector").mapInArrow(score, _HITS)
 
-    return _ranked(_in_passes(_query_columns(queries), k, run), queries, k)
+    return _ranked(_in_passes(_query_columns(queries), k, run))
 
 
 # --- responses ----------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pagesift import schemas as S
 from pagesift.functions.urls import canonical_url
 from pagesift.operators import frontier
 from pagesift.operators.extract import extract_links
-from pagesift.session import cut_lineage
+from pagesift.session import bucketed, written
 
 _COMPACT_EVERY = 16
 _POSITIONS_PER_PAGE = 1 << 20
@@ -18,25 +18,26 @@ _POSITIONS_PER_PAGE = 1 << 20
 def replay_crawl(corpus: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Final URL state after crawling ``corpus(page_id, url, html)`` from ``seeds(raw, seq)``.
 
-    Every body is parsed once, up front, into a narrow edge table laid out by source
-    URL; the rounds then work on edges only. A URL found in the corpus ends as Done,
-    any other as GiveUp. ``enqueue_round`` is the distance from the seeds; among pages
-    of one round the discoverer is the one with the smallest page id, then link position.
+    Every body is parsed once, up front, into a narrow edge table bucketed by source
+    URL; a round shuffles its frontier to the edges, never the edges. A URL found in
+    the corpus ends as Done, any other as GiveUp. ``enqueue_round`` is the distance
+    from the seeds; among pages of one round the discoverer is the one with the
+    smallest page id, then link position.
     """
     edges = extract_links(corpus).select(
         "parent", "url", (F.col("page_id") * _POSITIONS_PER_PAGE + F.col("pos")).alias("seq")
     )
-    edges = cut_lineage(edges.repartition("parent"))
     spark = corpus.sparkSession
-    fresh = cut_lineage(frontier.seed_frontier(frontier.empty_state(spark), seeds, 0))
+    fresh = written(frontier.seed_frontier(frontier.empty_state(spark), seeds, 0), "frontier")
     seen, round_no = fresh, 0
-    while (max_rounds is None or round_no < max_rounds) and not fresh.isEmpty():
-        round_no += 1
-        found = edges.join(fresh.select(F.col("url").alias("parent")), "parent")
-        fresh = cut_lineage(frontier.push_urls(seen, found, round_no))
-        seen = seen.unionByName(fresh)
-        if round_no % _COMPACT_EVERY == 0:
-            seen = cut_lineage(seen)
+    with bucketed(edges, "parent", "edges") as links:
+        while (max_rounds is None or round_no < max_rounds) and not fresh.isEmpty():
+            round_no += 1
+            found = links.join(fresh.select(F.col("url").alias("parent")), "parent")
+            fresh = written(frontier.push_urls(seen, found, round_no), "frontier")
+            seen = seen.unionByName(fresh)
+            if round_no % _COMPACT_EVERY == 0:
+                seen = written(seen, "seen")
     return seen.join(stored_urls(corpus), "url", "left").withColumn(
         "status", F.when(F.col("stored"), F.lit(S.DONE)).otherwise(F.lit(S.GIVE_UP))
     ).select(frontier.COLUMNS)

@@ -7,6 +7,7 @@ from whole given tables by plain column arithmetic, once in Spark and once in SQ
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pagesift import schemas as S
 from pagesift.functions.urls import canonical_url
 from pagesift.operators.urls import dedupe_urls
+from pagesift.session import ship_package
 from pagesift.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +27,12 @@ CHUNK_BYTES = 8_000  # small enough that real documents exceed it
 
 def query(name: str, sql: str | None = None):
     def add(run: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = run
+        @wraps(run)
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
         return run

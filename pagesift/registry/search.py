@@ -223,7 +223,7 @@ _WAITING = "vector IS NULL AND can_be_vectorized"
     FROM x LEFT JOIN c USING (page_id)""",
 )
 def indexed(spark, sf):
-    pages = page_table(spark, sf).withColumn("vector", F.col("vector").cast("array<double>"))
+    pages = spread(page_table(spark, sf)).withColumn("vector", F.col("vector").cast("array<double>"))
     done = index_pass(pages, limit=CHUNK_BYTES)
     return done.select("page_id", "url", "can_be_vectorized", checksum().alias("checksum"))
 

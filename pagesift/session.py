@@ -4,8 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def build_session(cores: str = "8", memory: str = "16g", app: str = "pagesift") -> SparkSession:
@@ -23,9 +31,24 @@ def build_session(cores: str = "8", memory: str = "16g", app: str = "pagesift")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagesift_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="pagesift-")) / "pagesift_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._pagesift_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a private temporary one only where none is configured."""
     sc = spark.sparkContext
@@ -57,3 +80,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table bucketed and sorted by ``key``, for repeated joins on it.
+
+    Inside the block, joins on the key read the table where it lies instead of
+    shuffling it again. One task writes one bucket, so there is one file per bucket.
+    The catalog entry is dropped at the end; results must not depend on the table then.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"pagesift_{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def broadcast_if_small(df: DataFrame, text: str) -> DataFrame:
+    """Hint a broadcast when ``df`` is measured to be small, else leave the join to the planner.
+
+    ``text`` names the column that dominates a row. At most ``MAX_BROADCAST_ROWS`` rows are
+    read to decide, so keep ``df`` to lists of keys that are cheap to read.
+    """
+    head = df.limit(MAX_BROADCAST_ROWS + 1)
+    rows, size = head.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    fits = rows <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
+    return F.broadcast(df) if fits else df

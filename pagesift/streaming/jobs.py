@@ -51,16 +51,24 @@ def index_arrivals(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def unseen_urls(urls: DataFrame, url: str = "url", ts: str | None = None, horizon: str | None = None) -> DataFrame:
-    """First sight of each canonical URL on a stream.
+def _first_per_url(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.sort_values(list(pdf.columns)).drop_duplicates("url")
+
+
+def unseen_urls(urls: DataFrame, ts: str | None = None, horizon: str | None = None) -> DataFrame:
+    """First sight of each canonical ``url`` on a stream.
 
     Remembers every URL ever seen, unless ``ts`` and ``horizon`` bound the memory; then a
-    URL counts as new again once the horizon has passed.
+    URL counts as new again once the horizon has passed. Repeats inside a task's batch
+    are dropped before the shuffle, so a URL on every page does not swamp one task.
     """
-    canonical = urls.withColumn(url, canonical_url(F.col(url))).where(F.col(url).isNotNull())
+    canonical = urls.withColumn("url", canonical_url(F.col("url"))).where(F.col("url").isNotNull())
     if ts is None:
-        return canonical.select(url).dropDuplicates([url])
-    return canonical.select(url, ts).withWatermark(ts, horizon).dropDuplicatesWithinWatermark([url])
+        return canonical.select("url").mapInPandas(_first_per_url, "url string").dropDuplicates(["url"])
+    timed = canonical.select("url", F.col(ts).cast("timestamp").alias("ts"))
+    firsts = timed.mapInPandas(_first_per_url, "url string, ts timestamp").withWatermark("ts", horizon)
+    return firsts.dropDuplicatesWithinWatermark(["url"]).withColumnRenamed("ts", ts)
 
 
 def windowed_rates(events: DataFrame, label: str, seconds: int = 300, watermark: str = WATERMARK) -> DataFrame:

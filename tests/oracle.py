@@ -1,6 +1,7 @@
 """Run registered queries in Spark and their SQL in DuckDB, and compare whole results.
 
-As a script: ``python -m tests.oracle [sf_dir] [name …]``.
+As a script: ``python -m tests.oracle [sf_dir] [name …] [--plain-session]``; the latter
+uses a session with default settings.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import time
 from collections import Counter
 
 import duckdb
+from pyspark.sql import SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -73,8 +75,11 @@ def main(argv: list[str]) -> int:
     from pagesift.session import build_session
 
     folder = argv[0] if argv else "/root/testdata/sf0.01"
-    spark, con, bad = build_session(), connect(folder), 0
-    for name in argv[1:] or QUERIES:
+    plain = "--plain-session" in argv
+    names = [a for a in argv[1:] if not a.startswith("--")]
+    spark = SparkSession.builder.master("local[8]").getOrCreate() if plain else build_session()
+    con, bad = connect(folder), 0
+    for name in names or QUERIES:
         start = time.time()
         try:
             if name in ORACLES:
