@@ -14,14 +14,19 @@ from typing import NamedTuple
 _NAME = r"[^\s/<>][^\s/<>=]*+"
 _VALUE = r"""\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+"""
 _ATTRS = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?)?+")
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
-    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+{_NAME}(?:\s*+=\s*+(?:{_VALUE})?)?+)*+)[\s/]*+>",
-    re.S,
-)
+_ATTR_LIST = rf"(?:[\s/]*+{_NAME}(?:\s*+=\s*+(?:{_VALUE})?)?+)*+"
+_NOT_TAG = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+_TOKEN = re.compile(rf"{_NOT_TAG}|<(/?)([a-zA-Z][^\s/>]*+)({_ATTR_LIST})[\s/]*+>", re.S)
 
 # Elements whose content is text, never markup.
-_RAW_TEXT = set("script style textarea title xmp iframe noembed noframes noscript".split())
+_RAW_TEXT = "script style textarea title xmp iframe noembed noframes noscript".split()
+
+# The same tokens in one expression that only reports the attributes of links.
+_LINK_TOKEN = re.compile(
+    rf"{_NOT_TAG}|<(?i:({'|'.join(_RAW_TEXT)}))(?=[\s/>]){_ATTR_LIST}[\s/]*+>.*?(?:</(?i:\1)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<[aA](?=[\s/>])({_ATTR_LIST})[\s/]*+>|</?[a-zA-Z][^\s/>]*+{_ATTR_LIST}[\s/]*+>",
+    re.S,
+)
 
 # Elements that end a run of text.
 _BLOCKS = set(
@@ -98,6 +103,11 @@ def _attributes(source: str) -> list[tuple[str, str]]:
     return out
 
 
+def find_hrefs(body: str) -> list[str]:
+    """Only the hrefs of ``parse_html``, several times faster."""
+    return [v for _, attrs in _LINK_TOKEN.findall(body) if attrs for k, v in _attributes(attrs) if k == "href" and v]
+
+
 def parse_html(body: str) -> Parsed:
     title: str | None = None
     metas: dict[str, str] = {}

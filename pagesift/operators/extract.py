@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagesift.functions.html import parse_html
+from pagesift.functions.html import find_hrefs, parse_html
 from pagesift.functions.urls import base_path, base_root, canonical_url, hostname, resolve_hrefs
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "timestamp_ntz": pa.timestamp("us")}
-_PARSED = [
-    pa.field("title", pa.string()),
-    pa.field("description", pa.string()),
-    pa.field("content", pa.string()),
-    pa.field("hrefs", pa.list_(pa.string())),
-]
+_TYPES = {pa.string(): T.StringType(), pa.list_(pa.string()): T.ArrayType(T.StringType())}
+_TEXTS = [pa.field(name, pa.string()) for name in ("title", "description", "content")]
+_HREFS = pa.field("hrefs", pa.list_(pa.string()))
+
+
+def _map_bodies(corpus: DataFrame, body: str, fields: list[pa.Field], values: Callable[[str], tuple]) -> DataFrame:
+    """Replace the body column by ``fields`` computed from it, one body at a time."""
+    kept = [f for f in corpus.schema.fields if f.name != body]
+    names = [f.name for f in kept]
+    arrow_schema = pa.schema([pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in kept] + fields)
+    schema = T.StructType([*kept, *[T.StructField(f.name, _TYPES[f.type]) for f in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(*[values(b.as_py() or "") for b in batch.column(body)], strict=True) if batch.num_rows else [[]] * len(fields)
+            columns = [batch.column(n).cast(t) for n, t in zip(names, arrow_schema.types, strict=False)]
+            columns += [pa.array(list(column), f.type) for column, f in zip(found, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+
+    return corpus.mapInArrow(run, schema)
 
 
 def parse_bodies(corpus: DataFrame, body: str = "html") -> DataFrame:
@@ -27,30 +41,12 @@ def parse_bodies(corpus: DataFrame, body: str = "html") -> DataFrame:
     One map-only pass: each body is parsed once and never leaves its task. The
     other columns ride along unchanged and must be long, int, string or timestamp.
     """
-    kept = [f for f in corpus.schema.fields if f.name != body]
-    fields = [pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in kept] + _PARSED
-    arrow_schema = pa.schema(fields)
-    names = [f.name for f in kept]
-    schema = T.StructType(
-        kept
-        + [
-            T.StructField("title", T.StringType()),
-            T.StructField("description", T.StringType()),
-            T.StructField("content", T.StringType()),
-            T.StructField("hrefs", T.ArrayType(T.StringType())),
-        ]
-    )
+    return _map_bodies(corpus, body, [*_TEXTS, _HREFS], parse_html)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parsed = [parse_html(b.as_py() or "") for b in batch.column(body)]
-            columns = [batch.column(n) for n in names]
-            columns += [pa.array([getattr(p, f.name) for p in parsed], f.type) for f in _PARSED]
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=arrow_schema
-            )
 
-    return corpus.mapInArrow(parse, schema)
+def hrefs_in(corpus: DataFrame, body: str = "html") -> DataFrame:
+    """Replace the body column by ``hrefs`` alone."""
+    return _map_bodies(corpus, body, [_HREFS], lambda text: (find_hrefs(text),))
 
 
 def without_site_name(title: Column) -> Column:
@@ -88,6 +84,6 @@ def links_of(assembled: DataFrame, url: str = "url", id_col: str = "page_id", st
 def extract_links(corpus: DataFrame, url: str = "url", body: str = "html", id_col: str = "page_id") -> DataFrame:
     """Link rows straight from bodies, when the page text itself is not wanted."""
     src = corpus.select(id_col, canonical_url(F.col(url)).alias("url"), F.col(body).alias("html"))
-    return links_of(parse_bodies(src.where(F.col("url").isNotNull())), id_col=id_col)
+    return links_of(hrefs_in(src.where(F.col("url").isNotNull())), id_col=id_col)
 
 
