@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,9 @@ from pyspark.sql import types as T
 
 from pagesift import schemas as S
 
-# A loader runs once per Python worker and returns the function that embeds a list of texts.
+# A loader runs at the start of each task and returns the function that embeds a list of
+# texts. What is expensive to load belongs in a cached module function, which lives as
+# long as the Python worker and so serves many tasks.
 EmbedFn = Callable[[list[str]], np.ndarray]
 EmbedLoader = Callable[[], EmbedFn]
 
@@ -39,11 +42,23 @@ class _TokenCodes(dict):
         return code
 
 
+@lru_cache(maxsize=4)
+def _codes(dim: int) -> _TokenCodes:
+    return _TokenCodes(dim)
+
+
+@lru_cache(maxsize=2)
+def _sentence_model(name: str):
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(name)
+
+
 def hash_embedder(dim: int = S.VECTOR_DIM) -> EmbedLoader:
     """Deterministic signed feature hashing; the default model, and one that SQL can restate."""
 
     def load() -> EmbedFn:
-        codes = _TokenCodes(dim)
+        codes = _codes(dim)
 
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
@@ -62,9 +77,7 @@ def sentence_transformer(name: str = "all-MiniLM-L6-v2") -> EmbedLoader:
     """Adapter for a sentence-transformers model, where that package is installed on the executors."""
 
     def load() -> EmbedFn:
-        from sentence_transformers import SentenceTransformer
-
-        model = SentenceTransformer(name)
+        model = _sentence_model(name)
         return lambda texts: np.asarray(model.encode(texts), dtype=np.float32)
 
     return load
@@ -96,17 +109,26 @@ def is_too_big(text: Column, limit: int = S.MAX_CHUNK_BYTES) -> Column:
 
 
 def embed_texts(
-    df: DataFrame, keep: list[str], text: str, loader: EmbedLoader | None = None, limit: int = S.MAX_CHUNK_BYTES
+    df: DataFrame,
+    keep: list[str],
+    text: str,
+    loader: EmbedLoader | None = None,
+    limit: int = S.MAX_CHUNK_BYTES,
+    unit: bool = False,
 ) -> DataFrame:
     """``keep`` columns plus ``vector``; a text over the byte limit gets an empty vector.
 
+    Vectors come as the model returns them (floats), or with ``unit`` normalised to
+    length one in double precision while they are still packed arrays.
+
     Map-only. Each task walks its rows in order and hands the model chunks of at
     most ``limit`` bytes, so neither a task nor a model call ever holds more than
     one chunk. A chunk the model fails on fails the task. Chunks do not cross tasks.
     """
     loader = loader or hash_embedder()
     src = df.select(*keep, F.col(text).alias("_text"))
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("vector", T.ArrayType(T.FloatType()))])
+    cell, arrow_cell, numpy_cell = (T.DoubleType(), pa.float64(), np.float64) if unit else (T.FloatType(), pa.float32(), np.float32)
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("vector", T.ArrayType(cell))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed, budget = loader(), ByteBudget(limit)
@@ -118,9 +140,12 @@ def embed_texts(
             columns = [held.column(c).combine_chunks() for c in keep]
             n = held.num_rows
             if vectors is None:
-                column = pa.array([[]] * n, pa.list_(pa.float32()))
+                column = pa.array([[]] * n, pa.list_(arrow_cell))
             else:
-                flat = np.ascontiguousarray(vectors, dtype=np.float32)
+                flat = np.ascontiguousarray(vectors, dtype=numpy_cell)
+                if unit:
+                    norms = np.linalg.norm(flat, axis=1, keepdims=True)
+                    flat = flat / np.where(norms > 0, norms, 1.0)
                 offsets = np.arange(n + 1, dtype=np.int32) * flat.shape[1]
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
             rows.clear()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagesift import schemas as S
 from pagesift.functions.text import page_text
-from pagesift.functions.vectors import l2_normalize
 from pagesift.operators.embed import EmbedLoader, embed_texts
 
 _COLUMNS = ["page_id", "url", "title", "description", "content", "crawled_at"]
@@ -28,9 +27,9 @@ def index_pass(pages: DataFrame, loader: EmbedLoader | None = None, limit: int =
     waiting = F.coalesce(F.col("vector").isNull() & F.col("can_be_vectorized") & has_text, F.lit(False))
     todo = pages.where(waiting).select(*_COLUMNS, _text().alias("text"))
     kind = pages.schema["vector"].dataType
-    done = embed_texts(todo, _COLUMNS, "text", loader, limit).select(
+    done = embed_texts(todo, _COLUMNS, "text", loader, limit, unit=True).select(
         *_COLUMNS,
-        F.when(F.size("vector") > 0, l2_normalize(F.col("vector")).cast(kind)).alias("vector"),
+        F.when(F.size("vector") > 0, F.col("vector").cast(kind)).alias("vector"),
         (F.size("vector") > 0).alias("can_be_vectorized"),
     )
     rest = pages.where(~waiting).select(*_COLUMNS, "vector", "can_be_vectorized")

@@ -105,8 +105,8 @@ def _hash_sql(name: str, source: str, key: str, text: str) -> str:
         SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(CAST(w AS DOUBLE) / norm, 6) AS weight FROM d_w JOIN d_n USING (doc_id)""",
 )
 def embed_documents(spark, sf):
-    vectors = embed_texts(spread(table(spark, sf, "documents")), ["doc_id"], "text")
-    cells = vectors.select("doc_id", F.posexplode(l2_normalize(F.col("vector"))).alias("bucket", "weight"))
+    vectors = embed_texts(spread(table(spark, sf, "documents")), ["doc_id"], "text", unit=True)
+    cells = vectors.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
     return cells.where("weight <> 0").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
