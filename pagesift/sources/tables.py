@@ -30,11 +30,11 @@ def corpus(raw: DataFrame) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Rows of a table as its files arrive in ``folder``."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Rows of a table as its files arrive: ``name*.parquet``, each a file or a folder of files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{name}*.parquet")
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
