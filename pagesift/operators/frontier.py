@@ -59,15 +59,17 @@ def seed_frontier(state: DataFrame, seeds: DataFrame, round_no: int) -> DataFram
     return push_urls(state, roots.where(F.col("url").isNotNull()), round_no)
 
 
-def take_batch(state: DataFrame, n: int, now: int, workers: int = S.WORKERS) -> DataFrame:
+def take_batch(state: DataFrame, n: int, now: int, workers: int = S.WORKERS, position: str | None = None) -> DataFrame:
     """The next ``n`` queued rows in FIFO order, dealt out to the workers.
 
     Only the n chosen rows are ever numbered; the choice itself is a distributed top-n.
+    The number is kept as a column when a name for it is given.
     """
     head = state.where(F.col("status") == S.QUEUED).orderBy(QUEUE_ORDER).limit(n)
-    position = F.row_number().over(Window.orderBy(QUEUE_ORDER))
-    taken = head.withColumn("worker_id", ((position - 1) % workers).cast("string"))
-    return taken.withColumn("status", F.lit(S.PROCESSING)).withColumn("take_on_at", _long(now)).select(COLUMNS)
+    taken = head.withColumn("_position", F.row_number().over(Window.orderBy(QUEUE_ORDER)).cast("bigint") - 1)
+    taken = taken.withColumn("worker_id", (F.col("_position") % workers).cast("string"))
+    taken = taken.withColumn("status", F.lit(S.PROCESSING)).withColumn("take_on_at", _long(now))
+    return taken.select(*COLUMNS, *([F.col("_position").alias(position)] if position else []))
 
 
 def replace_rows(state: DataFrame, changed: DataFrame) -> DataFrame:

@@ -1,20 +1,116 @@
-"""Crawl replay: expand a frontier over a stored corpus, round by round."""
+"""Crawling over stored fetches: one round over the tables, and replay of a whole corpus."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift import schemas as S
 from pagesift.functions.urls import canonical_url
+from pagesift.functions.fetch import effective_content_type, fetch_class, is_text
 from pagesift.operators import frontier
-from pagesift.operators.extract import extract_links
+from pagesift.operators.extract import assemble_pages, extract_links, links_of
+from pagesift.operators.links import new_links
+from pagesift.operators.pages import upsert_pages
 from pagesift.session import bucketed, written
 
 _COMPACT_EVERY = 16
 _POSITIONS_PER_PAGE = 1 << 20
 
 
+class CrawlTables(NamedTuple):
+    state: DataFrame
+    pages: DataFrame
+    links: DataFrame
+
+
+def link_candidates(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(parent_url, dst_page_id)`` for edges ``(parent, url)`` whose child is a stored page.
+
+    Edges taken from the URL state (each URL with the page that discovered it) give the
+    discovery links a crawl records; edges from ``links_of`` give the full link graph.
+    """
+    child = pages.select("url", F.col("page_id").alias("dst_page_id"))
+    known = edges.where(F.col("parent") != "").select("url", F.col("parent").alias("parent_url"))
+    return known.join(child, "url").select("parent_url", "dst_page_id")
+
+
+def crawl_round(
+    tables: CrawlTables,
+    fetched: DataFrame,
+    now: int,
+    round_no: int,
+    n: int,
+    workers: int = S.WORKERS,
+    try_limit: int = S.TRY_LIMIT,
+    base_ms: int = S.RETRY_BASE_MS,
+) -> CrawlTables:
+    """The tables after one batch of ``n`` URLs has been taken, read and settled.
+
+    ``fetched`` holds one record per URL (``schemas.FETCH_RECORD``). Due retries are
+    released first, then the batch is taken in queue order. Pages are stored under their
+    final URL, linked to the page that discovered them, and their unseen same-site links
+    are queued under the next round number. A taken URL without a record stays in
+    Processing until the stale sweep. ``round_no`` must grow by at least two per call.
+    """
+    state = tables.state
+    ready = frontier.replace_rows(state, frontier.release_due(state, now, round_no))
+    taken = written(frontier.take_batch(ready, n, now, workers, "position"), "taken")
+    records = taken.select("url", "parent", "position").join(fetched, "url")
+    final = canonical_url(F.coalesce("final_url", "url"))
+    ok = fetch_class(F.col("http_status")) == S.FETCH_OK
+    text = is_text(effective_content_type(F.col("content_type"), F.col("nosniff"), F.col("body")))
+    gated = records.withColumn("final_url", final).withColumn(
+        "error_kind",
+        F.when(F.coalesce("error_kind", F.lit("")) != "", F.col("error_kind"))
+        .when(F.col("final_url").isNull(), F.lit("bad_url"))
+        .when(ok & ~text, F.lit("not_text"))
+        .otherwise(F.lit("")),
+    )
+    stored = gated.where(ok & (F.col("error_kind") == "")).select(
+        F.col("url").alias("asked"),
+        "parent",
+        "position",
+        F.col("final_url").alias("url"),
+        F.timestamp_millis(F.lit(now)).cast("timestamp_ntz").alias("crawled_at"),
+        "body",
+    )
+    parsed = written(assemble_pages(stored, body="body"), "parsed")
+    settled = frontier.crawl_outcomes(
+        taken,
+        gated.select("url", "http_status", "error_kind", F.lit(False).alias("extract_failed"), F.lit("").alias("store_error")),
+        now,
+        try_limit,
+        base_ms,
+    )
+
+    updates = parsed.select(
+        "url", "title", "description", "content", "crawled_at", F.lit(None).cast("array<float>").alias("vector"), F.col("asked").alias("version")
+    )
+    pages = written(upsert_pages(tables.pages, updates), "pages")
+    found = new_links(pages, tables.links, link_candidates(pages, parsed.select("url", "parent")))
+
+    after = taken.join(settled.select("url", "new_status", F.col("try").alias("_try"), F.col("retry_at").alias("_retry_at")), "url", "left").select(
+        "url",
+        F.coalesce("new_status", "status").alias("status"),
+        "worker_id",
+        F.coalesce("_try", "try").alias("try"),
+        "take_on_at",
+        F.coalesce("_retry_at", "retry_at").alias("retry_at"),
+        *["parent", "enqueue_round", "enqueue_seq"],
+    )
+    order = F.col("position") * _POSITIONS_PER_PAGE + F.col("pos")
+    hrefs = links_of(parsed, id_col="position").select("url", "parent", order.alias("seq"))
+    pushed = frontier.push_urls(ready, hrefs, round_no + 1)
+    return CrawlTables(
+        written(frontier.replace_rows(ready, after).unionByName(pushed), "state"),
+        pages,
+        written(tables.links.unionByName(found), "links"),
+    )
+
+
 def replay_crawl(corpus: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Final URL state after crawling ``corpus(page_id, url, html)`` from ``seeds(raw, seq)``.
 

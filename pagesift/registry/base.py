@@ -132,6 +132,11 @@ fl AS (
   FROM pages)"""
 
 
+SNIFF_SQL = """CASE WHEN regexp_matches(body, '(?i)^[\\t\\n\\f\\r ]*<(!DOCTYPE HTML|HTML)[ >]') THEN 'text/html'
+  WHEN starts_with(body, '%PDF-') THEN 'application/pdf' WHEN starts_with(body, 'BM') THEN 'image/bmp'
+  WHEN regexp_matches(body, '^[\\x{0000}-\\x{FFFF}]{34}LP') THEN 'application/vnd.ms-fontobject' ELSE 'text/plain' END"""
+
+
 # --- the same tables in Spark -----------------------------------------------------------
 
 

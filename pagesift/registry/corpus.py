@@ -10,6 +10,7 @@ from pagesift.functions.urls import base_path, base_root, canonical_url, hostnam
 from pagesift.operators.extract import assemble_pages, extract_links, parse_bodies
 from pagesift.operators.urls import dedupe_urls
 from pagesift.registry.base import (
+    SNIFF_SQL,
     SQL_CONTENT,
     SQL_FETCHES,
     SQL_LINKS,
@@ -128,14 +129,9 @@ def error_reasons(spark, sf):
     return fetch_log(spark, sf).select(reasons).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-_SNIFF = """CASE WHEN regexp_matches(body, '(?i)^[\\t\\n\\f\\r ]*<(!DOCTYPE HTML|HTML)[ >]') THEN 'text/html'
-  WHEN starts_with(body, '%PDF-') THEN 'application/pdf' WHEN starts_with(body, 'BM') THEN 'image/bmp'
-  WHEN regexp_matches(body, '^[\\x{0000}-\\x{FFFF}]{34}LP') THEN 'application/vnd.ms-fontobject' ELSE 'text/plain' END"""
-
-
 @query(
     "text_gate",
-    f"""WITH {SQL_FETCHES}, g AS (SELECT page_id, CASE WHEN nosniff AND content_type <> '' THEN content_type ELSE {_SNIFF} END AS kind FROM fl)
+    f"""WITH {SQL_FETCHES}, g AS (SELECT page_id, CASE WHEN nosniff AND content_type <> '' THEN content_type ELSE {SNIFF_SQL} END AS kind FROM fl)
         SELECT page_id, kind, contains(kind, 'text/plain') OR contains(kind, 'text/html') OR contains(kind, 'text/markdown') AS accepted
         FROM g""",
 )

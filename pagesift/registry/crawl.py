@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pagesift import schemas as S
 from pagesift.operators import frontier as Q
 from pagesift.operators.extract import extract_links
-from pagesift.plans.crawl import replay_crawl
+from pagesift.plans.crawl import CrawlTables, crawl_round, replay_crawl
 from pagesift.registry.base import (
     NOW,
+    SNIFF_SQL,
     SQL_FETCHES,
     SQL_LINKS,
     SQL_STATE,
@@ -215,6 +216,63 @@ def crawl_outcomes(spark, sf):
     return Q.crawl_outcomes(url_state(spark, sf), fetches, NOW)
 
 
+@query(
+    "recover_urls",
+    f"""WITH {SQL_LINKS}, {SQL_STATE}, w AS (SELECT url FROM lk UNION SELECT parent FROM lk)
+        SELECT w.url, 1 AS status, coalesce(worker_id, '') AS worker_id, coalesce(try, 0) AS try, coalesce(take_on_at, -1) AS take_on_at,
+               coalesce(retry_at, -1) AS retry_at, coalesce(parent, '') AS parent, CAST(1 AS BIGINT) AS enqueue_round,
+               coalesce(take_on_at, -1) AS enqueue_seq FROM w LEFT JOIN st USING (url)""",
+)
+def recover_urls(spark, sf):
+    links = extract_links(spread(table(spark, sf, "pages")))
+    wanted = links.select(F.explode(F.array("url", "parent")).alias("url"))
+    return Q.recover(url_state(spark, sf), wanted, 1)
+
+
+_ROUND_SQL = f"""{SQL_FETCHES}, {SQL_STATE},
+ready AS (
+  SELECT url, CASE WHEN due THEN 1 ELSE status END AS status, try, retry_at, parent,
+         CASE WHEN due THEN 1 ELSE enqueue_round END AS enqueue_round, CASE WHEN due THEN retry_at ELSE enqueue_seq END AS enqueue_seq
+  FROM (SELECT *, status = 6 AND retry_at <= {NOW} AS due FROM st)),
+taken AS (SELECT *, row_number() OVER (ORDER BY enqueue_round, enqueue_seq, url) - 1 AS position FROM ready WHERE status = 1),
+kinds AS (SELECT *, CASE WHEN nosniff AND content_type <> '' THEN content_type ELSE {SNIFF_SQL} END AS kind FROM fl),
+rec AS (
+  SELECT taken.*, body,
+    CASE WHEN error_kind <> '' THEN 'give_up'
+         WHEN http_status IN (408, 429, 500, 502, 503, 504) AND try < {S.TRY_LIMIT} THEN 'retry'
+         WHEN http_status IN (408, 429, 500, 502, 503, 504) THEN 'give_up'
+         WHEN http_status IN (400, 401, 411) THEN 'manual'
+         WHEN http_status <> 200 THEN 'impossible'
+         WHEN NOT (contains(kind, 'text/plain') OR contains(kind, 'text/html') OR contains(kind, 'text/markdown')) THEN 'give_up'
+         ELSE 'ok' END AS outcome
+  FROM taken JOIN kinds USING (url) WHERE page_id IN (SELECT page_id FROM cp)),
+found AS (
+  SELECT position, parent, pos, {canon_sql("full_url")} AS url FROM (
+    SELECT position, url AS parent, unnest(range(len(hs))) AS pos, regexp_extract(url, '^[^/]*//[^/]*') || unnest(hs) AS full_url
+    FROM (SELECT position, url, regexp_extract_all(body, '<a href="([^"]*)"', 1) AS hs FROM rec WHERE outcome = 'ok')))"""
+
+
+@query(
+    "crawl_round",
+    f"""WITH {_ROUND_SQL}
+    SELECT url, CASE outcome WHEN 'ok' THEN 3 WHEN 'retry' THEN 6 WHEN 'manual' THEN 4 ELSE 5 END AS status,
+           CASE outcome WHEN 'retry' THEN try + 1 ELSE try END AS try,
+           CASE outcome WHEN 'retry' THEN {NOW} + {S.RETRY_BASE_MS} * CAST(pow(2, try) AS BIGINT) ELSE retry_at END AS retry_at,
+           parent, enqueue_round, enqueue_seq FROM rec
+    UNION ALL SELECT url, status, try, retry_at, parent, enqueue_round, enqueue_seq FROM ready WHERE url NOT IN (SELECT url FROM rec)
+    UNION ALL SELECT url, 1, 0, -1, parent, 2, seq FROM (
+      SELECT url, parent, position * 1048576 + pos AS seq FROM found WHERE url NOT IN (SELECT url FROM st)
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY position, pos) = 1)""",
+)
+def one_round(spark, sf):
+    """One batch over the derived URL state and fetch log, into empty page and link tables."""
+    records = fetch_log(spark, sf).join(canonical_pages(spark, sf).select("page_id"), "page_id", "left_semi")
+    records = records.withColumn("final_url", F.col("url"))
+    tables = CrawlTables(url_state(spark, sf), spark.createDataFrame([], S.PAGE), spark.createDataFrame([], S.LINK))
+    after = crawl_round(tables, records, NOW, 1, 100_000)
+    return after.state.select("url", "status", "try", "retry_at", "parent", "enqueue_round", "enqueue_seq")
+
+
 _SITE = "https://corpus.example.com"
 
 

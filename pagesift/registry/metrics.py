@@ -127,3 +127,15 @@ def active_intervals(spark, sf):
     """Each event is active for ``value`` minutes."""
     end = F.expr("ts + make_dt_interval(0, 0, 0, cast(value * 60 as decimal(18, 6)))").alias("end_ts")
     return M.concurrency(_events(spark, sf).select("event_id", F.col("ts").alias("start_ts"), end))
+
+
+@query(
+    "peak_concurrency",
+    """WITH m AS (SELECT ts, event_id, 1 AS change FROM events
+         UNION ALL SELECT ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)), event_id, -1 FROM events),
+       r AS (SELECT ts, sum(change) OVER (ORDER BY ts, change, event_id) AS active FROM m)
+       SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, CAST(max(active) AS BIGINT) AS peak FROM r GROUP BY 1""",
+)
+def peak_concurrency(spark, sf):
+    hour = F.window("ts", "1 hour")["start"].alias("window_start")
+    return active_intervals(spark, sf).groupBy(hour).agg(F.max("active").alias("peak"))
