@@ -114,10 +114,15 @@ def error_reasons(error_kind: Column, http_status: Column) -> Column:
 def sniff_content_type(body: Column) -> Column:
     """Content type from the first 512 bytes, parameters stripped."""
     head = F.decode(F.substring(F.encode(body, "UTF-8"), 1, 512), "ISO-8859-1")
-    chain = F.when(head.rlike(_SIGNATURES[0][0]), F.lit(_SIGNATURES[0][1]))
-    for pattern, kind in _SIGNATURES[1:]:
-        chain = chain.when(head.rlike(pattern), F.lit(kind))
-    return chain.when(head.rlike(_BINARY_BYTE), F.lit("application/octet-stream")).otherwise(F.lit("text/plain"))
+
+    def kind(h: Column) -> Column:
+        chain = F.when(h.rlike(_SIGNATURES[0][0]), F.lit(_SIGNATURES[0][1]))
+        for pattern, name in _SIGNATURES[1:]:
+            chain = chain.when(h.rlike(pattern), F.lit(name))
+        return chain.when(h.rlike(_BINARY_BYTE), F.lit("application/octet-stream")).otherwise(F.lit("text/plain"))
+
+    # a one-element array gives the head a name, so that the chain does not repeat its expression
+    return F.get(F.transform(F.array(head), kind), F.lit(0))
 
 
 def effective_content_type(content_type: Column, nosniff: Column, body: Column) -> Column:
@@ -127,10 +132,7 @@ def effective_content_type(content_type: Column, nosniff: Column, body: Column)
 
 
 def is_text(content_type: Column) -> Column:
-    return reduce(
-        lambda a, b: a | b,
-        [content_type.contains(kind) for kind in ("text/plain", "text/html", "text/markdown")],
-    )
+    return content_type.rlike("text/(?:plain|html|markdown)")
 
 
 def is_client_rendered(body: Column) -> Column:

@@ -7,6 +7,8 @@ together through one small summary row each.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,13 @@ def _slice(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
+def _with_slice_row(rows: DataFrame, per_slice: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach each slice's summary row; a NULL label or time is a key like any other."""
+    named = per_slice.select(*[F.col(k).alias(f"_of{k}") for k in keys], *[c for c in per_slice.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
+    return rows.join(named, same).drop(*[f"_of{k}" for k in keys])
+
+
 def counter_deltas(
     snapshots: DataFrame, label: str, value: str = "total", order: tuple[str, str] = ("ts", "event_id"), slice_seconds: int = 3600
 ) -> DataFrame:
@@ -109,12 +118,9 @@ def counter_deltas(
     within = Window.partitionBy(label, "_slice").orderBy(ts, tie)
     ends = sliced.groupBy(label, "_slice").agg(F.max(F.struct(ts, tie, value))[value].alias("_end"))
     carried = ends.withColumn("_carry", F.lag("_end", 1, 0.0).over(Window.partitionBy(label).orderBy("_slice")))
-    return (
-        sliced.withColumn("_prev", F.lag(value).over(within))
-        .join(carried.select(label, "_slice", "_carry"), [label, "_slice"])
-        .withColumn("delta", F.col(value) - F.coalesce("_prev", "_carry"))
-        .drop("_prev", "_carry", "_slice")
-    )
+    before = sliced.withColumn("_prev", F.lag(value).over(within))
+    joined = _with_slice_row(before, carried.select(label, "_slice", "_carry"), [label, "_slice"])
+    return joined.withColumn("delta", F.col(value) - F.coalesce("_prev", "_carry")).drop("_prev", "_carry", "_slice")
 
 
 def running_totals(
@@ -133,12 +139,9 @@ def running_totals(
     sums = sliced.groupBy(*keys, "_slice").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    return (
-        sliced.withColumn("_local", F.sum("_amount").over(within))
-        .join(offsets, [*keys, "_slice"])
-        .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_local", "_offset", "_amount", "_slice")
-    )
+    local = sliced.withColumn("_local", F.sum("_amount").over(within))
+    joined = _with_slice_row(local, offsets, [*keys, "_slice"])
+    return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset", "_amount", "_slice")
 
 
 def latest_gauge(events: DataFrame, label: str, value: str = "value", order: tuple[str, str] = ("ts", "event_id")) -> DataFrame:

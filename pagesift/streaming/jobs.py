@@ -45,7 +45,9 @@ def index_arrivals(
             F.lit(None).cast("array<float>").alias("vector"),
             F.lit(True).alias("can_be_vectorized"),
         )
+        pages.persist()  # parsed once, read by both halves of the indexing pass
         index_pass(pages, loader).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        pages.unpersist()
 
     writer = raw_pages.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -56,6 +56,20 @@ def test_deltas_and_totals_across_slices(spark):
     assert [r.delta for r in deltas.where("label = 'b'").collect()] == [9.0]
 
 
+def test_no_row_is_lost_to_a_missing_label(spark):
+    df = events(spark, (0, None, 1), (10, None, 2), (9000, None, 4), (5, "a", 8))
+    totals = M.running_totals(df, F.col("value"), "label")
+    assert sorted(r.total for r in totals.collect()) == [1, 3, 7, 8]
+    assert sorted(r.delta for r in M.counter_deltas(totals, "label").collect()) == [1, 2, 4, 8]
+
+
+def test_one_label_over_many_slices_equals_one_window(spark):
+    df = events(spark, *[(s * 37 % 50_000, "hot" if s % 3 else "cold", s % 11) for s in range(3000)])
+    plain = df.selectExpr("event_id", "sum(value) over (partition by label order by ts, event_id) as total").collect()
+    sliced = M.running_totals(df, F.col("value"), "label", slice_seconds=600).select("event_id", "total").collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, sliced))
+
+
 def test_latest_gauge_breaks_ties_by_id(spark):
     got = M.latest_gauge(events(spark, (5, "a", 1), (5, "a", 2), (1, "a", 3)), "label").collect()
     assert [(r.label, r.value) for r in got] == [("a", 2.0)]

@@ -94,6 +94,18 @@ def test_resolve(spark):
     assert [(a, g) for (a, _), g in zip(RESOLVED, got, strict=True)] == RESOLVED
 
 
+def test_resolve_agrees_with_rfc_resolution(spark):
+    import itertools
+    from urllib.parse import urljoin
+
+    parts = ["a", "..", ".", "b.c", "..."]
+    hrefs = ["/".join(p) for n in (1, 2, 3, 4) for p in itertools.product(parts, repeat=n)]
+    hrefs += ["/" + h for h in hrefs]
+    got = rows(spark, [(h, None) for h in hrefs], lambda h: U.resolve_url(F.lit(BASE), h))
+    want = [urljoin(BASE, h).rstrip("/") for h in hrefs]
+    assert [(h, g) for h, g in zip(hrefs, got, strict=True)] == list(zip(hrefs, want, strict=True))
+
+
 def test_resolve_against_trimmed_or_real_directory(spark):
     page = [("b", None)]
     assert rows(spark, page, lambda h: U.resolve_url(F.lit("https://example.com/a"), h)) == ["https://example.com/b"]
