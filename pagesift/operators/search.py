@@ -9,15 +9,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift import schemas as S
 from pagesift.session import written
 
-# Queries compared in one pass over the pages. Their matrix is what gets broadcast:
-# 16,384 queries of 384 doubles are 50 MB. More queries take more passes.
+# Queries compared in one pass over the pages. Their matrix of doubles is what gets
+# broadcast, so its size is bounded too. More queries take more passes.
 MAX_QUERIES_PER_PASS = 16_384
+MAX_QUERY_BYTES = 64 << 20
 _HITS = "query_id bigint, k bigint, page_id bigint, sim double"
 _MAX_CELLS = 8_000_000
 _SPLIT_LIMIT = 40
@@ -131,7 +133,8 @@ def _in_passes(queries: DataFrame, default_k: int, run, depth: int = 0) -> DataF
     head = queries.limit(MAX_QUERIES_PER_PASS + 1).toArrow()
     if head.num_rows == 0:
         return queries.sparkSession.createDataFrame([], _HITS)
-    if head.num_rows <= MAX_QUERIES_PER_PASS:
+    size = 8 * pc.sum(pc.list_value_length(head.column("vector"))).as_py()
+    if head.num_rows <= MAX_QUERIES_PER_PASS and (size <= MAX_QUERY_BYTES or head.num_rows == 1):
         hits = run(_QuerySet(head, default_k))
         return hits if depth == 0 else written(hits, "search-pass")
     if depth >= _SPLIT_LIMIT:

@@ -111,7 +111,7 @@ def crawl_round(
     )
 
 
-def replay_crawl(corpus: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def replay_crawl(corpus: DataFrame, seeds: DataFrame, max_rounds: int | None = None, buckets: int | None = None) -> DataFrame:
     """Final URL state after crawling ``corpus(page_id, url, html)`` from ``seeds(raw, seq)``.
 
     Every body is parsed once, up front, into a narrow edge table bucketed by source
@@ -126,7 +126,7 @@ def replay_crawl(corpus: DataFrame, seeds: DataFrame, max_rounds: int | None = N
     spark = corpus.sparkSession
     fresh = written(frontier.seed_frontier(frontier.empty_state(spark), seeds, 0), "frontier")
     seen, round_no = fresh, 0
-    with bucketed(edges, "parent", "edges") as links:
+    with bucketed(edges, "parent", "edges", buckets) as links:
         while (max_rounds is None or round_no < max_rounds) and not fresh.isEmpty():
             round_no += 1
             found = links.join(fresh.select(F.col("url").alias("parent")), "parent")

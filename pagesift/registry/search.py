@@ -46,9 +46,9 @@ _TOP = """SELECT query_id, rk, page_id, sim FROM (
   FROM (SELECT query_id, page_id, list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v))) AS sim
         FROM qs, ev) WHERE sim > 0.3) WHERE rk <= 10"""
 
-_CENTROIDS_SQL = """qs AS (SELECT label AS query_id, list(m ORDER BY pos) AS q FROM (
+_CENTROIDS_SQL = """qs AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY pos) AS q FROM (
   SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM ev) GROUP BY label, pos) GROUP BY label)"""
-_NEWEST_SQL = "qs AS (SELECT label AS query_id, max_by(v, page_id) AS q FROM ev GROUP BY label)"
+_NEWEST_SQL = "qs AS (SELECT CAST(label AS BIGINT) AS query_id, max_by(v, page_id) AS q FROM ev GROUP BY label)"
 
 
 def _centroids(spark, sf) -> DataFrame:

@@ -83,15 +83,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> Iterator[DataFrame]:
     """``df`` as a table bucketed and sorted by ``key``, for repeated joins on it.
 
     Inside the block, joins on the key read the table where it lies instead of
-    shuffling it again. One task writes one bucket, so there is one file per bucket.
+    shuffling it again. One task writes one bucket, so there is one file per bucket;
+    the number of shuffle partitions is the default.
     The catalog entry is dropped at the end; results must not depend on the table then.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"pagesift_{name}_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
     writer.option("path", scratch_path(spark, name)).saveAsTable(table)

@@ -57,6 +57,9 @@ def test_more_queries_than_one_pass(spark, monkeypatch):
     expected = hits(R.search_topk(p, q, k=3))
     monkeypatch.setattr(R, "MAX_QUERIES_PER_PASS", 7)
     assert hits(R.search_topk(p, q, k=3)) == expected
+    monkeypatch.setattr(R, "MAX_QUERIES_PER_PASS", 100)
+    monkeypatch.setattr(R, "MAX_QUERY_BYTES", 8 * 8 * 10)
+    assert hits(R.search_topk(p, q, k=3)) == expected
     assert same(expected, brute_force(pages, queries, 3, 0.3))
 
 
