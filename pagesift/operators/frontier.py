@@ -134,6 +134,13 @@ def release_due(state: DataFrame, now: int, round_no: int, retry_queue: DataFram
     )
 
 
+def due_released(state: DataFrame, now: int, round_no: int) -> DataFrame:
+    """The whole state table with due retries queued again, row by row and without a join."""
+    due = (F.col("status") == S.RETRY) & (F.col("retry_at") <= now)
+    new = {"status": F.lit(S.QUEUED), "enqueue_round": _long(round_no), "enqueue_seq": F.col("retry_at")}
+    return state.select(*[F.when(due, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in COLUMNS])
+
+
 def retries_left(state: DataFrame, now: int) -> DataFrame:
     """How many retries are not due yet, as one row ``(remaining)``."""
     return state.agg(F.count_if((F.col("status") == S.RETRY) & (F.col("retry_at") > now)).alias("remaining"))

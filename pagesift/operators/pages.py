@@ -35,29 +35,37 @@ def pages_exist(pages: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def upsert_pages(existing: DataFrame, updates: DataFrame, version: str = "version") -> DataFrame:
-    """The pages table after ``updates`` overwrite every non-key column by URL.
+def changed_pages(existing: DataFrame, updates: DataFrame, version: str = "version") -> DataFrame:
+    """The page rows that ``updates`` write: every non-key column overwritten by URL.
 
     Among several updates of one URL the highest ``version`` wins. Existing pages
     keep their id; new pages get a hash of their URL. Updates carry no page_id.
     ``row_number() = 1`` is limited per task before the exchange, so a URL that
-    is updated over and over does not pile up in one task.
+    is updated over and over does not pile up in one task. Of the existing table
+    only the two key columns are read.
     """
     newest = Window.partitionBy("url").orderBy(F.col(version).desc())
     latest = updates.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn", version)
-    latest = latest.select(
+    ids = existing.select("url", "page_id")
+    rows = latest.join(ids, "url", "left").select(
+        F.coalesce("page_id", F.xxhash64("url")).alias("page_id"),
         "url",
         *_TEXT,
         "crawled_at",
         F.when(F.size("vector") > 0, l2_normalize(F.col("vector"))).alias("vector"),
         (~F.coalesce(F.size("vector") == 0, F.lit(False))).alias("can_be_vectorized"),
     )
-    ids = existing.select("url", "page_id")
-    written = latest.join(ids, "url", "left").withColumn("page_id", F.coalesce("page_id", F.xxhash64("url")))
-    untouched = existing.join(latest.select("url"), "url", "left_anti")
-    columns = ["page_id", "url", *_TEXT, "crawled_at", "vector", "can_be_vectorized"]
-    typed = [F.col(c).cast(existing.schema[c].dataType).alias(c) for c in columns]
-    return untouched.select(columns).unionByName(written.select(typed))
+    return rows.select(*[F.col(c).cast(existing.schema[c].dataType).alias(c) for c in rows.columns])
+
+
+def replace_pages(existing: DataFrame, changed: DataFrame) -> DataFrame:
+    """The pages table with ``changed`` rows in place of the old ones of the same URL."""
+    return existing.join(changed.select("url"), "url", "left_anti").select(changed.columns).unionByName(changed)
+
+
+def upsert_pages(existing: DataFrame, updates: DataFrame, version: str = "version") -> DataFrame:
+    """The whole pages table after ``updates``; see ``changed_pages`` for the rules."""
+    return replace_pages(existing, changed_pages(existing, updates, version))
 
 
 def unvectorized(pages: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pagesift.functions.fetch import effective_content_type, fetch_class, is_tex
 from pagesift.operators import frontier
 from pagesift.operators.extract import assemble_pages, extract_links, links_of
 from pagesift.operators.links import new_links
-from pagesift.operators.pages import upsert_pages
+from pagesift.operators.pages import changed_pages, replace_pages
 from pagesift.session import bucketed, written
 
 _COMPACT_EVERY = 16
@@ -26,6 +26,19 @@ class CrawlTables(NamedTuple):
     links: DataFrame
 
 
+def apply_changes(tables: CrawlTables, changes: CrawlTables) -> CrawlTables:
+    """The tables with the rows of one round in place.
+
+    Lazy: keep several rounds as small change sets and write the merged tables out
+    (``sources.snapshots``) as often as suits, not once per round.
+    """
+    return CrawlTables(
+        frontier.replace_rows(tables.state, changes.state),
+        replace_pages(tables.pages, changes.pages),
+        tables.links.unionByName(changes.links),
+    )
+
+
 def link_candidates(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """``(parent_url, dst_page_id)`` for edges ``(parent, url)`` whose child is a stored page.
 
@@ -47,16 +60,16 @@ def crawl_round(
     try_limit: int = S.TRY_LIMIT,
     base_ms: int = S.RETRY_BASE_MS,
 ) -> CrawlTables:
-    """The tables after one batch of ``n`` URLs has been taken, read and settled.
+    """The changed rows of each table after one batch of ``n`` URLs was taken, read and settled.
 
     ``fetched`` holds one record per URL (``schemas.FETCH_RECORD``). Due retries are
     released first, then the batch is taken in queue order. Pages are stored under their
     final URL, linked to the page that discovered them, and their unseen same-site links
     are queued under the next round number. A taken URL without a record stays in
     Processing until the stale sweep. ``round_no`` must grow by at least two per call.
+    The big tables are only scanned for keys and due times; stored text is not read.
     """
-    state = tables.state
-    ready = frontier.replace_rows(state, frontier.release_due(state, now, round_no))
+    ready = frontier.due_released(tables.state, now, round_no)
     taken = written(frontier.take_batch(ready, n, now, workers, "position"), "taken")
     records = taken.select("url", "parent", "position").join(fetched, "url")
     final = canonical_url(F.coalesce("final_url", "url"))
@@ -89,8 +102,9 @@ def crawl_round(
     updates = parsed.select(
         "url", "title", "description", "content", "crawled_at", F.lit(None).cast("array<float>").alias("vector"), F.col("asked").alias("version")
     )
-    pages = written(upsert_pages(tables.pages, updates), "pages")
-    found = new_links(pages, tables.links, link_candidates(pages, parsed.select("url", "parent")))
+    pages = written(changed_pages(tables.pages, updates), "pages")
+    known = tables.pages.select("url", "page_id").unionByName(pages.select("url", "page_id"))
+    links = new_links(known, tables.links, link_candidates(pages, parsed.select("url", "parent"))).distinct()
 
     after = taken.join(settled.select("url", "new_status", F.col("try").alias("_try"), F.col("retry_at").alias("_retry_at")), "url", "left").select(
         "url",
@@ -104,11 +118,9 @@ def crawl_round(
     order = F.col("position") * _POSITIONS_PER_PAGE + F.col("pos")
     hrefs = links_of(parsed, id_col="position").select("url", "parent", order.alias("seq"))
     pushed = frontier.push_urls(ready, hrefs, round_no + 1)
-    return CrawlTables(
-        written(frontier.replace_rows(ready, after).unionByName(pushed), "state"),
-        pages,
-        written(tables.links.unionByName(found), "links"),
-    )
+    released = frontier.release_due(tables.state, now, round_no).join(taken.select("url"), "url", "left_anti")
+    state = after.unionByName(released.select(frontier.COLUMNS)).unionByName(pushed)
+    return CrawlTables(written(state, "state"), pages, written(links, "links"))
 
 
 def replay_crawl(corpus: DataFrame, seeds: DataFrame, max_rounds: int | None = None, buckets: int | None = None) -> DataFrame:

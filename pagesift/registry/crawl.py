@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagesift import schemas as S
 from pagesift.operators import frontier as Q
 from pagesift.operators.extract import extract_links
-from pagesift.plans.crawl import CrawlTables, crawl_round, replay_crawl
+from pagesift.plans.crawl import CrawlTables, apply_changes, crawl_round, replay_crawl
 from pagesift.registry.base import (
     NOW,
     SNIFF_SQL,
@@ -269,7 +269,7 @@ def one_round(spark, sf):
     records = fetch_log(spark, sf).join(canonical_pages(spark, sf).select("page_id"), "page_id", "left_semi")
     records = records.withColumn("final_url", F.col("url"))
     tables = CrawlTables(url_state(spark, sf), spark.createDataFrame([], S.PAGE), spark.createDataFrame([], S.LINK))
-    after = crawl_round(tables, records, NOW, 1, 100_000)
+    after = apply_changes(tables, crawl_round(tables, records, NOW, 1, 100_000))
     return after.state.select("url", "status", "try", "retry_at", "parent", "enqueue_round", "enqueue_seq")
 
 

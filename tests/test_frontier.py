@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagesift import schemas as S
 from pagesift.operators import frontier as Q
-from pagesift.plans.crawl import CrawlTables, crawl_round, replay_crawl
+from pagesift.plans.crawl import CrawlTables, apply_changes, crawl_round, replay_crawl
 
 NOW = 1_000_000
 URLS = [c * n for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for n in (1, 2, 3)]
@@ -210,6 +210,10 @@ def page_body(*hrefs):
     return f"<html><head><title>T</title></head><body><article><p>{text}</p>" + "".join(f'<a href="{h}">x</a>' for h in hrefs) + "</article></body></html>"
 
 
+def step(tables, *args, **kwargs):
+    return apply_changes(tables, crawl_round(tables, *args, **kwargs))
+
+
 SITE = "https://a.example"
 
 
@@ -223,41 +227,49 @@ def test_round_stores_page_and_queues_links(spark):
         (SITE, None, 200, page_body("/1", "/2", "/3", "https://b.example/x", "https://c.example/")),
         *[(f"{SITE}/{i}", None, 200, page_body("/")) for i in (1, 2, 3)],
     )
-    first = crawl_round(start(spark, SITE), records, NOW, 1, 10)
+    first = step(start(spark, SITE), records, NOW, 1, 10)
     assert statuses(first) == {"": S.DONE, "/1": S.QUEUED, "/2": S.QUEUED, "/3": S.QUEUED}
     page = first.pages.collect()[0]
     assert (page.url, page.title, page.vector, page.can_be_vectorized) == (SITE, "T", None, True)
     assert first.links.count() == 0
-    second = crawl_round(first, records, NOW, 3, 10)
+    second = step(first, records, NOW, 3, 10)
     assert set(statuses(second).values()) == {S.DONE}
     assert second.pages.count() == 4
     ids = {r.url: r.page_id for r in second.pages.collect()}
     assert sorted(tuple(r) for r in second.links.collect()) == sorted((ids[SITE], ids[f"{SITE}/{i}"]) for i in (1, 2, 3))
-    assert statuses(crawl_round(second, records, NOW, 5, 10)) == statuses(second)
+    assert statuses(step(second, records, NOW, 5, 10)) == statuses(second)
 
 
 def test_round_retries_then_gives_up(spark):
     records = fetched(spark, (SITE, None, 503, None), (SITE + "/gone", None, 404, None))
-    first = crawl_round(start(spark, SITE, SITE + "/gone"), records, NOW, 1, 10, try_limit=1, base_ms=50)
+    first = step(start(spark, SITE, SITE + "/gone"), records, NOW, 1, 10, try_limit=1, base_ms=50)
     assert statuses(first) == {"": S.RETRY, "/gone": S.GIVE_UP}
     waiting = first.state.where("status = 6").collect()[0]
     assert (waiting["try"], waiting.retry_at) == (1, NOW + 50)
-    early = crawl_round(first, records, NOW + 49, 3, 10, try_limit=1, base_ms=50)
+    early = step(first, records, NOW + 49, 3, 10, try_limit=1, base_ms=50)
     assert statuses(early) == statuses(first)
-    late = crawl_round(early, records, NOW + 50, 5, 10, try_limit=1, base_ms=50)
+    late = step(early, records, NOW + 50, 5, 10, try_limit=1, base_ms=50)
     assert statuses(late) == {"": S.GIVE_UP, "/gone": S.GIVE_UP}
 
 
 def test_round_queues_repeats_once_and_nothing_external(spark):
-    got = crawl_round(start(spark, SITE), fetched(spark, (SITE, None, 200, page_body("/about", "/about", "/about"))), NOW, 1, 10)
+    got = step(start(spark, SITE), fetched(spark, (SITE, None, 200, page_body("/about", "/about", "/about"))), NOW, 1, 10)
     assert statuses(got) == {"": S.DONE, "/about": S.QUEUED}
-    got = crawl_round(start(spark, SITE), fetched(spark, (SITE, None, 200, page_body("https://x.example/a", "//y.example"))), NOW, 1, 10)
+    got = step(start(spark, SITE), fetched(spark, (SITE, None, 200, page_body("https://x.example/a", "//y.example"))), NOW, 1, 10)
     assert statuses(got) == {"": S.DONE}
 
 
 def test_round_redirect_and_gate(spark):
     records = fetched(spark, (SITE, SITE + "/b/", 301, None), (SITE + "/a", SITE + "/b/", 200, page_body("/c")), (SITE + "/pdf", None, 200, "%PDF-1.7"))
-    got = crawl_round(start(spark, SITE + "/a", SITE + "/pdf", SITE + "/unread"), records, NOW, 1, 10)
+    got = step(start(spark, SITE + "/a", SITE + "/pdf", SITE + "/unread"), records, NOW, 1, 10)
     assert statuses(got) == {"/a": S.DONE, "/pdf": S.GIVE_UP, "/unread": S.PROCESSING, "/c": S.QUEUED}
     assert [r.url for r in got.pages.collect()] == [SITE + "/b"]
     assert got.state.where(F.col("status") == S.QUEUED).collect()[0].parent == SITE + "/b"
+
+
+def test_round_hands_over_changes_only(spark):
+    tables = start(spark, SITE, SITE + "/1")
+    tables = tables._replace(state=tables.state.unionByName(state_of(spark, row("D", S.DONE), row("R", S.RETRY, retry_at=NOW), row("L", S.RETRY, retry_at=NOW + 1))))
+    changes = crawl_round(tables, fetched(spark, (SITE, None, 200, page_body("/2"))), NOW, 1, 1)
+    assert {r.url: r.status for r in changes.state.collect()} == {SITE: S.DONE, "R": S.QUEUED, SITE + "/2": S.QUEUED}
+    assert changes.pages.count() == 1

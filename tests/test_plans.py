@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 
 from pagesift.registry import QUERIES
-from pagesift.registry.base import page_table, vectors_of
+from pagesift.operators import frontier as Q
 from pagesift.operators import pages as P
 from pagesift.operators import search as R
+from pagesift.registry.base import NOW, page_table, url_state, vectors_of
+from pagesift.session import bucketed
 
 FOLDER = "/root/testdata/sf0.001"
 BUILT_WHILE_RUNNING = {n for n in QUERIES if n.startswith("stream_")} | {"crawl_replay", "crawl_round"}
@@ -32,6 +34,21 @@ def test_point_lookup_reaches_the_scan(spark, tmp_path):
     assert "content" not in plan(P.recent_pages(stored)).split("ReadSchema")[1]
 
 
+def test_bucketed_edges_are_joined_in_place(spark):
+    edges = spark.range(1000).selectExpr("cast(id % 97 as string) as parent", "id")
+    frontier = spark.range(50).selectExpr("cast(id as string) as parent")
+    with bucketed(edges, "parent", "edges") as table:
+        text = plan(table.join(frontier.hint("merge"), "parent"))
+        assert text.count("Exchange") == 1
+        name = next(t.name for t in spark.catalog.listTables() if t.name.startswith("pagesift_edges"))
+    assert not spark.catalog.tableExists(name)
+
+
+def test_releasing_retries_needs_no_join(spark):
+    text = plan(Q.due_released(url_state(spark, FOLDER), NOW, 1))
+    assert "Join" not in text
+
+
 def test_search_shuffles_hits_only(spark):
     pages = vectors_of(spark, FOLDER)
     queries = pages.withColumnRenamed("page_id", "query_id")
