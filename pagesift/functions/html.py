@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from html.entities import html5
 from typing import NamedTuple
 
 _NAME = r"[^\s/<>][^\s/<>=]*+"
@@ -94,12 +95,20 @@ class _Box:
         return (self.score or 0.0) * (1.0 - self.link_chars / max(self.chars, 1))
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*;?)(?!=))")
+
+
+def _attribute_text(value: str) -> str:
+    """Decode character references as in attributes, where ``&copy=1`` is a parameter and not a sign."""
+    return _REFERENCE.sub(lambda m: html5.get(m.group(1), m.group()) if m.group(1) else unescape(m.group()), value)
+
+
 def _attributes(source: str) -> list[tuple[str, str]]:
     out = []
     for name, value in _ATTRS.findall(source):
         if value[:1] in ("'", '"'):
             value = value[1:-1]
-        out.append((name.lower(), unescape(value) if "&" in value else value))
+        out.append((name.lower(), _attribute_text(value) if "&" in value else value))
     return out
 
 

@@ -78,8 +78,9 @@ lk AS (
   FROM (SELECT page_id, pos, parent, regexp_extract(parent, '^[^/]*//[^/]*') || href AS full_url FROM hrefs))"""
 
 def unescape_sql(text: str) -> str:
-    for entity, char in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "''", "&#39;": "''", "&amp;": "&"}.items():
-        text = f"replace({text}, '{entity}', '{char}')"
+    """The character references that occur in the given pages; the oldest names need no semicolon in text."""
+    for entity, char in {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#x27;": "''", "&#39;": "''", "&amp;?": "&"}.items():
+        text = f"regexp_replace({text}, '{entity}', '{char}', 'g')"
     return text
 
 

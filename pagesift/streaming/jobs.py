@@ -26,7 +26,12 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | Non
 
 
 def index_arrivals(
-    raw_pages: DataFrame, path: str, checkpoint: str, loader: EmbedLoader | None = None, trigger: dict | None = None
+    raw_pages: DataFrame,
+    path: str,
+    checkpoint: str,
+    loader: EmbedLoader | None = None,
+    trigger: dict | None = None,
+    vector_type: str = "array<float>",
 ) -> StreamingQuery:
     """Parse and embed pages as they arrive, one folder per micro-batch.
 
@@ -42,7 +47,7 @@ def index_arrivals(
             "description",
             "content",
             "crawled_at",
-            F.lit(None).cast("array<float>").alias("vector"),
+            F.lit(None).cast(vector_type).alias("vector"),
             F.lit(True).alias("can_be_vectorized"),
         )
         pages.persist()  # parsed once, read by both halves of the indexing pass
