@@ -278,8 +278,12 @@ def search_ann(
 
 
 def with_page_fields(hits: DataFrame, pages: DataFrame) -> DataFrame:
-    """Attach ``url, title, description`` to finished hits; wide columns never meet the ranking."""
-    return hits.join(pages.select("page_id", "url", "title", "description"), "page_id")
+    """Attach ``url, title, description`` to finished hits; wide columns never meet the ranking.
+
+    The hits are written first. Their size is then known to the planner, which sends a
+    small answer to the pages instead of shuffling the pages to it.
+    """
+    return written(hits, "hits").join(pages.select("page_id", "url", "title", "description"), "page_id")
 
 
 def search_responses(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -65,17 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/pagesift/{uuid.uuid4().hex}/{name}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
-    Unlike a checkpointed DataFrame the result keeps column pruning and filter
-    pushdown, so it is the form to use for wide rows that are read repeatedly.
+    This cuts lineage and survives the loss of any executor; unlike a checkpoint the
+    result keeps column pruning, filter pushdown and a known size.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
