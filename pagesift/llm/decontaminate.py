@@ -149,7 +149,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     at = len(kept)
     for block in _blocks(benchmark, block_bytes):
         state = state.mapInArrow(_pass(spark.sparkContext.broadcast(Patterns(block, window)), at), state.schema)
-    schema = T.StructType(state.schema.fields[: at + 1]).add("n_words", "bigint").add("n_hit", "bigint").add("items", "array<bigint>")
+    schema = T.StructType(state.schema.fields[: at + 1]).add("n_words", T.LongType()).add("n_hit", T.LongType()).add("items", T.ArrayType(T.LongType()))
     counted = state.mapInArrow(_count(at), schema)
     items = F.coalesce("items", F.array().cast("array<bigint>"))
     return counted.withColumn("items", items).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
