@@ -34,11 +34,11 @@ from pagesift.llm.common import as_bytes, doc_key, pack, parts_for, text_bytes,
 _BASE_KEY, _BASE_BUCKET = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _LOW56 = np.uint64((1 << 56) - 1)
 
-BUCKET_BYTES = 12 << 20
-"""Text per hash bucket: about two million windows, sorted in one task."""
+BUCKET_BYTES = 8 << 20
+"""Text per hash bucket: over a million windows, sorted in one task."""
 GROUP_BYTES = 4 << 20
 """Text per group of documents in the last step."""
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 """Text hashed at a time."""
 
 _PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
