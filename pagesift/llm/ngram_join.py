@@ -199,7 +199,7 @@ class NgramJoin:
         a = sets.select(F.col("cls").alias("u"), F.col("n").alias("n1"), F.col("ranges").alias("r1"), F.col("grams").alias("g1"))
         b = sets.select(F.col("cls").alias("v"), F.col("n").alias("n2"), F.col("ranges").alias("r2"), F.col("grams").alias("g2"))
         # suffix filter on the narrow columns first, so that sets travel for what is left
-        bound = F.aggregate(F.zip_with("r1", "r2", F.least), F.lit(0).cast("bigint"), lambda s, x: s + x)
+        bound = F.aggregate(F.zip_with("r1", "r2", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
         narrow = pairs.join(a.drop("g1"), "u").join(b.drop("g2"), "v").where((self.den + self.num) * bound >= self.num * (F.col("n1") + F.col("n2"))).select("u", "v")
         wide = narrow.join(a.select("u", "g1"), "u").join(b.select("v", "g2"), "v").select("u", "v", "g1", "g2")
         return written(wide.mapInArrow(_verify(self.num, self.den), "u bigint, v bigint, linked boolean"), "verified")

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import read_table
 from pagesift.llm.decontaminate import find_contamination
+from pagesift.llm.html_consensus import extract_pages
+from pagesift.llm.language_id import held_out, identify, train
+from pagesift.llm.license_scan import scan_licenses
+from pagesift.llm.ngram_join import ngram_join
+from pagesift.llm.quality_rules import BASE, quality_rules
+from pagesift.llm.sentencepiece_codec import encode
 from pagesift.llm.substring_dedup import substring_dedup
+from pagesift.llm.vector_packing import shard_documents
 from pagesift.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +97,45 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(docs, read_table(spark, folder, "benchmark"), window=13)
     ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules(read_table(spark, folder, "documents").select("doc_id", "text", "lang"), read_table(spark, folder, "labels"))
+    return found.select("doc_id", *BASE, "base_failed", "kept", "stratum", "rejected_by")
+
+
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    members, _ = ngram_join(read_table(spark, folder, "documents").select("doc_id", "text"), size=3, num=90, den=100)
+    return members.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_vector_packing")
+def op6_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = shard_documents(read_table(spark, folder, "documents").select("doc_id", "text"), shards=40)
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", grown, "n_tokens")
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = identify(docs, train(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return encode(docs, check=True).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
+@query("op10_html_consensus")
+def op10_html_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(read_table(spark, folder, "pages").select("page_id", "url", "html"))
