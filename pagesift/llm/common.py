@@ -162,3 +162,35 @@ def unpack(data: bytes) -> list[np.ndarray]:
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def counter_bytes(df: DataFrame, hashes, bits: int, squeeze) -> bytes:
+    """2**bits counters over all rows, one byte each: how often a 64-bit hash fell on a counter by its top bits.
+
+    ``hashes(batch)`` yields arrays of hashes; ``squeeze`` maps exact sums to bytes. Each task adds
+    up its own and sends compressed blocks of counters; the result has a fixed size.
+    """
+    blocks = 64
+    size = (1 << bits) // blocks
+
+    def count(batches):
+        counters = None
+        for batch in batches:
+            for found in hashes(batch):
+                if counters is None:
+                    counters = np.zeros(1 << bits, dtype=np.uint32)
+                np.add.at(counters, (found >> np.uint64(64 - bits)).astype(np.int64), 1)
+        if counters is not None:
+            packed = [pack(b) for b in counters.reshape(blocks, -1)]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "data": pa.array(packed, pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        counters = np.zeros(size, dtype=np.uint64)
+        for data in table.column("data").to_pylist():
+            counters += unpack(data)[0]
+        done = squeeze(counters).astype(np.uint8).tobytes()
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "data": pa.array([done], pa.binary())})
+
+    added = df.mapInArrow(count, "block int, data binary").groupBy("block").applyInArrow(total, "block int, data binary")
+    found = {block: bytes(data) for block, data in added.collect()}  # 2**bits bytes
+    return b"".join(found.get(i, bytes(size)) for i in range(blocks))

@@ -65,7 +65,7 @@ NOTICES: list[tuple[str, str]] = [
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLANK = "\\n[ \\t\\r]*\\n\\s*"
+BLANK = "\\n[ \\t\\r]*\\n[ \\t\\r\\n]*"
 
 
 def bigrams(text: str) -> list[str]:

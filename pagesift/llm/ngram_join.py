@@ -8,15 +8,17 @@ what is left), and each remaining pair is verified once on the whole sets.
 
 How it runs at scale
     * Frequencies for the order come from counters over all n-grams of all documents, added up
-      in Spark; there is a fixed number of them (``COUNTERS``), so what is broadcast has a fixed
+      in Spark; there is a fixed number of them, so what is broadcast has a fixed
       size. Any order that all documents share gives the same links; a better one is faster.
     * Documents with equal sets are one class, found by a grouped minimum; only one row a class
       takes part in the join.
     * Near copies in thousands would give pairs in millions. Therefore each n-gram first links
-      its classes with one class each (``STAR_ROUNDS`` times, with other choices), which is linear;
-      what is verified is merged to components. The last join then takes every pair of classes
+      its classes with a few leaders (``LEADERS``), which is linear; what is verified is merged
+      to components. The last join then takes every pair of classes
       that share a prefix n-gram and are not in one component yet, so no link between components
       can be missed, and pairs inside a component are never formed.
+    * Filters work on a few numbers a class. Whole sets are made only for the classes of pairs
+      that pass them; flags of fixed number let the scan leave most other texts where they are.
     * Class numbers are 64-bit fingerprints of sets; results carry the smallest document id.
 
 Input cases: null text or text without words has an empty set and is linked with nothing;
@@ -34,19 +36,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import NO_ID, as_bytes, doc_key, mix, pack, unpack, window_hashes, word_hashes
+from pagesift.llm.common import NO_ID, as_bytes, counter_bytes, doc_key, mix, window_hashes, word_hashes
 from pagesift.llm.components import components
 from pagesift.session import written
 
-COUNTERS = 1 << 24
-"""Frequency counters; a byte each is broadcast."""
-STAR_ROUNDS = 3
+COUNTER_BITS = 24
+"""2**24 frequency counters; a byte each is broadcast."""
+WANTED_BITS = 23
+"""Flags, a byte each, that tell in a scan which documents a join may want."""
+LEADERS = 3
+"""Classes of each n-gram that its other classes are compared with first."""
 BATCH_BYTES = 4 << 20
 RANGES = 16
 """Hash ranges of the suffix filter."""
 
 _BASE = 0xD1B54A32D192ED03
-_CHUNKS = 64
 
 
 def _lower(text: bytes) -> bytes:
@@ -85,33 +89,13 @@ def _text_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[
 
 
 def frequency_classes(docs: DataFrame, size: int) -> bytes:
-    """One byte a counter: twice the binary logarithm of how many documents' n-grams fell on it.
+    """One byte a counter: twice the binary logarithm of how many documents' n-grams fell on it, over all documents."""
 
-    Counted over all documents; each task adds up its own and sends compressed blocks of counters.
-    """
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, texts in _text_batches([batch], 0):
+            yield np.concatenate(shingle_sets(texts, size))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, dtype=np.uint32)
-        seen = False
-        for _, texts in _text_batches(batches, 0):
-            hashes = np.concatenate(shingle_sets(texts, size))
-            found, n = np.unique(hashes >> np.uint64(40), return_counts=True)
-            counters[found.astype(np.int64)] += n.astype(np.uint32)
-            seen = True
-        if seen:
-            blocks = [pack(b) for b in counters.reshape(_CHUNKS, -1)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "data": pa.array(blocks, pa.binary())})
-
-    def total(table: pa.Table) -> pa.Table:
-        counters = np.zeros(COUNTERS // _CHUNKS, dtype=np.uint64)
-        for data in table.column("data").to_pylist():
-            counters += unpack(data)[0]
-        classes = np.floor(2 * np.log2(counters + 1.0)).astype(np.uint8)
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "data": pa.array([classes.tobytes()], pa.binary())})
-
-    added = docs.select("text").mapInArrow(count, "chunk int, data binary").groupBy("chunk").applyInArrow(total, "chunk int, data binary")
-    blocks = dict(added.collect())  # COUNTERS bytes
-    return b"".join(bytes(blocks.get(i, b"\0" * (COUNTERS // _CHUNKS))) for i in range(_CHUNKS))
+    return counter_bytes(docs.select("text"), hashes, COUNTER_BITS, lambda n: np.floor(2 * np.log2(n + 1.0)))
 
 
 def _index(shared, size: int, num: int, den: int):
@@ -128,7 +112,7 @@ def _index(shared, size: int, num: int, den: int):
                 f1.append(int(mix(s ^ np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(mix(s * np.uint64(0x9E6C63D0876A9A47) + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                 first = n - -(-num * n // den) + 1 if n else 0
-                order = np.argsort(classes[(s >> np.uint64(40)).astype(np.int64)], kind="stable")[:first]  # ties by hash, as s is sorted
+                order = np.argsort(classes[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[:first]  # ties by hash, as s is sorted
                 prefixes.append(s[order].view(np.int64))
                 ranges.append(np.bincount((s >> np.uint64(16)).astype(np.int64) % RANGES, minlength=RANGES).astype(np.int32))
             lengths = np.cumsum([0] + [len(p) for p in prefixes])
@@ -139,10 +123,17 @@ def _index(shared, size: int, num: int, den: int):
     return run, "k1 bigint, k2 bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, ranges array<int>"
 
 
-def _sets(size: int):
+def _sets(shared, size: int):
+    """Sets of the flagged documents, which hold all that are wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _text_batches(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], names=["cls", "grams"])
+        flags = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            spots = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - WANTED_BITS)
+            batch = batch.filter(pa.array(flags[spots.astype(np.int64)] > 0))
+            for part, texts in _text_batches([batch], 3):
+                grams = pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), grams], names=["k1", "k2", "grams"])
 
     return run
 
@@ -183,69 +174,71 @@ class NgramJoin:
         self.classes = self.indexed.where("n > 0").groupBy(cls, "n").agg(
             F.min(F.struct("k1", "k2")).alias("first"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")
         )
+        self.heads = written(self.classes.select("cls", "n", "first", "ranges"), "heads")
 
     def _active(self) -> DataFrame:
         """Prefix entries of n-grams that two classes or more have in their prefixes."""
-        entries = self.classes.select("cls", "n", "first", "ranges", F.posexplode("prefix").alias("pos", "gram"))
+        entries = self.classes.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
         narrow = entries.select("gram", "cls", "n", F.col("pos").cast("bigint").alias("pos"))
         counts = narrow.groupBy("gram").agg(F.count("*").alias("many"))
         return narrow.join(counts.where("many > 1"), "gram").select("gram", "cls", "n", "pos")
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame, tried: list[DataFrame]) -> DataFrame:
-        """pairs(u, v) not tried before, with the outcome of the comparison of the whole sets."""
-        pairs = pairs.distinct()
-        for old in tried:
-            pairs = pairs.join(old.select("u", "v"), ["u", "v"], "left_anti")
-        a = sets.select(F.col("cls").alias("u"), F.col("n").alias("n1"), F.col("ranges").alias("r1"), F.col("grams").alias("g1"))
-        b = sets.select(F.col("cls").alias("v"), F.col("n").alias("n2"), F.col("ranges").alias("r2"), F.col("grams").alias("g2"))
-        # suffix filter on the narrow columns first, so that sets travel for what is left
-        bound = F.aggregate(F.zip_with("r1", "r2", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-        narrow = pairs.join(a.drop("g1"), "u").join(b.drop("g2"), "v").where((self.den + self.num) * bound >= self.num * (F.col("n1") + F.col("n2"))).select("u", "v")
-        wide = narrow.join(a.select("u", "g1"), "u").join(b.select("v", "g2"), "v").select("u", "v", "g1", "g2")
+    def _filtered(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose counts by hash range leave room for the wanted overlap."""
+        a = self.heads.select(F.col("cls").alias("u"), F.col("n").alias("n1"), F.col("ranges").alias("r1"))
+        b = self.heads.select(F.col("cls").alias("v"), F.col("n").alias("n2"), F.col("ranges").alias("r2"))
+        most = F.aggregate(F.zip_with("r1", "r2", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+        met = pairs.distinct().join(a, "u").join(b, "v").where((self.den + self.num) * most >= self.num * (F.col("n1") + F.col("n2")))
+        return written(met.select("u", "v"), "pairs")
+
+    def _wanted_sets(self, pairs: DataFrame) -> DataFrame:
+        """cls, grams of the classes of pairs, made from the text of the first document of each."""
+        classes = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+        wanted = written(self.heads.join(classes, "cls").select("cls", "first.k1", "first.k2"), "wanted")
+        spot = F.xxhash64("k1", "k2")
+        flags = counter_bytes(wanted.select(spot), lambda batch: [batch.column(0).to_numpy().view(np.uint64)], WANTED_BITS, lambda n: np.minimum(n, 1))
+        shared = self.spark.sparkContext.broadcast(flags)
+        sets = self.docs.select("k1", "k2", spot, "text").mapInArrow(_sets(shared, self.size), "k1 bigint, k2 bigint, grams binary")
+        # repeated rows give a set more than once
+        return written(sets.join(wanted, ["k1", "k2"]).groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """pairs(u, v) with the outcome of the comparison of the whole sets."""
+        sets = self._wanted_sets(pairs)
+        left = pairs.join(sets.select(F.col("cls").alias("u"), F.col("grams").alias("g1")), "u")
+        wide = left.join(sets.select(F.col("cls").alias("v"), F.col("grams").alias("g2")), "v").select("u", "v", "g1", "g2")
         return written(wide.mapInArrow(_verify(self.num, self.den), "u bigint, v bigint, linked boolean"), "verified")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Documents with their class and component, and the verified links between classes."""
         active = written(self._active(), "active")
-        wanted = written(active.select("cls").distinct(), "wanted")
-        chosen = self.classes.join(wanted, "cls").select("cls", "n", "ranges", "first.k1", "first.k2")
-        chosen = written(chosen, "chosen")
-        texts = self.docs.join(chosen.select("cls", "k1", "k2"), ["k1", "k2"]).select("cls", "text")
-        grams = texts.mapInArrow(_sets(self.size), "cls bigint, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
-        sets = written(chosen.select("cls", "n", "ranges").join(grams, "cls"), "sets")
-        roots: DataFrame | None = None
-        tried: list[DataFrame] = []
-        for turn in range(STAR_ROUNDS + 1):
-            placed = active.withColumn("comp", F.col("cls")) if roots is None else self._placed(active, roots)
-            if turn:
-                # n-grams whose classes are all in one component have nothing left to link
-                split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-                placed = placed.join(split, "gram")
-            pairs = self._all_pairs(placed) if turn == STAR_ROUNDS else self._star_pairs(placed, turn)
-            tried.append(self._verified(pairs, sets, tried))
-            links = tried[0]
-            for more in tried[1:]:
-                links = links.unionByName(more)
-            links = links.where("linked").select("u", "v")
-            roots = written(components(links), "roots")
-        least = self.indexed.where("n > 0").select(F.xxhash64("f1", "f2", "n").alias("cls"), "k1").groupBy("cls").agg(F.min("k1").alias("k1"))
-        least = self._placed(least, roots)
-        comps = least.groupBy("comp").agg(F.min("k1").alias("least"))
+        first = self._verified(self._filtered(self._leader_pairs(active)))
+        placed = self._placed(active, written(components(first.where("linked").select("u", "v")), "roots"))
+        # n-grams whose classes are all in one component have nothing left to link
+        split = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+        rest = self._all_pairs(placed.join(split, "gram")).distinct().join(first.select("u", "v"), ["u", "v"], "left_anti")
+        second = self._verified(self._filtered(rest))
+        links = first.unionByName(second).where("linked").select("u", "v")
+        roots = written(components(links), "roots")
+        least = self._placed(self.heads.select("cls", "first"), roots)
+        comps = least.groupBy("comp").agg(F.min("first").alias("least"))
         named = least.join(comps, "comp").select("cls", "least")
-        members = self.indexed.select("doc_id", "k1", "n", F.when(F.col("n") > 0, F.xxhash64("f1", "f2", "n")).alias("cls")).join(named, "cls", "left")
-        members = members.withColumn("component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k1")))
-        component = F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id")
-        return members.select("doc_id", F.col("n").alias("n_shingles"), component, F.col("cls").alias("class_id")), links
+        members = self.indexed.select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.xxhash64("f1", "f2", "n")).alias("cls")).join(named, "cls", "left")
+        members = members.withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(F.struct("k1", "k2")))
+        component = F.when(F.col("least.k1") != NO_ID, F.col("least.k1")).alias("component_id")
+        stays = ((F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))).alias("first")
+        return members.select("doc_id", F.col("n").alias("n_shingles"), component, F.col("cls").alias("class_id"), stays, "k1", "k2"), links
 
     def _placed(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
 
-    def _star_pairs(self, placed: DataFrame, turn: int) -> DataFrame:
-        """Each class with one class of the same n-gram, another choice each turn."""
-        lead = F.min_by(F.struct(F.col("cls").alias("c"), F.col("n").alias("m"), F.col("pos").alias("p"), F.col("comp").alias("k")), F.xxhash64("cls", F.lit(turn)))
-        leaders = placed.groupBy("gram").agg(lead.alias("lead"))
-        near = _may_link(self.num, self.den, F.col("n"), F.col("pos"), F.col("lead.m"), F.col("lead.p"))
-        met = placed.join(leaders, "gram").where((F.col("comp") != F.col("lead.k")) & near)
+    def _leader_pairs(self, active: DataFrame) -> DataFrame:
+        """Each class with the leaders of its n-grams: those with the smallest checksums."""
+        entry = F.struct(F.col("cls").alias("c"), F.col("n").alias("m"), F.col("pos").alias("p"))
+        leaders = active.groupBy("gram").agg(*(F.min_by(entry, F.xxhash64("cls", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)))
+        leaders = leaders.select("gram", F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leaders"))
+        met = active.join(leaders, "gram").select("cls", "n", "pos", F.explode("leaders").alias("lead")).where(F.col("cls") != F.col("lead.c"))
+        met = met.where(_may_link(self.num, self.den, F.col("n"), F.col("pos"), F.col("lead.m"), F.col("lead.p")))
         return met.select(F.least("cls", "lead.c").alias("u"), F.greatest("cls", "lead.c").alias("v"))
 
     def _all_pairs(self, placed: DataFrame) -> DataFrame:
@@ -258,9 +251,10 @@ class NgramJoin:
 
 
 def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (doc_id, n_shingles, component_id, class_id) and the links (u, v) between classes that were verified.
+    """docs(doc_id, text) -> (doc_id, n_shingles, component_id, class_id, first, k1, k2) and the links (u, v) between classes that were verified.
 
-    Documents of one class have equal sets. Links hold at least one for every step that joins two
+    ``first`` marks the document of each component with the smallest id; k1 and k2 are its
+    ``doc_key``. Documents of one class have equal sets. Links hold at least one for every step that joins two
     components, not every pair inside one.
     """
     return NgramJoin(docs, size, num, den).run()

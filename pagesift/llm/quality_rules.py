@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.llm.common import doc_key
 from pagesift.session import written
 
 RISK = 0.01
@@ -200,14 +201,15 @@ def choose_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """docs(doc_id, text, lang), labels(doc_id, quality, toxic) -> doc_id, the base numbers, the signals, stratum, base_failed, rejected_by, kept.
+    """docs(doc_id, text, lang), labels(doc_id, quality, toxic) -> doc_id, the base numbers, the signals, stratum, base_failed, rejected_by, kept, k1, k2.
 
-    ``rejected_by`` names the rules whose cutoff was passed.
+    ``rejected_by`` names the rules whose cutoff was passed; k1 and k2 are the ``doc_key``.
     """
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "toxic").dropna()
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), F.col("text").cast("string").alias("text"))
+    k1, k2 = doc_key()
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
     lexicon = toxic_lexicon(plain, labels)
-    measured = plain.mapInArrow(_measured(2, lexicon), "doc_id bigint, stratum string, " + _MEASURE_DDL)
+    measured = plain.mapInArrow(_measured(4, lexicon), "doc_id bigint, stratum string, k1 bigint, k2 bigint, " + _MEASURE_DDL)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # numbers only: a few dozen bytes a document, read twice below
     measured = written(measured.withColumn("base_failed", failed), "signals")
@@ -216,3 +218,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     hits = [F.when((F.col("stratum") == s) & (F.col(r) > c), F.lit(r)) for s, r, c in chosen]
     rejected = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     return measured.withColumn("rejected_by", rejected).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    k1, k2 = doc_key()
+    keys = quality_rules(docs, labels, risk, delta).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("stratum").alias("__stratum")).distinct()
+    same = (k1 == F.col("__k1")) & (k2 == F.col("__k2")) & F.col("lang").cast("string").eqNullSafe(F.col("__stratum"))
+    return docs.join(keys, same, "left_semi")

@@ -12,7 +12,8 @@ from pagesift.llm.common import read_table
 from pagesift.llm.decontaminate import find_contamination
 from pagesift.llm.html_consensus import extract_pages
 from pagesift.llm.language_id import held_out, identify, train
-from pagesift.llm.license_scan import scan_licenses
+from pagesift.llm.license_scan import BLANK, NOTICES, THRESHOLD, bigrams, scan_licenses
+from pagesift.llm.line_templates import DEPTH, MIN_DOCS, SIMILARITY, drop_recurring_lines
 from pagesift.llm.ngram_join import ngram_join
 from pagesift.llm.quality_rules import BASE, quality_rules
 from pagesift.llm.sentencepiece_codec import encode
@@ -99,13 +100,56 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+_OP2_SQL = f"""
+WITH ln AS (SELECT doc_id, i, ls[i] AS line FROM (
+  SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+w AS (SELECT doc_id, i, list_transform({words_sql("line")}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM ln),
+inst AS (SELECT doc_id, w, min(i) AS i FROM w WHERE len(w) > 0 GROUP BY doc_id, w),
+form AS (SELECT w, len(w) AS size, w[1:{DEPTH}] AS head, count(*) AS n, min((doc_id, i)) AS fst FROM inst GROUP BY w),
+leaf AS (SELECT size, head FROM form GROUP BY size, head HAVING sum(n) >= {MIN_DOCS}),
+hot AS (SELECT form.* FROM form JOIN leaf USING (size, head)),
+pl AS (SELECT w, size, head, n, p, w[p] AS word FROM (SELECT *, unnest(range({DEPTH} + 1, size + 1)) AS p FROM hot)),
+con AS (SELECT size, head, p, word FROM pl GROUP BY size, head, p, word HAVING sum(n) >= {MIN_DOCS}),
+kept AS (SELECT w, list((p, word) ORDER BY p) AS cs, count(*) AS k FROM pl JOIN con USING (size, head, p, word) GROUP BY w),
+shape AS (SELECT hot.*, cs FROM hot LEFT JOIN kept USING (w) WHERE least(size, {DEPTH}) + coalesce(k, 0) >= {SIMILARITY} * size),
+tpl AS (SELECT w, sum(n) OVER same AS docs, min(fst) OVER same AS fst FROM shape WINDOW same AS (PARTITION BY size, head, cs)),
+gone AS (SELECT w.doc_id, w.i FROM w JOIN tpl ON w.w = tpl.w WHERE docs >= {MIN_DOCS} AND (w.doc_id, w.i) <> fst),
+lost AS (SELECT doc_id, count(*) AS n, list(i) AS ps FROM gone GROUP BY doc_id),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)
+SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN n IS NULL THEN text ELSE array_to_string(
+         list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(ps, i)), lambda i: ls[i]), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)"""
+
+
+@query("op2_line_templates", _OP2_SQL)
+def op2_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    found = drop_recurring_lines(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op3_quality_rules")
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules(read_table(spark, folder, "documents").select("doc_id", "text", "lang"), read_table(spark, folder, "labels"))
     return found.select("doc_id", *BASE, "base_failed", "kept", "stratum", "rejected_by")
 
 
-@query("op5_ngram_join")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+st AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g FROM st),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ov AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM ov JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id
+FROM documents LEFT JOIN sz USING (doc_id) LEFT JOIN low USING (doc_id)"""
+
+
+@query("op5_ngram_join", _OP5_SQL)
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     members, _ = ngram_join(read_table(spark, folder, "documents").select("doc_id", "text"), size=3, num=90, den=100)
     return members.select("doc_id", "n_shingles", "component_id")
@@ -118,7 +162,23 @@ def op6_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", grown, "n_tokens")
 
 
-@query("op7_license_scan")
+def _list_sql(texts: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in texts) + "]"
+
+
+_OP7_SQL = f"""
+WITH tpl AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {_list_sql(bigrams(text))})" for name, text in NOTICES)}) AS t(license, t)),
+seg AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), list_filter(
+  regexp_split_to_array(text, '{BLANK}'), lambda x: contains(x, chr(10))))) AS s, 0 AS x FROM documents WHERE text IS NOT NULL),
+wd AS (SELECT doc_id, row_number() OVER () AS k,
+  string_split(trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM seg),
+gr AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM wd WHERE len(w) > 1),
+sc AS (SELECT doc_id, k, license, CAST(2 * len(list_intersect(g, t)) AS DOUBLE) / (len(g) + len(t)) AS dice FROM gr, tpl),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, license) AS r FROM sc WHERE dice >= {THRESHOLD}) WHERE r = 1)
+SELECT doc_id, license, count(*) AS n_segments, max(dice) AS dice FROM best GROUP BY doc_id, license"""
+
+
+@query("op7_license_scan", _OP7_SQL)
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(read_table(spark, folder, "documents").select("doc_id", "text"))
 
