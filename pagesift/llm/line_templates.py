@@ -5,7 +5,7 @@ first ``DEPTH`` words, words with a digit counting as the variable ``<*>``. In t
 reaches, variable fields are generalised: a word stays constant at its place if enough documents
 of the leaf have that word there, else the place becomes variable too. Lines with the same
 constants at the same places share a template, provided that at least ``SIMILARITY`` of the places
-are constant. A template of ``min_docs`` documents or more recurs: its first line (smallest
+are constant; a ``<*>`` never is. A template of ``min_docs`` documents or more recurs: its first line (smallest
 document, then line) stays, every other one is dropped.
 
 The generalisation is by counts and so does not depend on the order of lines, and no leaf is
@@ -40,6 +40,7 @@ SIMILARITY = 0.5
 COUNTER_BITS = 22
 
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
+_VARIABLE_HASH = int(word_hashes([b"<*>"])[0].view(np.int64)[0])
 
 
 def masked(line: bytes) -> bytes:
@@ -128,14 +129,15 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, sim
     forms = lines.groupBy("leaf", "form").agg(F.count("*").alias("n"), first.alias("first"), F.first("words").alias("words"))
     leaves = forms.groupBy("leaf").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     forms = written(forms.join(leaves, "leaf"), "forms")
-    places = forms.select("leaf", "form", "n", F.posexplode("words").alias("place", "word"))
+    places = forms.select("leaf", "form", "n", F.posexplode("words").alias("place", "word")).where(F.col("word") != _VARIABLE_HASH)
     # the first words are the path to the leaf and constant there
-    constant = places.where(F.col("place") >= depth).groupBy("leaf", "place", "word").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    later = places.where(F.col("place") >= depth).join(constant.select("leaf", "place", "word"), ["leaf", "place", "word"])
+    later = places.where(F.col("place") >= depth)
+    constant = later.groupBy("leaf", "place", "word").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
+    later = later.join(constant.select("leaf", "place", "word"), ["leaf", "place", "word"])
     kept = later.groupBy("leaf", "form").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("constants"))  # as long as one line
-    shaped = forms.select("leaf", "form", "n", "first", F.size("words").alias("size")).join(kept, ["leaf", "form"], "left")
-    fixed = F.coalesce(F.size("constants"), F.lit(0))
-    same = F.least(F.col("size"), F.lit(depth)) + F.when(fixed > 0, fixed).otherwise(0)
+    path = F.size(F.filter(F.slice("words", 1, depth), lambda w: w != _VARIABLE_HASH)).alias("path")
+    shaped = forms.select("leaf", "form", "n", "first", F.size("words").alias("size"), path).join(kept, ["leaf", "form"], "left")
+    same = F.col("path") + F.when(F.col("constants").isNull(), 0).otherwise(F.size("constants"))
     shaped = shaped.where(same >= F.lit(similarity) * F.col("size")).withColumn("template", F.xxhash64("leaf", "constants"))
     found = shaped.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
     return lines.drop("words"), shaped.select("leaf", "form", "template").join(found, "template")

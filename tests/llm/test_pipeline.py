@@ -39,14 +39,15 @@ def tables(spark, tmp_path, rows, bench, labels):
 
 
 def prose(i, n=60):
-    return " ".join(f"t{'abcdefghij'[(i * 7 + k) % 10]}{i}x{k}" for k in range(n))
+    letters = lambda x: "".join(chr(97 + int(c)) for c in str(x))
+    return " ".join(f"t{letters(i)}x{letters(k)}" for k in range(n))
 
 
 def test_stages_act_on_planted_cases(spark, tmp_path):
     clean = [prose(i) for i in range(20)]
     item = " ".join(f"question{k}" for k in range(20))
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(clean)]
-    rows += [(100, clean[3], "en", "s", 0), (101, clean[4].replace("x59", "x59 changed"), "en", "s", 0)]
+    rows += [(100, clean[3], "en", "s", 0), (101, clean[4] + " changed", "en", "s", 0)]
     rows += [(102, prose(50) + " " + item, "en", "s", 0), (103, "too short", "en", "s", 0), (104, None, None, None, None), (105, "again and again we go " * 10, "en", "s", 0)]
     rows += [(200 + i, prose(60 + i) + "\nShare this page with all your friends", "en", "s", 0) for i in range(12)]
     rows += [(None, prose(90), "en", "s", 0), (7, prose(91), "en", "s", 0), (6, clean[6], "en", "s", 0)]
