@@ -21,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import doc_key, read_table
+from pagesift.llm.common import doc_key, prepare, read_table
 from pagesift.llm.decontaminate import find_contamination
 from pagesift.llm.line_templates import drop_recurring_lines
 from pagesift.llm.ngram_join import ngram_join
 from pagesift.llm.quality_rules import keep_quality
 from pagesift.llm.sentencepiece_codec import encode
-from pagesift.session import ship_package, written
+from pagesift.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,19 +36,19 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return keep_quality(docs.select(COLUMNS), read_table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     found = drop_recurring_lines(docs.select(COLUMNS))
     empty = F.regexp_count("kept_text", F.lit(r"[^\x20\x09-\x0D]")) == 0
     return found.where((F.col("n_dropped") == 0) | ~empty).withColumn("text", F.col("kept_text")).select(COLUMNS)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     members, _ = ngram_join(docs, size=5, num=80, den=100)
     keep = members.where("first").select("k1", "k2").distinct()
     k1, k2 = doc_key()
@@ -57,12 +57,12 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return find_contamination(docs, read_table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return encode(docs).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids")
 
 

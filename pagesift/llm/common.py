@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.session import ship_package
+
 NO_ID = -(1 << 63)
 """Stands for a null document id inside the operators: it sorts before every other id."""
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 """The word separators of the contracts: ASCII white space, as ``bytes.split()`` takes it."""
 
-_SLICE_BYTES = 1 << 21
+_SLICE_BYTES = 1 << 19
 _SPACE_TABLE = np.isin(np.arange(256), list(SPACES))
 _BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD_BASE = 0x9E3779B97F4A7C15
@@ -28,6 +30,16 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
+BATCH_ROWS = 2_000
+"""Rows that a Python worker is handed at a time; documents are long, and memory is what runs out."""
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator's job needs: the package on the executors, and small Arrow batches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

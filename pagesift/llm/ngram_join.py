@@ -40,15 +40,15 @@ from pagesift.llm.common import NO_ID, as_bytes, counter_bytes, doc_key, mix, wi
 from pagesift.llm.components import components
 from pagesift.session import written
 
-COUNTER_BITS = 24
-"""2**24 frequency counters; a byte each is broadcast."""
-WANTED_BITS = 23
+COUNTER_BITS = 23
+"""2**23 frequency counters; a byte each is broadcast."""
+WANTED_BITS = 22
 """Flags, a byte each, that tell in a scan which documents a join may want."""
 LEADERS = 3
 """Classes of each n-gram that its other classes are compared with first."""
-BATCH_BYTES = 4 << 20
-RANGES = 16
-"""Hash ranges of the suffix filter."""
+BATCH_BYTES = 2 << 20
+RANGES = 256
+"""Hash ranges of the suffix filter; with many, unrelated long documents fail it too."""
 
 _BASE = 0xD1B54A32D192ED03
 
@@ -98,9 +98,18 @@ def frequency_classes(docs: DataFrame, size: int) -> bytes:
     return counter_bytes(docs.select("text"), hashes, COUNTER_BITS, lambda n: np.floor(2 * np.log2(n + 1.0)))
 
 
+def _range_counts(grams: np.ndarray) -> bytes:
+    counts = np.bincount((grams >> np.uint64(16)).astype(np.int64) % RANGES, minlength=RANGES)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts_of(ranges: bytes) -> np.ndarray:
+    return np.frombuffer(ranges, np.uint16 if len(ranges) == 2 * RANGES else np.uint32).astype(np.int64)
+
+
 def _index(shared, size: int, num: int, den: int):
     """Each document's set size, fingerprint, prefix and range counts."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranges", pa.list_(pa.int32()))])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranges", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, dtype=np.uint8)
@@ -114,13 +123,12 @@ def _index(shared, size: int, num: int, den: int):
                 first = n - -(-num * n // den) + 1 if n else 0
                 order = np.argsort(classes[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[:first]  # ties by hash, as s is sorted
                 prefixes.append(s[order].view(np.int64))
-                ranges.append(np.bincount((s >> np.uint64(16)).astype(np.int64) % RANGES, minlength=RANGES).astype(np.int32))
+                ranges.append(_range_counts(s))
             lengths = np.cumsum([0] + [len(p) for p in prefixes])
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
-            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(ns) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, counts], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(ranges, pa.binary())], schema=schema)
 
-    return run, "k1 bigint, k2 bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, ranges array<int>"
+    return run, "k1 bigint, k2 bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, ranges binary"
 
 
 def _sets(shared, size: int):
@@ -138,6 +146,19 @@ def _sets(shared, size: int):
     return run
 
 
+def _roomy(num: int, den: int):
+    """Pairs whose counts by hash range leave room for the wanted overlap: u, v, n1, n2, and the counts of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            ranges = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), sizes, strict=True)
+            fits = [(den + num) * int(np.minimum(_counts_of(a), _counts_of(b)).sum()) >= num * n for a, b, n in ranges]
+            yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,9 +208,8 @@ class NgramJoin:
         """Distinct pairs whose counts by hash range leave room for the wanted overlap."""
         a = self.heads.select(F.col("cls").alias("u"), F.col("n").alias("n1"), F.col("ranges").alias("r1"))
         b = self.heads.select(F.col("cls").alias("v"), F.col("n").alias("n2"), F.col("ranges").alias("r2"))
-        most = F.aggregate(F.zip_with("r1", "r2", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-        met = pairs.distinct().join(a, "u").join(b, "v").where((self.den + self.num) * most >= self.num * (F.col("n1") + F.col("n2")))
-        return written(met.select("u", "v"), "pairs")
+        met = pairs.distinct().join(a, "u").join(b, "v").select("u", "v", "n1", "n2", "r1", "r2")
+        return written(met.mapInArrow(_roomy(self.num, self.den), "u bigint, v bigint"), "pairs")
 
     def _wanted_sets(self, pairs: DataFrame) -> DataFrame:
         """cls, grams of the classes of pairs, made from the text of the first document of each."""
@@ -199,15 +219,15 @@ class NgramJoin:
         flags = counter_bytes(wanted.select(spot), lambda batch: [batch.column(0).to_numpy().view(np.uint64)], WANTED_BITS, lambda n: np.minimum(n, 1))
         shared = self.spark.sparkContext.broadcast(flags)
         sets = self.docs.select("k1", "k2", spot, "text").mapInArrow(_sets(shared, self.size), "k1 bigint, k2 bigint, grams binary")
-        # repeated rows give a set more than once
-        return written(sets.join(wanted, ["k1", "k2"]).groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
+        return written(sets.join(wanted, ["k1", "k2"]).select("cls", "grams"), "sets")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """pairs(u, v) with the outcome of the comparison of the whole sets."""
         sets = self._wanted_sets(pairs)
         left = pairs.join(sets.select(F.col("cls").alias("u"), F.col("grams").alias("g1")), "u")
         wide = left.join(sets.select(F.col("cls").alias("v"), F.col("grams").alias("g2")), "v").select("u", "v", "g1", "g2")
-        return written(wide.mapInArrow(_verify(self.num, self.den), "u bigint, v bigint, linked boolean"), "verified")
+        # rows that repeat a document give its set more than once, hence distinct
+        return written(wide.mapInArrow(_verify(self.num, self.den), "u bigint, v bigint, linked boolean").distinct(), "verified")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Documents with their class and component, and the verified links between classes."""

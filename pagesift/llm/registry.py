@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import read_table
+from pagesift.llm.common import prepare, read_table
 from pagesift.llm.decontaminate import find_contamination
 from pagesift.llm.html_consensus import extract_pages
 from pagesift.llm.language_id import held_out, identify, train
@@ -19,7 +19,6 @@ from pagesift.llm.quality_rules import BASE, quality_rules
 from pagesift.llm.sentencepiece_codec import encode
 from pagesift.llm.substring_dedup import substring_dedup
 from pagesift.llm.vector_packing import shard_documents
-from pagesift.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +28,7 @@ def query(name: str, sql: str | None = None):
     def add(run: Callable[[SparkSession, str], DataFrame]):
         @wraps(run)
         def shipped(spark: SparkSession, folder: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return run(spark, folder)
 
         QUERIES[name] = shipped
