@@ -56,9 +56,9 @@ _UNLIKELY = re.compile(
 _LIKELY = re.compile(r"\b(?:article|body|content|entry|main|page|post|story|text)\b", re.I)
 
 _DESCRIPTION_KEYS = ["description", "og:description", "twitter:description", "dc:description"]
+# weights of the score, not limits of what is taken: shorter lines give no points, and only so many ancestors get some
 _MIN_PARAGRAPH = 25
 _SCORED_ANCESTORS = 5
-_MAX_DEPTH = 512  # deeper elements stay in the box they are in, as in browsers
 
 
 class Parsed(NamedTuple):
@@ -113,7 +113,7 @@ def _attributes(source: str) -> list[tuple[str, str]]:
 
 
 def find_hrefs(body: str) -> list[str]:
-    """Only the hrefs of ``parse_html``, several times faster."""
+    """Only the hrefs of ``parse_html``."""
     return [v for _, attrs in _LINK_TOKEN.findall(body) if attrs for k, v in _attributes(attrs) if k == "href" and v]
 
 
@@ -133,11 +133,8 @@ def parse_html(body: str) -> Parsed:
         buffer.clear()
         box = open_boxes[-1]
         if text:
-            walk: _Box | None = box
-            while walk is not None:
-                walk.chars += len(text)
-                walk.link_chars += min(linked, len(text))
-                walk = walk.parent
+            box.chars += len(text)
+            box.link_chars += min(linked, len(text))
             if not box.dropped and box.tag not in ("html", "body"):
                 lines.append((box, text))
                 if len(text) >= _MIN_PARAGRAPH and box.tag not in _HEADINGS:
@@ -152,10 +149,17 @@ def parse_html(body: str) -> Parsed:
             if in_link:
                 linked += len(text)
 
+    def shut(depth: int) -> None:
+        # counts go up once, when a box is done
+        while len(open_boxes) > depth:
+            box = open_boxes.pop()
+            open_boxes[-1].chars += box.chars
+            open_boxes[-1].link_chars += box.link_chars
+
     def close(tags: set[str]) -> None:
         for depth in range(len(open_boxes) - 1, 0, -1):
             if open_boxes[depth].tag in tags:
-                del open_boxes[depth:]
+                shut(depth)
                 return
 
     position, end = 0, len(body)
@@ -191,31 +195,37 @@ def parse_html(body: str) -> Parsed:
                 close({tag})
                 continue
             if tag in _CLOSES_P and open_boxes[-1].tag == "p":
-                open_boxes.pop()
+                shut(len(open_boxes) - 1)
             if open_boxes[-1].tag in _SELF_CLOSING_PEERS.get(tag, ()):
-                open_boxes.pop()
+                shut(len(open_boxes) - 1)
             names = ""
             if "class" in token.group(3) or "id" in token.group(3):
                 names = " ".join(v for k, v in _attributes(token.group(3)) if k in ("class", "id"))
-            if tag not in ("hr", "html") and len(open_boxes) < _MAX_DEPTH:
+            if tag not in ("hr", "html"):
                 open_boxes.append(_Box(tag, names, open_boxes[-1]))
     flush()
+    shut(1)
 
     if not lines:
         return Parsed("", "", "", hrefs)
-    best = root
+    best, met = root, set()
     for box, _ in lines:
         walk = box.parent
-        while walk is not None:
+        while walk is not None and id(walk) not in met:
+            met.add(id(walk))
             if walk.score is not None and (best.score is None or walk.rank() > best.rank()):
                 best = walk
             walk = walk.parent
+    within: dict[int, bool] = {id(best): True}
     kept = []
     for box, text in lines:
-        walk = box
-        while walk is not None and walk is not best:
+        path, walk = [], box
+        while walk is not None and id(walk) not in within:
+            path.append(id(walk))
             walk = walk.parent
-        if walk is best:
+        inside = walk is not None and within[id(walk)]
+        within.update(dict.fromkeys(path, inside))
+        if inside:
             kept.append((box, text))
     description = next((metas[k] for k in _DESCRIPTION_KEYS if k in metas), None)
     if description is None:

@@ -1,14 +1,17 @@
 """Crawl-frontier state as table transformations.
 
-``url_state`` has one row per URL (see ``schemas.URL_STATE``). Queue order is the
-pair ``(enqueue_round, enqueue_seq)`` with the URL as tie-break: every batch that
-queues URLs takes a higher round number, so the table is never numbered as a whole.
+``url_state`` has one row per URL (see ``schemas.URL_STATE``). Queue order is
+``(enqueue_round, enqueue_seq, enqueue_pos)`` with the URL as tie-break: every batch
+that queues URLs takes a higher round number, so the table is never numbered as a whole.
+Every transition returns one row per URL, however often its input names one.
 ``now`` is always a parameter (epoch milliseconds).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift import schemas as S
@@ -16,14 +19,15 @@ from pagesift.functions.fetch import fetch_class
 from pagesift.functions.urls import start_url
 
 COLUMNS = [f.name for f in S.URL_STATE.fields]
-QUEUE_ORDER = ["enqueue_round", "enqueue_seq", "url"]
+QUEUE_ORDER = ["enqueue_round", "enqueue_seq", "enqueue_pos", "url"]
+MAX_TIME = (1 << 63) - 1
 
 
 def _long(value: int | None) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def _fresh(url: Column, parent: Column, round_no: int, seq: Column, tries: int = 0) -> list[Column]:
+def _fresh(url: Column, parent: Column, round_no: int, seq: Column, pos: Column, tries: int = 0) -> list[Column]:
     return [
         url.alias("url"),
         F.lit(S.QUEUED).alias("status"),
@@ -34,23 +38,39 @@ def _fresh(url: Column, parent: Column, round_no: int, seq: Column, tries: int =
         parent.alias("parent"),
         _long(round_no).alias("enqueue_round"),
         seq.cast("bigint").alias("enqueue_seq"),
+        pos.cast("bigint").alias("enqueue_pos"),
     ]
 
 
+def latest_per_url(rows: DataFrame, *order: str) -> DataFrame:
+    """One row per URL: the highest by ``order``, ties by the other columns; combined before the shuffle."""
+    rest = [c for c in rows.columns if c != "url" and c not in order]
+    best = F.max(F.struct(*order, *rest)).alias("best")
+    return rows.groupBy("url").agg(best).select(*(F.col("url") if c == "url" else F.col(f"best.{c}") for c in rows.columns))
+
+
 def empty_state(spark) -> DataFrame:
     """A reset frontier: the state table with no rows."""
     return spark.createDataFrame([], S.URL_STATE)
 
 
-def push_urls(state: DataFrame, candidates: DataFrame, round_no: int) -> DataFrame:
-    """Rows that ``candidates(url, parent, seq)`` add: unseen URLs, first occurrence wins.
+def push_urls(state: DataFrame, candidates: DataFrame, round_no: int, also: Sequence[DataFrame] = ()) -> DataFrame:
+    """Rows that ``candidates(url, parent, seq, pos)`` add: unseen URLs, first by (seq, pos) wins.
 
-    A URL in any state, even a terminal one, is ignored. First-wins is a minimum,
+    ``pos`` may be left out. A URL with a row in ``state`` or ``also``, whatever its status, is ignored. First-wins is a minimum,
     so the most linked-to URL is one row per task before the shuffle.
     """
-    first = candidates.groupBy("url").agg(F.min(F.struct("seq", "parent")).alias("first"))
-    unseen = first.join(state.select("url"), "url", "left_anti")
-    return unseen.select(_fresh(F.col("url"), F.col("first.parent"), round_no, F.col("first.seq")))
+    pos = F.col("pos") if "pos" in candidates.columns else _long(0)
+    first = candidates.groupBy("url").agg(F.min(F.struct("seq", pos.alias("pos"), "parent")).alias("first"))
+    unseen = first
+    for known in (state, *also):
+        unseen = unseen.join(known.select("url"), "url", "left_anti")
+    return unseen.select(_fresh(F.col("url"), F.col("first.parent"), round_no, F.col("first.seq"), F.col("first.pos")))
+
+
+def reset_and_seed(state: DataFrame, seeds: DataFrame, round_no: int) -> DataFrame:
+    """The whole state table after a restart of the crawl: every old row goes, the seeds are queued."""
+    return seed_frontier(state.limit(0), seeds, round_no)
 
 
 def seed_frontier(state: DataFrame, seeds: DataFrame, round_no: int) -> DataFrame:
@@ -59,19 +79,6 @@ def seed_frontier(state: DataFrame, seeds: DataFrame, round_no: int) -> DataFram
     return push_urls(state, roots.where(F.col("url").isNotNull()), round_no)
 
 
-def take_batch(state: DataFrame, n: int, now: int, workers: int = S.WORKERS, position: str | None = None) -> DataFrame:
-    """The next ``n`` queued rows in FIFO order, dealt out to the workers.
-
-    Only the n chosen rows are ever numbered; the choice itself is a distributed top-n.
-    The number is kept as a column when a name for it is given.
-    """
-    head = state.where(F.col("status") == S.QUEUED).orderBy(QUEUE_ORDER).limit(n)
-    taken = head.withColumn("_position", F.row_number().over(Window.orderBy(QUEUE_ORDER)).cast("bigint") - 1)
-    taken = taken.withColumn("worker_id", (F.col("_position") % workers).cast("string"))
-    taken = taken.withColumn("status", F.lit(S.PROCESSING)).withColumn("take_on_at", _long(now))
-    return taken.select(*COLUMNS, *([F.col("_position").alias(position)] if position else []))
-
-
 def replace_rows(state: DataFrame, changed: DataFrame) -> DataFrame:
     """The state table with ``changed`` rows in place of the old ones, new URLs appended."""
     return state.join(changed.select("url"), "url", "left_anti").select(COLUMNS).unionByName(changed.select(COLUMNS))
@@ -82,8 +89,12 @@ def may_retry(tries: Column, try_limit: int = S.TRY_LIMIT) -> Column:
 
 
 def retry_time(tries: Column, now: Column, base_ms: int = S.RETRY_BASE_MS) -> Column:
-    """``now + base * 2^try``"""
-    return now + F.lit(base_ms).cast("bigint") * F.pow(F.lit(2), tries).cast("bigint")
+    """``now + base * 2^try``, at most the largest time there is."""
+    room = (_long(MAX_TIME) - now) / F.lit(max(base_ms, 1))
+    # a double above: half the room is left as margin for its rounding
+    fits = F.pow(F.lit(2.0), tries) < room / 2
+    step = F.pow(F.lit(2.0), F.least(tries, F.lit(62))).cast("bigint")
+    return F.when(fits, now + F.lit(base_ms).cast("bigint") * step).otherwise(_long(MAX_TIME))
 
 
 def schedule_retries(
@@ -102,14 +113,15 @@ def schedule_retries(
         "parent",
         "enqueue_round",
         "enqueue_seq",
+        "enqueue_pos",
     )
 
 
 def release_due(state: DataFrame, now: int, round_no: int, retry_queue: DataFrame | None = None) -> DataFrame:
     """Rows whose retry time has come (``retry_at <= now``), queued again in (time, url) order.
 
-    ``retry_queue(url, retry_at)`` defaults to the rows in state Retry. An entry
-    without a state row is queued with a fresh row at try 1.
+    ``retry_queue(url, retry_at)`` defaults to the rows in state Retry; of several entries of
+    one URL the earliest counts. An entry without a state row is queued with a fresh row at try 1.
     """
     if retry_queue is None:
         due = state.where((F.col("status") == S.RETRY) & (F.col("retry_at") <= now))
@@ -119,8 +131,9 @@ def release_due(state: DataFrame, now: int, round_no: int, retry_queue: DataFram
             *["worker_id", "try", "take_on_at", "retry_at", "parent"],
             _long(round_no).alias("enqueue_round"),
             F.col("retry_at").alias("enqueue_seq"),
+            _long(0).alias("enqueue_pos"),
         )
-    due = retry_queue.where(F.col("retry_at") <= now).select("url", F.col("retry_at").alias("due_at"))
+    due = retry_queue.where(F.col("retry_at") <= now).groupBy("url").agg(F.min("retry_at").alias("due_at"))
     return due.join(state, "url", "left").select(
         "url",
         F.lit(S.QUEUED).alias("status"),
@@ -131,24 +144,23 @@ def release_due(state: DataFrame, now: int, round_no: int, retry_queue: DataFram
         F.coalesce("parent", F.lit("")).alias("parent"),
         _long(round_no).alias("enqueue_round"),
         F.col("due_at").alias("enqueue_seq"),
+        _long(0).alias("enqueue_pos"),
     )
 
 
-def due_released(state: DataFrame, now: int, round_no: int) -> DataFrame:
-    """The whole state table with due retries queued again, row by row and without a join."""
-    due = (F.col("status") == S.RETRY) & (F.col("retry_at") <= now)
-    new = {"status": F.lit(S.QUEUED), "enqueue_round": _long(round_no), "enqueue_seq": F.col("retry_at")}
-    return state.select(*[F.when(due, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in COLUMNS])
-
-
 def retries_left(state: DataFrame, now: int) -> DataFrame:
     """How many retries are not due yet, as one row ``(remaining)``."""
     return state.agg(F.count_if((F.col("status") == S.RETRY) & (F.col("retry_at") > now)).alias("remaining"))
 
 
 def mark_processed(state: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Rows of ``outcomes(url, new_status)`` with their terminal status; unknown URLs are left out."""
-    return state.join(outcomes.select("url", "new_status"), "url").withColumn("status", F.col("new_status")).select(COLUMNS)
+    """Rows of ``outcomes(url, new_status)`` with their terminal status; unknown URLs are left out.
+
+    Of several outcomes of one URL the one with the highest ``seq`` counts, where that column is given.
+    """
+    order = [c for c in ("seq",) if c in outcomes.columns]
+    latest = latest_per_url(outcomes.select("url", *order, "new_status"), *order)
+    return state.join(latest.select("url", "new_status"), "url").withColumn("status", F.col("new_status")).select(COLUMNS)
 
 
 def unknown_urls(state: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,6 +180,7 @@ def recover(state: DataFrame, urls: DataFrame, round_no: int) -> DataFrame:
         F.coalesce("parent", F.lit("")).alias("parent"),
         _long(round_no).alias("enqueue_round"),
         F.coalesce("take_on_at", _long(-1)).alias("enqueue_seq"),
+        _long(0).alias("enqueue_pos"),
     )
 
 
@@ -204,28 +217,6 @@ def queue_depths(state: DataFrame) -> DataFrame:
     )
 
 
-def worker_current(state: DataFrame, workers: DataFrame) -> DataFrame:
-    """The URL each of ``workers(worker_id)`` took last and still holds, '' when idle."""
-    held = (
-        state.where(F.col("status") == S.PROCESSING)
-        .groupBy("worker_id")
-        .agg(F.max(F.struct("take_on_at", "url"))["url"].alias("url"))
-    )
-    return workers.select("worker_id").distinct().join(held, "worker_id", "left").select(
-        "worker_id", F.coalesce("url", F.lit("")).alias("url")
-    )
-
-
-def idle_hint(state: DataFrame, now: int) -> DataFrame:
-    """What a worker facing an empty queue should do: ``(action, wait_ms)``."""
-    meta = crawl_metadata(state)
-    wait = F.coalesce(F.greatest(F.col("earliest_retry") - _long(now), _long(0)), _long(0))
-    return meta.select(
-        F.when(F.col("unprocessed") > 0, F.lit("wait")).otherwise(F.lit("idle")).alias("action"),
-        F.when(F.col("unprocessed") > 0, wait).otherwise(_long(0)).alias("wait_ms"),
-    )
-
-
 def crawl_outcomes(
     state: DataFrame,
     fetches: DataFrame,
@@ -236,12 +227,18 @@ def crawl_outcomes(
 ) -> DataFrame:
     """Next state of every fetched URL, with the outcome label it is counted under.
 
-    ``fetches(url, http_status, error_kind, extract_failed, store_error)``. Transport and
+    ``fetches(url, http_status, error_kind, extract_failed, store_error)``, of which the one with
+    the highest ``seq`` counts for a URL, where that column is given. Transport and
     extraction errors give up at once; ``store_error`` is '', 'transient' (leave the row
     for the stale sweep) or 'fatal'. With ``retry_transport`` transport errors back off
-    like a retryable status.
+    like a retryable status. A body that a browser must render first (``client_rendered``,
+    where given) ends as ``render`` in state Manual: it holds nothing to store yet.
     """
-    joined = fetches.join(state.select("url", "status", "try", "retry_at"), "url")
+    order = [c for c in ("seq",) if c in fetches.columns]
+    wanted = ["http_status", "error_kind", "extract_failed", "store_error", *(c for c in ("client_rendered",) if c in fetches.columns)]
+    latest = latest_per_url(fetches.select("url", *order, *wanted), *order)
+    joined = latest.join(state.select("url", "status", "try", "retry_at"), "url")
+    render = F.coalesce("client_rendered", F.lit(False)) if "client_rendered" in fetches.columns else F.lit(False)
     kind = fetch_class(F.col("http_status"))
     transport = F.coalesce(F.col("error_kind"), F.lit("")) != ""
     retryable = kind == S.FETCH_RETRY
@@ -254,6 +251,7 @@ def crawl_outcomes(
         .when(retryable, F.lit("give_up"))
         .when(kind == S.FETCH_MANUAL, F.lit("manual"))
         .when(kind == S.FETCH_IMPOSSIBLE, F.lit("impossible"))
+        .when(render, F.lit("render"))
         .when(F.col("extract_failed") | (F.col("store_error") == "fatal"), F.lit("give_up"))
         .when(F.col("store_error") == "transient", F.lit("left"))
         .otherwise(F.lit("ok"))
@@ -263,7 +261,7 @@ def crawl_outcomes(
         "url",
         F.when(label == "ok", F.lit(S.DONE))
         .when(label == "retry", F.lit(S.RETRY))
-        .when(label == "manual", F.lit(S.MANUAL))
+        .when(label.isin("manual", "render"), F.lit(S.MANUAL))
         .when(label == "left", F.col("status"))
         .otherwise(F.lit(S.GIVE_UP))
         .alias("new_status"),

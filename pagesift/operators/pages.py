@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions.vectors import l2_normalize
-from pagesift.session import broadcast_if_small
+from pagesift.session import written
 
 _TEXT = ["title", "description", "content"]
 _PAGE = ["url", *_TEXT, "crawled_at", "vector"]
@@ -14,7 +14,7 @@ _PAGE = ["url", *_TEXT, "crawled_at", "vector"]
 
 def get_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``pages`` for the URLs in ``wanted(url)``; missing text reads as ''."""
-    keys = broadcast_if_small(wanted.select("url").distinct(), "url")
+    keys = wanted.select("url").distinct()
     found = pages.select(_PAGE).join(keys, "url", "left_semi")
     return found.select("url", *[F.coalesce(c, F.lit("")).alias(c) for c in _TEXT], "crawled_at", "vector")
 
@@ -29,7 +29,7 @@ def get_page(pages: DataFrame, url: str) -> DataFrame:
 def pages_exist(pages: DataFrame, probes: DataFrame) -> DataFrame:
     """``(url, exists)`` for every distinct probe URL."""
     asked = probes.select("url").distinct()
-    known = pages.select("url").join(broadcast_if_small(asked, "url"), "url", "left_semi").distinct()
+    known = pages.select("url").join(asked, "url", "left_semi").distinct()
     return asked.join(known.withColumn("known", F.lit(True)), "url", "left").select(
         "url", F.coalesce("known", F.lit(False)).alias("exists")
     )
@@ -64,8 +64,11 @@ def replace_pages(existing: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def upsert_pages(existing: DataFrame, updates: DataFrame, version: str = "version") -> DataFrame:
-    """The whole pages table after ``updates``; see ``changed_pages`` for the rules."""
-    return replace_pages(existing, changed_pages(existing, updates, version))
+    """The whole pages table after ``updates``; see ``changed_pages`` for the rules.
+
+    The changed rows are written once and read twice.
+    """
+    return replace_pages(existing, written(changed_pages(existing, updates, version), "changed"))
 
 
 def unvectorized(pages: DataFrame) -> DataFrame:
@@ -81,9 +84,10 @@ def write_back_vectors(pages: DataFrame, embedded: DataFrame) -> DataFrame:
 
     ``embedded(url, crawled_at, vector)``: a filled vector is normalised and
     stored, an empty one marks the page as never to be embedded. A page crawled
-    again in the meantime no longer matches and keeps waiting.
+    again in the meantime no longer matches and keeps waiting. Of several vectors for
+    one crawl the greatest counts, a filled one before an empty one.
     """
-    new = embedded.select("url", "crawled_at", F.col("vector").alias("_new"))
+    new = embedded.groupBy("url", "crawled_at").agg(F.max("vector").alias("_new"))
     joined = pages.join(new, ["url", "crawled_at"], "left")
     kind = pages.schema["vector"].dataType
     return joined.select(

@@ -117,7 +117,7 @@ st AS (
          CAST(page_id % 6 AS INTEGER) AS try,
          CASE WHEN page_id % 7 = 2 THEN {NOW} - (page_id % 40) * 1000 ELSE -1 END AS take_on_at,
          CASE WHEN page_id % 7 = 6 THEN {NOW} + (page_id % 21 - 10) * 1000 ELSE -1 END AS retry_at,
-         '' AS parent, CAST(0 AS BIGINT) AS enqueue_round, page_id AS enqueue_seq
+         '' AS parent, CAST(0 AS BIGINT) AS enqueue_round, page_id AS enqueue_seq, CAST(0 AS BIGINT) AS enqueue_pos
   FROM cp)"""
 
 SQL_FETCHES = f"""
@@ -176,6 +176,7 @@ def url_state(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("").alias("parent"),
         F.lit(0).cast("bigint").alias("enqueue_round"),
         p.alias("enqueue_seq"),
+        F.lit(0).cast("bigint").alias("enqueue_pos"),
     )
 
 

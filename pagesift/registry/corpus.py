@@ -21,7 +21,7 @@ from pagesift.registry.base import (
     query,
     root_sql,
 )
-from pagesift.sources.tables import corpus, spread, table
+from pagesift.sources.tables import corpus, table
 
 
 @query("corpus_scan", f"SELECT page_id, {canon_sql('url')} AS url, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages")
@@ -51,7 +51,7 @@ def start_urls(spark, sf):
 
 @query("resolved_links", f"WITH {SQL_LINKS} SELECT page_id, pos, url FROM lk")
 def resolved_links(spark, sf):
-    parsed = assemble_pages(spread(table(spark, sf, "pages")))
+    parsed = assemble_pages(table(spark, sf, "pages"))
     page = F.col("url")
     split = parsed.select("page_id", "hrefs", base_root(page).alias("root"), base_path(page).alias("path"))
     return split.select("page_id", F.inline(resolve_hrefs(F.col("hrefs"), F.col("root"), F.col("path"))))
@@ -69,7 +69,7 @@ def dedupe(spark, sf):
         SELECT page_id, pos, url, {host_sql("url")} AS host, {host_sql("url")} = {host_sql("parent")} AS same_site FROM x""",
 )
 def same_site_links(spark, sf):
-    links = extract_links(spread(table(spark, sf, "pages")))
+    links = extract_links(table(spark, sf, "pages"))
     outside = F.concat(F.lit("https://other.example"), F.regexp_extract("url", "^[^/]*//[^/]*(.*)$", 1))
     both = links.select("page_id", "pos", "parent", F.explode(F.array("url", outside)).alias("url"))
     same = same_site(F.col("url"), F.col("parent")).alias("same_site")
@@ -154,11 +154,11 @@ def spa_detect(spark, sf):
 
 @query("extract_links", f"WITH {SQL_LINKS} SELECT page_id, pos, parent, url FROM lk")
 def links(spark, sf):
-    return extract_links(spread(table(spark, sf, "pages")))
+    return extract_links(table(spark, sf, "pages"))
 
 
 def _assembled(spark, sf):
-    return assemble_pages(spread(table(spark, sf, "pages")))
+    return assemble_pages(table(spark, sf, "pages"))
 
 
 @query("page_titles", f"WITH {SQL_CONTENT} SELECT page_id, title FROM ap")
@@ -173,7 +173,7 @@ def page_descriptions(spark, sf):
 
 @query("page_content", f"WITH {SQL_CONTENT} SELECT page_id, content FROM ap")
 def page_content(spark, sf):
-    return parse_bodies(spread(table(spark, sf, "pages")).select("page_id", "html")).select("page_id", "content")
+    return parse_bodies(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "content")
 
 
 @query("assemble_pages", f"WITH {SQL_CONTENT} SELECT page_id, url, title, description, content, n_hrefs FROM ap")

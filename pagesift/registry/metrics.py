@@ -45,10 +45,10 @@ _BUCKET_SQL = f"""b AS (SELECT unnest([{", ".join(map(str, _BOUNDS))}, 'infinity
 bc AS (SELECT event_type, le, count(*) FILTER (value / 100.0 <= le) AS n FROM events, b GROUP BY event_type, le)"""
 
 
-@query("latency_buckets", f"WITH {_BUCKET_SQL} SELECT event_type, le, n FROM bc WHERE le <> 'infinity'::DOUBLE")
+@query("latency_buckets", f"WITH {_BUCKET_SQL} SELECT event_type, nullif(le, 'infinity'::DOUBLE) AS le, n FROM bc")
 def latency_buckets(spark, sf):
     buckets = M.bucket_counts(_events(spark, sf), ["event_type"], F.col("value") / 100.0)
-    return buckets.where(F.col("le") != float("inf"))
+    return buckets.withColumn("le", F.when(F.col("le") != float("inf"), F.col("le")))  # NULL: the open bucket
 
 
 @query(

@@ -11,7 +11,7 @@ from pagesift.operators.embed import assign_chunks, embed_texts
 from pagesift.plans.indexing import index_pass
 from pagesift.plans.searching import semantic_search
 from pagesift.registry.base import CHUNK_BYTES, SQL_PAGE_TABLE, page_table, query, vectors_of
-from pagesift.sources.tables import spread, table
+from pagesift.sources.tables import table
 
 _VEC_SQL = "ev AS (SELECT vec_id AS page_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
@@ -105,7 +105,7 @@ def _hash_sql(name: str, source: str, key: str, text: str) -> str:
         SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(CAST(w AS DOUBLE) / norm, 6) AS weight FROM d_w JOIN d_n USING (doc_id)""",
 )
 def embed_documents(spark, sf):
-    vectors = embed_texts(spread(table(spark, sf, "documents")), ["doc_id"], "text", unit=True)
+    vectors = embed_texts(table(spark, sf, "documents"), ["doc_id"], "text", unit=True)
     cells = vectors.select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
     return cells.where("weight <> 0").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
@@ -176,7 +176,7 @@ def _requests(spark, sf) -> DataFrame:
 
 
 def _search_documents(spark, sf) -> DataFrame:
-    return semantic_search(spread(_doc_pages(spark, sf)), _requests(spark, sf))
+    return semantic_search(_doc_pages(spark, sf), _requests(spark, sf))
 
 
 @query("semantic_search", f"WITH {_SEMANTIC_SQL} SELECT query_id, rk, page_id, sim FROM hits")
@@ -223,7 +223,7 @@ _WAITING = "vector IS NULL AND can_be_vectorized"
     FROM x LEFT JOIN c USING (page_id)""",
 )
 def indexed(spark, sf):
-    pages = spread(page_table(spark, sf)).withColumn("vector", F.col("vector").cast("array<double>"))
+    pages = page_table(spark, sf).withColumn("vector", F.col("vector").cast("array<double>"))
     done = index_pass(pages, limit=CHUNK_BYTES)
     return done.select("page_id", "url", "can_be_vectorized", checksum().alias("checksum"))
 

@@ -227,11 +227,14 @@ def child_links(spark, sf):
 @query(
     "delete_cascade",
     f"""WITH {_TREE_SQL}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1)
-        SELECT src_page_id, dst_page_id FROM lt WHERE src_page_id NOT IN (SELECT doc_id FROM gone) AND dst_page_id NOT IN (SELECT doc_id FROM gone)""",
+        SELECT 'links' AS table_name, src_page_id, dst_page_id FROM lt WHERE src_page_id NOT IN (SELECT doc_id FROM gone) AND dst_page_id NOT IN (SELECT doc_id FROM gone)
+        UNION ALL SELECT 'pages', doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)""",
 )
 def delete_cascade(spark, sf):
     doomed = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
-    return P.delete_pages(page_table(spark, sf), _tree(spark, sf), doomed)[1]
+    pages, links = P.delete_pages(page_table(spark, sf), _tree(spark, sf), doomed)
+    left = pages.select(F.lit("pages").alias("table_name"), F.col("page_id").alias("src_page_id"), F.lit(None).cast("bigint").alias("dst_page_id"))
+    return links.select(F.lit("links").alias("table_name"), "src_page_id", "dst_page_id").unionByName(left)
 
 
 @query(

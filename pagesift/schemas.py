@@ -56,7 +56,7 @@ URL_STATE_JSON = T.StructType(
     ]
 )
 
-# FIFO position is the pair (enqueue_round, enqueue_seq), ties by url: ordered
+# FIFO position is (enqueue_round, enqueue_seq, enqueue_pos), ties by url: ordered
 # without ever numbering the whole table in one task.
 URL_STATE = T.StructType(
     [
@@ -69,6 +69,7 @@ URL_STATE = T.StructType(
         T.StructField("parent", T.StringType()),
         T.StructField("enqueue_round", T.LongType()),
         T.StructField("enqueue_seq", T.LongType()),
+        T.StructField("enqueue_pos", T.LongType()),
     ]
 )
 

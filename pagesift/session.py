@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,10 +12,6 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-MAX_BROADCAST_ROWS = 500_000
-MAX_BROADCAST_BYTES = 64 << 20
 
 
 def build_session(cores: str = "8", memory: str = "16g", app: str = "pagesift") -> SparkSession:
@@ -50,11 +48,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private temporary one only where none is configured."""
+    """The cluster's checkpoint folder; a private temporary one only in local mode where none is configured.
+
+    Temporary ones go when the process ends. What is written below a configured folder stays
+    until its owner removes it.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="pagesift-")
+    if not folder and not (folder := sc.getCheckpointDir()):
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="pagesift-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -94,15 +99,3 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) ->
         yield spark.table(table)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-
-
-def broadcast_if_small(df: DataFrame, text: str) -> DataFrame:
-    """Hint a broadcast when ``df`` is measured to be small, else leave the join to the planner.
-
-    ``text`` names the column that dominates a row. At most ``MAX_BROADCAST_ROWS`` rows are
-    read to decide, so keep ``df`` to lists of keys that are cheap to read.
-    """
-    head = df.limit(MAX_BROADCAST_ROWS + 1)
-    rows, size = head.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    fits = rows <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
-    return F.broadcast(df) if fits else df

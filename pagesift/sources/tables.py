@@ -14,27 +14,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for per-row heavy work on a scan that has fewer splits than cores.
-
-    A large scan already has more splits than cores and is left alone, so the extra
-    exchange only ever moves tables too small to fill the cluster.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def corpus(raw: DataFrame) -> DataFrame:
     """Fetched bodies as records: canonical URL and body size beside the body itself."""
     return raw.select("page_id", canonical_url(F.col("url")).alias("url"), F.octet_length("html").cast("bigint").alias("n_bytes"), "html")
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Rows of a table as its files arrive: ``name*.parquet``, each a file or a folder of files."""
+    """Rows of a table as its files arrive: ``name.parquet``, a file or a folder of files."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{folder.rstrip('/')}/{name}*.parquet")
+    return reader.parquet(f"{folder.rstrip('/')}/{name}[.]parquet")
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:

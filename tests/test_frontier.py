@@ -2,17 +2,18 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagesift import schemas as S
 from pagesift.operators import frontier as Q
-from pagesift.plans.crawl import CrawlTables, apply_changes, crawl_round, replay_crawl
+from pagesift.plans.crawl import CrawlTables, apply_changes, replay_crawl, settle_batch
 
 NOW = 1_000_000
 URLS = [c * n for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for n in (1, 2, 3)]
 
 
-def row(url, status=S.QUEUED, worker="", tries=0, taken=-1, retry_at=-1, parent="", rnd=0, seq=0):
-    return (url, status, worker, tries, taken, retry_at, parent, rnd, seq)
+def row(url, status=S.QUEUED, worker="", tries=0, taken=-1, retry_at=-1, parent="", rnd=0, seq=0, pos=0):
+    return (url, status, worker, tries, taken, retry_at, parent, rnd, seq, pos)
 
 
 def state_of(spark, *rows):
@@ -46,15 +47,30 @@ def test_any_known_state_blocks_a_push(spark):
     assert Q.push_urls(state, candidates(spark, *[(f"U{i}", "") for i in range(8)]), 1).collect()[0].url == "U7"
 
 
-def test_take_is_fifo(spark):
-    state = state_of(spark, row("C", rnd=0, seq=5), row("A", rnd=1, seq=0), row("B", rnd=0, seq=5), row("D", status=S.DONE))
-    taken = Q.take_batch(state, 2, NOW, workers=2)
-    got = by_url(taken)
-    assert {u: r.worker_id for u, r in got.items()} == {"B": "0", "C": "1"}
-    assert {(r.status, r.take_on_at) for r in got.values()} == {(S.PROCESSING, NOW)}
-    after = Q.replace_rows(state, taken)
-    assert after.count() == 4
-    assert [r.url for r in Q.take_batch(after, 9, NOW).collect()] == ["A"]
+def test_order_holds_for_large_page_ids(spark):
+    far = 1 << 44
+    rows = [("A", "p2", far + 1, 5), ("A", "p1", far + 1, (1 << 20) + 7), ("B", "p3", far, 1 << 21), ("B", "p4", far + 1, 0)]
+    got = by_url(Q.push_urls(Q.empty_state(spark), spark.createDataFrame(rows, "url string, parent string, seq long, pos long"), 1))
+    assert {u: (r.parent, r.enqueue_seq, r.enqueue_pos) for u, r in got.items()} == {"A": ("p2", far + 1, 5), "B": ("p3", far, 1 << 21)}
+
+
+def test_backoff_saturates(spark):
+    state = state_of(spark, *[row(f"U{t}", S.PROCESSING, tries=t) for t in (0, 10, 49, 50, 60, 2000)])
+    got = by_url(Q.schedule_retries(state, state.select("url"), NOW, try_limit=-1, base_ms=5000))
+    assert {u: r.retry_at for u, r in got.items()} == {
+        "U0": NOW + 5000, "U10": NOW + 5000 * 1024, "U49": NOW + 5000 * (1 << 49), "U50": Q.MAX_TIME, "U60": Q.MAX_TIME, "U2000": Q.MAX_TIME
+    }
+
+
+def test_every_transition_gives_one_row_per_url(spark):
+    state = state_of(spark, row("A", S.PROCESSING), row("B", S.RETRY, retry_at=5))
+    outcomes = spark.createDataFrame([("A", 1, S.DONE), ("A", 2, S.MANUAL)], "url string, seq long, new_status int")
+    assert [r.status for r in Q.mark_processed(state, outcomes).collect()] == [S.MANUAL]
+    queue = spark.createDataFrame([("B", 5), ("B", 3), ("X", 4), ("X", 4)], "url string, retry_at long")
+    assert {r.url: r.enqueue_seq for r in Q.release_due(state, NOW, 1, queue).collect()} == {"B": 3, "X": 4}
+    kind = "url string, seq long, http_status int, error_kind string, extract_failed boolean, store_error string"
+    fetches = spark.createDataFrame([("A", 1, 200, "", False, ""), ("A", 3, 404, "", False, ""), ("A", 2, 200, "", False, "")], kind)
+    assert [(r.url, r.new_status) for r in Q.crawl_outcomes(state, fetches, NOW).collect()] == [("A", S.GIVE_UP)]
 
 
 def test_retry_backoff_and_limit(spark):
@@ -120,17 +136,8 @@ def test_summary(spark):
     state = state_of(spark, row("A"), row("B", S.PROCESSING), row("C", S.RETRY, retry_at=NOW + 7), row("D", S.RETRY, retry_at=NOW + 9), row("E", S.DONE, retry_at=1))
     assert tuple(Q.crawl_metadata(state).collect()[0]) == (4, NOW + 7)
     assert tuple(Q.queue_depths(state).collect()[0]) == (1, 2)
-    assert tuple(Q.idle_hint(state, NOW).collect()[0]) == ("wait", 7)
-    assert tuple(Q.idle_hint(state, NOW + 50).collect()[0]) == ("wait", 0)
     done = state_of(spark, row("E", S.DONE))
     assert tuple(Q.crawl_metadata(done).collect()[0]) == (0, None)
-    assert tuple(Q.idle_hint(done, NOW).collect()[0]) == ("idle", 0)
-
-
-def test_worker_current(spark):
-    state = state_of(spark, row("A", S.PROCESSING, "w1", taken=1), row("B", S.PROCESSING, "w1", taken=2), row("C", S.DONE, "w2", taken=3))
-    workers = spark.createDataFrame([("w1",), ("w2",)], "worker_id string")
-    assert {r.worker_id: r.url for r in Q.worker_current(state, workers).collect()} == {"w1": "B", "w2": ""}
 
 
 def test_outcomes(spark):
@@ -195,13 +202,13 @@ def test_state_json_round_trip(spark):
 
 
 def fetched(spark, *rows):
-    """(url, final_url or None, status, body)"""
-    full = [(u, f, st, "text/html", False, "", b) for u, f, st, b in rows]
-    return spark.createDataFrame(full, S.FETCH_RECORD)
+    """(url, final_url or None, status, body), later ones with a higher seq"""
+    full = [(u, f, st, "text/html", False, "", b, i) for i, (u, f, st, b) in enumerate(rows)]
+    return spark.createDataFrame(full, T.StructType([*S.FETCH_RECORD.fields, T.StructField("seq", T.LongType())]))
 
 
 def start(spark, *urls, tries=0):
-    state = state_of(spark, *[row(u, tries=tries) for u in urls])
+    state = state_of(spark, *[row(u, S.PROCESSING, tries=tries) for u in urls])
     return CrawlTables(state, spark.createDataFrame([], S.PAGE), spark.createDataFrame([], S.LINK))
 
 
@@ -211,7 +218,7 @@ def page_body(*hrefs):
 
 
 def step(tables, *args, **kwargs):
-    return apply_changes(tables, crawl_round(tables, *args, **kwargs))
+    return apply_changes(tables, settle_batch(tables, *args, **kwargs))
 
 
 SITE = "https://a.example"
@@ -221,55 +228,48 @@ def statuses(tables):
     return {r.url.removeprefix(SITE): r.status for r in tables.state.collect()}
 
 
-def test_round_stores_page_and_queues_links(spark):
-    records = fetched(
-        spark,
-        (SITE, None, 200, page_body("/1", "/2", "/3", "https://b.example/x", "https://c.example/")),
-        *[(f"{SITE}/{i}", None, 200, page_body("/")) for i in (1, 2, 3)],
-    )
-    first = step(start(spark, SITE), records, NOW, 1, 10)
+def test_batch_stores_pages_and_queues_links(spark):
+    home = fetched(spark, (SITE, None, 200, page_body("/1", "/2", "/3", "https://b.example/x", "https://c.example/")))
+    first = step(start(spark, SITE), home, NOW, 1)
     assert statuses(first) == {"": S.DONE, "/1": S.QUEUED, "/2": S.QUEUED, "/3": S.QUEUED}
     page = first.pages.collect()[0]
     assert (page.url, page.title, page.vector, page.can_be_vectorized) == (SITE, "T", None, True)
     assert first.links.count() == 0
-    second = step(first, records, NOW, 3, 10)
+    rest = fetched(spark, *[(f"{SITE}/{i}", None, 200, page_body("/")) for i in (1, 2, 3)])
+    second = step(first, rest, NOW, 3)
     assert set(statuses(second).values()) == {S.DONE}
     assert second.pages.count() == 4
     ids = {r.url: r.page_id for r in second.pages.collect()}
     assert sorted(tuple(r) for r in second.links.collect()) == sorted((ids[SITE], ids[f"{SITE}/{i}"]) for i in (1, 2, 3))
-    assert statuses(step(second, records, NOW, 5, 10)) == statuses(second)
 
 
-def test_round_retries_then_gives_up(spark):
+def test_batch_retries_then_gives_up(spark):
     records = fetched(spark, (SITE, None, 503, None), (SITE + "/gone", None, 404, None))
-    first = step(start(spark, SITE, SITE + "/gone"), records, NOW, 1, 10, try_limit=1, base_ms=50)
+    first = step(start(spark, SITE, SITE + "/gone"), records, NOW, 1, try_limit=1, base_ms=50)
     assert statuses(first) == {"": S.RETRY, "/gone": S.GIVE_UP}
     waiting = first.state.where("status = 6").collect()[0]
     assert (waiting["try"], waiting.retry_at) == (1, NOW + 50)
-    early = step(first, records, NOW + 49, 3, 10, try_limit=1, base_ms=50)
-    assert statuses(early) == statuses(first)
-    late = step(early, records, NOW + 50, 5, 10, try_limit=1, base_ms=50)
+    late = step(first, records, NOW + 50, 5, try_limit=1, base_ms=50)
     assert statuses(late) == {"": S.GIVE_UP, "/gone": S.GIVE_UP}
 
 
-def test_round_queues_repeats_once_and_nothing_external(spark):
-    got = step(start(spark, SITE), fetched(spark, (SITE, None, 200, page_body("/about", "/about", "/about"))), NOW, 1, 10)
+def test_batch_takes_the_latest_record_and_queues_links_once(spark):
+    records = fetched(spark, (SITE, None, 404, None), (SITE, None, 200, page_body("/about", "/about", "https://x.example/a", "//y.example")))
+    got = step(start(spark, SITE), records, NOW, 1)
     assert statuses(got) == {"": S.DONE, "/about": S.QUEUED}
-    got = step(start(spark, SITE), fetched(spark, (SITE, None, 200, page_body("https://x.example/a", "//y.example"))), NOW, 1, 10)
-    assert statuses(got) == {"": S.DONE}
+    got = step(start(spark, SITE), fetched(spark, (SITE, None, 200, page_body("/a")), (SITE, None, 404, None)), NOW, 1)
+    assert statuses(got) == {"": S.GIVE_UP} and got.pages.count() == 0
 
 
-def test_round_redirect_and_gate(spark):
-    records = fetched(spark, (SITE, SITE + "/b/", 301, None), (SITE + "/a", SITE + "/b/", 200, page_body("/c")), (SITE + "/pdf", None, 200, "%PDF-1.7"))
-    got = step(start(spark, SITE + "/a", SITE + "/pdf", SITE + "/unread"), records, NOW, 1, 10)
-    assert statuses(got) == {"/a": S.DONE, "/pdf": S.GIVE_UP, "/unread": S.PROCESSING, "/c": S.QUEUED}
+def test_batch_redirect_gate_and_client_rendered_pages(spark):
+    app = '<html><body><div id="root"></div></body></html>'
+    records = fetched(spark, (SITE + "/a", SITE + "/b/", 200, page_body("/c", "d", "../e")), (SITE + "/pdf", None, 200, "%PDF-1.7"), (SITE + "/app", None, 200, app), ("https://unknown.example", None, 200, app))
+    got = step(start(spark, SITE + "/a", SITE + "/pdf", SITE + "/app", SITE + "/unread"), records, NOW, 1)
+    assert statuses(got) == {"/a": S.DONE, "/pdf": S.GIVE_UP, "/app": S.MANUAL, "/unread": S.PROCESSING, "/c": S.QUEUED, "/d": S.QUEUED, "/e": S.QUEUED}
     assert [r.url for r in got.pages.collect()] == [SITE + "/b"]
-    assert got.state.where(F.col("status") == S.QUEUED).collect()[0].parent == SITE + "/b"
+    assert {r.parent for r in got.state.where(F.col("status") == S.QUEUED).collect()} == {SITE + "/b"}
 
 
-def test_round_hands_over_changes_only(spark):
-    tables = start(spark, SITE, SITE + "/1")
-    tables = tables._replace(state=tables.state.unionByName(state_of(spark, row("D", S.DONE), row("R", S.RETRY, retry_at=NOW), row("L", S.RETRY, retry_at=NOW + 1))))
-    changes = crawl_round(tables, fetched(spark, (SITE, None, 200, page_body("/2"))), NOW, 1, 1)
-    assert {r.url: r.status for r in changes.state.collect()} == {SITE: S.DONE, "R": S.QUEUED, SITE + "/2": S.QUEUED}
-    assert changes.pages.count() == 1
+def test_reset_and_seed(spark):
+    seeds = spark.createDataFrame([("a.example/x", 0), ("A.example", 1)], "raw string, seq long")
+    assert [(r.url, r.status, r.enqueue_round) for r in Q.reset_and_seed(state_of(spark, row("D", S.DONE)), seeds, 4).collect()] == [(SITE, S.QUEUED, 4)]

@@ -12,7 +12,7 @@ from pagesift.registry.base import NOW, page_table, url_state, vectors_of
 from pagesift.session import bucketed
 
 FOLDER = "/root/testdata/sf0.001"
-BUILT_WHILE_RUNNING = {n for n in QUERIES if n.startswith("stream_")} | {"crawl_replay", "crawl_round"}
+BUILT_WHILE_RUNNING = {n for n in QUERIES if n.startswith("stream_")} | {"crawl_replay"}
 
 
 def plan(df) -> str:
@@ -45,7 +45,7 @@ def test_bucketed_edges_are_joined_in_place(spark):
 
 
 def test_releasing_retries_needs_no_join(spark):
-    text = plan(Q.due_released(url_state(spark, FOLDER), NOW, 1))
+    text = plan(Q.release_due(url_state(spark, FOLDER), NOW, 1))
     assert "Join" not in text
 
 
@@ -60,7 +60,3 @@ def test_search_shuffles_hits_only(spark):
 def test_upsert_limits_updates_before_the_exchange(spark):
     text = plan(QUERIES["pages_upsert"](spark, FOLDER))
     assert "row_number(), 1, Partial" in text
-
-
-def test_taking_a_batch_is_a_distributed_top_n(spark):
-    assert "TakeOrderedAndProject" in plan(QUERIES["frontier_take"](spark, FOLDER))

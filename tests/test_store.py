@@ -8,7 +8,6 @@ from pyspark.errors import PySparkException
 from pagesift import schemas as S
 from pagesift.operators import links as L
 from pagesift.operators import pages as P
-from pagesift.sources import snapshots
 
 T0 = dt.datetime(2024, 1, 1)
 UPDATE = "url string, title string, description string, content string, crawled_at timestamp_ntz, vector array<float>, version int"
@@ -105,15 +104,3 @@ def test_backfill_checks_width(spark):
     assert got == {"A": pytest.approx([0.6, 0.8]), "B": None}
     with pytest.raises(PySparkException, match="expected 3 dimensions"):
         P.backfill_vectors(pages, 3).collect()
-
-
-def test_snapshots_swap_versions(spark, tmp_path):
-    root = str(tmp_path / "links")
-    assert snapshots.load_snapshot(spark, root, S.LINK).count() == 0
-    snapshots.save_snapshot(spark.createDataFrame([(1, 2)], S.LINK), root)
-    current = snapshots.load_snapshot(spark, root, S.LINK)
-    snapshots.save_snapshot(current.unionByName(spark.createDataFrame([(1, 3)], S.LINK)), root)
-    (tmp_path / "links" / "v00000007").mkdir()  # a writer that died
-    assert sorted(tuple(r) for r in snapshots.load_snapshot(spark, root, S.LINK).collect()) == [(1, 2), (1, 3)]
-    assert snapshots.reset_snapshot(spark, root, S.LINK) == 8
-    assert snapshots.load_snapshot(spark, root, S.LINK).count() == 0
