@@ -5,24 +5,26 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift import schemas as S
 from pagesift.session import written
 
-# Queries compared in one pass over the pages. Their matrix of doubles is what gets
-# broadcast, so its size is bounded too. More queries take more passes.
-MAX_QUERIES_PER_PASS = 16_384
-MAX_QUERY_BYTES = 64 << 20
+# Queries of one block. Their matrix of doubles is what gets broadcast, so its size is bounded
+# too. Several blocks share a scan of the pages; a worker holds those of one scan.
+MAX_QUERIES_PER_BLOCK = 16_384
+MAX_QUERY_BYTES = 16 << 20
+BLOCKS_PER_SCAN = 8
+MAX_KEPT_ROWS = 1_000_000  # hits held by a task; with more, what it has is sent on and ranked later
+_RANK_BUCKETS = 64
 _HITS = "query_id bigint, k bigint, page_id bigint, sim double"
 _MAX_CELLS = 8_000_000
-_SPLIT_LIMIT = 40
 
 
 def validate_requests(requests: DataFrame, default_k: int = S.DEFAULT_K) -> DataFrame:
@@ -68,7 +70,10 @@ class _QuerySet:
 
 
 class _TopK:
-    """Best k rows per query seen so far in one task, ordered by (similarity, id)."""
+    """Best k rows per query seen so far in one task, ordered by (similarity, id).
+
+    Memory is bounded whatever k is: ``full`` tells when the rows should be sent on.
+    """
 
     def __init__(self, k: np.ndarray):
         self.k = k
@@ -82,6 +87,10 @@ class _TopK:
         if self.pending > max(200_000, 2 * self.kept):
             self.shrink()
 
+    @property
+    def full(self) -> bool:
+        return self.kept > MAX_KEPT_ROWS
+
     def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             empty = np.empty(0, dtype=np.int64)
@@ -96,52 +105,68 @@ class _TopK:
         return self.parts[0]
 
     def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        """What is held, as rows; nothing is held any more."""
         query, page, sim = self.shrink()
+        self.parts, self.kept, self.pending = [], 0, 0
         columns = [(ids[query], pa.int64()), (self.k[query], pa.int64()), (page, pa.int64()), (sim, pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["query_id", "k", "page_id", "sim"])
 
 
 def _ranked(hits: DataFrame) -> DataFrame:
-    """Final ranking of what the tasks sent on: at most k rows per query and task."""
-    best_first = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "page_id")
-    ranked = hits.withColumn("rk", F.row_number().over(best_first)).where(F.col("rk") <= F.col("k"))
-    return ranked.select("query_id", "rk", "page_id", "sim")
+    """Final ranking in two steps: the best k of each group of tasks, then the best k of those.
+
+    One query's rows from all tasks never meet in one task before they are cut to k per group.
+    """
+    grouped = hits.withColumn("_bucket", F.pmod(F.spark_partition_id(), F.lit(_RANK_BUCKETS)))
+    first = Window.partitionBy("query_id", "_bucket").orderBy(F.col("sim").desc(), "page_id")
+    best = grouped.withColumn("rk", F.row_number().over(first)).where(F.col("rk") <= F.col("k")).drop("rk", "_bucket")
+    last = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "page_id")
+    return best.withColumn("rk", F.row_number().over(last)).where(F.col("rk") <= F.col("k")).select("query_id", "rk", "page_id", "sim")
 
 
-def _one_pass(pages: DataFrame, queries: _QuerySet, min_similarity: float) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(queries)
+def _scan(pages: DataFrame, blocks: list[_QuerySet], min_similarity: float) -> DataFrame:
+    """Hits of several blocks of queries from one scan of the pages."""
+    shared = [pages.sparkSession.sparkContext.broadcast(q) for q in blocks]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        best = _TopK(q.k)
-        step = max(1, _MAX_CELLS // len(q.ids))
+        held = [(b.value, _TopK(b.value.k)) for b in shared]
         for batch in batches:
             page_ids = batch.column("page_id").to_numpy()
-            unit = _unit_rows(_matrix(batch.column("vector"), q.dim))
-            for lo in range(0, len(page_ids), step):
-                sims = q.unit @ unit[lo : lo + step].T
-                at_query, at_page = np.nonzero(sims > min_similarity)
-                best.add(at_query, page_ids[lo + at_page], np.round(sims[at_query, at_page], 6))
-        yield best.rows(q.ids)
+            for q, best in held:
+                unit = _unit_rows(_matrix(batch.column("vector"), q.dim))
+                step = max(1, _MAX_CELLS // len(q.ids))
+                for lo in range(0, len(page_ids), step):
+                    sims = q.unit @ unit[lo : lo + step].T
+                    at_query, at_page = np.nonzero(sims > min_similarity)
+                    best.add(at_query, page_ids[lo + at_page], np.round(sims[at_query, at_page], 6))
+                    if best.full:
+                        yield best.rows(q.ids)
+        for q, best in held:
+            yield best.rows(q.ids)
 
     vectors = pages.select("page_id", "vector").where(F.col("vector").isNotNull())
     return vectors.mapInArrow(scan, _HITS)
 
 
-def _in_passes(queries: DataFrame, default_k: int, run, depth: int = 0) -> DataFrame:
-    """Apply ``run`` to the query set, halved by id hash until each part fits one pass."""
-    head = queries.limit(MAX_QUERIES_PER_PASS + 1).toArrow()
-    if head.num_rows == 0:
+def _blocks(queries: DataFrame, default_k: int) -> Iterator[_QuerySet]:
+    """The query set in blocks by id hash; it is computed and written once and read block by block."""
+    stored = written(queries, "queries")
+    rows, size = stored.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("bigint") * 8), F.lit(0))).first()
+    count = max(1, -(-rows // MAX_QUERIES_PER_BLOCK), -(-size // MAX_QUERY_BYTES))
+    for i in range(count):
+        block = stored.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == i).toArrow()
+        if block.num_rows:
+            yield _QuerySet(block, default_k)
+
+
+def _scans(queries: DataFrame, default_k: int, run, blocks_per_scan: int) -> DataFrame:
+    """Hits of ``run(blocks)`` for groups of at most ``blocks_per_scan`` blocks; the groups but a lone one are written."""
+    blocks, parts = _blocks(queries, default_k), []
+    while group := list(islice(blocks, blocks_per_scan)):
+        parts.append(run(group))
+    if not parts:
         return queries.sparkSession.createDataFrame([], _HITS)
-    size = 8 * pc.sum(pc.list_value_length(head.column("vector"))).as_py()
-    if head.num_rows <= MAX_QUERIES_PER_PASS and (size <= MAX_QUERY_BYTES or head.num_rows == 1):
-        hits = run(_QuerySet(head, default_k))
-        return hits if depth == 0 else written(hits, "search-pass")
-    if depth >= _SPLIT_LIMIT:
-        raise ValueError("query ids are not unique")
-    side = F.shiftright(F.xxhash64("query_id"), depth).bitwiseAND(F.lit(1))
-    halves = [_in_passes(queries.where(side == bit), default_k, run, depth + 1) for bit in (0, 1)]
-    return halves[0].unionByName(halves[1])
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, [written(p, "search-scan") for p in parts])
 
 
 def _query_columns(queries: DataFrame) -> DataFrame:
@@ -157,10 +182,11 @@ def search_topk(
     ``pages(page_id, vector)``, ``queries(query_id, vector[, k])``. Cosine similarity
     must be strictly above the threshold; ties go to the smaller id. Pages are scanned
     in place as matrix products against the broadcast queries; each task sends on at
-    most k rows per query, and that is all that is ever shuffled.
+    most k rows per query, and that is all that is ever shuffled. Any number of queries
+    is taken in blocks, ``BLOCKS_PER_SCAN`` of them in one scan of the pages. Rows that
+    repeat a query id count as one query with several vectors.
     """
-    hits = _in_passes(_query_columns(queries), k, lambda q: _one_pass(pages, q, min_similarity))
-    return _ranked(hits)
+    return _ranked(_scans(_query_columns(queries), k, lambda group: _scan(pages, group, min_similarity), BLOCKS_PER_SCAN))
 
 
 # --- approximate search -------------------------------------------------------------
@@ -231,7 +257,8 @@ def search_ann(
     """
     radius = hamming_radius(min_similarity, bits, recall)
 
-    def run(q: _QuerySet) -> DataFrame:
+    def run(group: list[_QuerySet]) -> DataFrame:
+        q = group[0]
         shared = pages.sparkSession.sparkContext.broadcast(q)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +292,15 @@ def search_ann(
                     sims = np.einsum("ij,ij->i", q.unit[qs], unit[ps])
                     hit = sims > min_similarity
                     best.add(qs[hit], page_ids[ps[hit]], np.round(sims[hit], 6))
+                    if best.full:
+                        yield best.rows(q.ids)
             yield best.rows(q.ids)
 
         candidates = signatures.mapInArrow(near, "page_id bigint, near array<int>")
         vectors = pages.select("page_id", "vector")
         return candidates.join(vectors, "page_id").select("page_id", "near", "vector").mapInArrow(score, _HITS)
 
-    return _ranked(_in_passes(_query_columns(queries), k, run))
+    return _ranked(_scans(_query_columns(queries), k, run, 1))
 
 
 # --- responses ----------------------------------------------------------------------

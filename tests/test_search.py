@@ -55,20 +55,38 @@ def test_more_queries_than_one_pass(spark, monkeypatch):
     pages, queries = random_vectors(100, 8, 3), random_vectors(40, 8, 4)
     p, q = spark.createDataFrame(pages, VECTORS), spark.createDataFrame(queries, QUERIES)
     expected = hits(R.search_topk(p, q, k=3))
-    monkeypatch.setattr(R, "MAX_QUERIES_PER_PASS", 7)
+    monkeypatch.setattr(R, "MAX_QUERIES_PER_BLOCK", 7)
     assert hits(R.search_topk(p, q, k=3)) == expected
-    monkeypatch.setattr(R, "MAX_QUERIES_PER_PASS", 100)
+    monkeypatch.setattr(R, "MAX_QUERIES_PER_BLOCK", 100)
     monkeypatch.setattr(R, "MAX_QUERY_BYTES", 8 * 8 * 10)
     assert hits(R.search_topk(p, q, k=3)) == expected
     assert same(expected, brute_force(pages, queries, 3, 0.3))
 
 
-def test_duplicate_query_ids_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_QUERIES_PER_PASS", 1)
-    monkeypatch.setattr(R, "_SPLIT_LIMIT", 2)
-    queries = spark.createDataFrame([(1, [1.0]), (1, [1.0])], QUERIES)
-    with pytest.raises(ValueError, match="not unique"):
-        R.search_topk(spark.createDataFrame([(1, [1.0])], VECTORS), queries)
+def test_three_blocks_share_one_scan(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(R, "MAX_QUERIES_PER_BLOCK", 14)
+    spark.createDataFrame(random_vectors(200, 8, 3), VECTORS).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    queries = random_vectors(40, 8, 4)
+    q = spark.createDataFrame(queries, QUERIES)
+    assert len(list(R._blocks(q, 10))) == 3
+    found = R.search_topk(pages, q)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert same(hits(found), brute_force(random_vectors(200, 8, 3), queries, 10, 0.3))
+
+
+def test_a_large_k_is_sent_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_KEPT_ROWS", 50)
+    task = R._TopK(np.array([1000]))
+    for i in range(3):
+        task.add(np.zeros(40, dtype=np.int64), np.arange(40) + 40 * i, np.linspace(0.4, 0.9, 40))
+        task.shrink()
+    assert task.full
+    assert task.rows(np.array([7])).num_rows == 120 and not task.full
+    pages = spark.createDataFrame(random_vectors(300, 8, 3, 1), VECTORS)
+    q = spark.createDataFrame([(1, [1.0] + [0.0] * 7, 1_000_000)], QUERIES + ", k long")
+    assert R.search_topk(pages, q, min_similarity=-2.0).count() == 300
 
 
 def test_threshold_is_strict_and_edge_vectors_are_safe(spark):
