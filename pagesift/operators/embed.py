@@ -108,6 +108,10 @@ def is_too_big(text: Column, limit: int = S.MAX_CHUNK_BYTES) -> Column:
     return F.octet_length(text) > limit
 
 
+MAX_CALL_ROWS = 2_048
+"""Texts handed to the model at once; a chunk of many short texts takes several calls."""
+
+
 def embed_texts(
     df: DataFrame,
     keep: list[str],
@@ -115,56 +119,73 @@ def embed_texts(
     loader: EmbedLoader | None = None,
     limit: int = S.MAX_CHUNK_BYTES,
     unit: bool = False,
+    old: str | None = None,
 ) -> DataFrame:
     """``keep`` columns plus ``vector``; a text over the byte limit gets an empty vector.
 
     Vectors come as the model returns them (floats), or with ``unit`` normalised to
-    length one in double precision while they are still packed arrays.
+    length one in double precision while they are still packed arrays. With ``old``, the name
+    of a vector column, rows with a NULL text pass through with that vector.
 
     Map-only. Each task walks its rows in order and hands the model chunks of at
-    most ``limit`` bytes, so neither a task nor a model call ever holds more than
-    one chunk. A chunk the model fails on fails the task. Chunks do not cross tasks.
+    most ``limit`` bytes and calls of at most ``MAX_CALL_ROWS`` texts, so neither a task nor a
+    model call ever holds more than that. A chunk the model fails on fails the task. Chunks do
+    not cross tasks.
     """
     loader = loader or hash_embedder()
-    src = df.select(*keep, F.col(text).alias("_text"))
+    src = df.select(*keep, F.col(text).alias("_text"), *([F.col(old).cast("array<double>" if unit else "array<float>").alias("_old")] if old else []))
     cell, arrow_cell, numpy_cell = (T.DoubleType(), pa.float64(), np.float64) if unit else (T.FloatType(), pa.float32(), np.float32)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("vector", T.ArrayType(cell))])
+    too_big, passing = -1, -2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed, budget = loader(), ByteBudget(limit)
         rows: list[pa.RecordBatch] = []
         texts: list[str] = []
+        places: list[int] = []  # of each row: the number of its text, or how it goes without
 
-        def finish(vectors: np.ndarray | None) -> pa.RecordBatch:
+        def finish() -> pa.RecordBatch:
             held = pa.Table.from_batches(rows).combine_chunks()
             columns = [held.column(c).combine_chunks() for c in keep]
-            n = held.num_rows
-            if vectors is None:
-                column = pa.array([[]] * n, pa.list_(arrow_cell))
-            else:
-                flat = np.ascontiguousarray(vectors, dtype=numpy_cell)
+            flat = np.zeros((0, 0), dtype=numpy_cell)
+            if texts:
+                flat = np.ascontiguousarray(embed(texts), dtype=numpy_cell)
                 if unit:
                     norms = np.linalg.norm(flat, axis=1, keepdims=True)
                     flat = flat / np.where(norms > 0, norms, 1.0)
-                offsets = np.arange(n + 1, dtype=np.int32) * flat.shape[1]
+            if len(texts) == len(places):
+                offsets = np.arange(len(places) + 1, dtype=np.int32) * flat.shape[1]
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+            else:
+                before = held.column("_old").to_pylist() if old else [None] * len(places)
+                column = pa.array([flat[p] if p >= 0 else [] if p == too_big else v for p, v in zip(places, before, strict=True)], pa.list_(arrow_cell))
             rows.clear()
             texts.clear()
+            places.clear()
             return pa.RecordBatch.from_arrays([*columns, column], names=[*keep, "vector"])
 
         for batch in batches:
-            for i, cell in enumerate(batch.column("_text")):
-                value = cell.as_py() or ""
-                verdict = budget.place(len(value.encode()))
-                if verdict != ByteBudget.SAME_CHUNK and rows:
-                    yield finish(embed(texts))
-                rows.append(batch.slice(i, 1).select(keep))
-                if verdict == ByteBudget.TOO_BIG:
-                    yield finish(None)
+            start = 0  # rows before it are in ``rows`` or gone
+            for i, value in enumerate(batch.column("_text").to_pylist()):
+                verdict = ByteBudget.SAME_CHUNK
+                if value is not None or not old:
+                    verdict = budget.place(len((value or "").encode()))
+                if places and (verdict != ByteBudget.SAME_CHUNK or len(places) >= MAX_CALL_ROWS):
+                    if i > start:
+                        rows.append(batch.slice(start, i - start))
+                    start = i
+                    yield finish()
+                if value is None and old:
+                    places.append(passing)
+                elif verdict == ByteBudget.TOO_BIG:
+                    places.append(too_big)
                 else:
-                    texts.append(value)
-        if rows:
-            yield finish(embed(texts))
+                    places.append(len(texts))
+                    texts.append(value or "")
+            if batch.num_rows > start:
+                rows.append(batch.slice(start))
+        if places:
+            yield finish()
 
     return src.mapInArrow(run, schema)
 

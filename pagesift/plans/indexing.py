@@ -19,18 +19,18 @@ def _text() -> Column:
 def index_pass(pages: DataFrame, loader: EmbedLoader | None = None, limit: int = S.MAX_CHUNK_BYTES) -> DataFrame:
     """The pages table after one pass over its backlog.
 
-    Waiting pages are embedded in place and the rest is left alone: two filtered scans
-    of the same snapshot and no shuffle. A page whose text exceeds the byte limit keeps
+    One scan and no shuffle: waiting pages are embedded in place, the rest passes through
+    the same tasks unchanged. A page whose text exceeds the byte limit keeps
     a NULL vector and is never selected again.
     """
     has_text = (F.col("title") != "") | (F.col("description") != "") | (F.col("content") != "")
     waiting = F.coalesce(F.col("vector").isNull() & F.col("can_be_vectorized") & has_text, F.lit(False))
-    todo = pages.where(waiting).select(*_COLUMNS, _text().alias("text"))
     kind = pages.schema["vector"].dataType
-    done = embed_texts(todo, _COLUMNS, "text", loader, limit, unit=True).select(
+    source = pages.select(*_COLUMNS, "vector", "can_be_vectorized", waiting.alias("_waits"), F.when(waiting, _text()).alias("_todo"))
+    done = embed_texts(source, [*_COLUMNS, "can_be_vectorized", "_waits"], "_todo", loader, limit, unit=True, old="vector")
+    filled = F.size("vector") > 0
+    return done.select(
         *_COLUMNS,
-        F.when(F.size("vector") > 0, F.col("vector").cast(kind)).alias("vector"),
-        (F.size("vector") > 0).alias("can_be_vectorized"),
+        F.when(~F.col("_waits") | filled, F.col("vector").cast(kind)).alias("vector"),
+        F.when(F.col("_waits"), filled).otherwise(F.col("can_be_vectorized")).alias("can_be_vectorized"),
     )
-    rest = pages.where(~waiting).select(*_COLUMNS, "vector", "can_be_vectorized")
-    return rest.unionByName(done)

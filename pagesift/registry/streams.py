@@ -25,14 +25,15 @@ def _caught_up(stream: DataFrame, name: str) -> DataFrame:
     f"""WITH {SQL_CONTENT}, x AS (SELECT page_id, url, title, 'Title: ' || title || '. Description: ' || description || '. Content: ' || content || '.' AS txt FROM ap),
     {_hash_sql("d", "x", "page_id", "txt")},
     c AS (SELECT page_id, sum(CAST(w AS DOUBLE) / norm * (bucket + 1)) AS s FROM d_w JOIN d_n USING (page_id) GROUP BY page_id)
-    SELECT page_id, url, title, true AS can_be_vectorized, round(s, 5) AS checksum FROM x JOIN c USING (page_id)""",
+    SELECT page_id, url, title, true AS can_be_vectorized, round(s, 5) AS checksum FROM x JOIN c USING (page_id)
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1""",
 )
 def stream_index(spark, sf):
     out = scratch_path(spark, "stream_index")
     arrivals = page_stream(spark, sf).withColumn("crawled_at", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
     J.index_arrivals(arrivals, f"{out}/data", f"{out}/checkpoint", vector_type="array<double>").awaitTermination()
-    schema = "page_id bigint, url string, title string, vector array<double>, can_be_vectorized boolean, batch_id bigint"
-    stored = spark.read.schema(schema).parquet(f"{out}/data")
+    schema = "page_id bigint, url string, title string, crawled_at timestamp_ntz, vector array<double>, can_be_vectorized boolean, batch_id bigint"
+    stored = J.current_pages(spark.read.schema(schema).parquet(f"{out}/data"))
     return stored.select("page_id", "url", "title", "can_be_vectorized", checksum().alias("checksum"))
 
 

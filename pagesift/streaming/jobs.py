@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,7 +36,9 @@ def index_arrivals(
     """Parse and embed pages as they arrive, one folder per micro-batch.
 
     A batch that is replayed after a failure overwrites its own folder, so no page is
-    indexed twice. The first run over an existing folder is the cold start.
+    indexed twice. The first run over an existing folder is the cold start. A page crawled
+    again is written again; ``current_pages`` reads the newest row of each URL. Parsing and
+    embedding are one chain of maps over the batch, of which nothing is kept.
     """
 
     def index(batch: DataFrame, batch_id: int) -> None:
@@ -50,14 +52,21 @@ def index_arrivals(
             F.lit(None).cast(vector_type).alias("vector"),
             F.lit(True).alias("can_be_vectorized"),
         )
-        pages.persist()  # parsed once, read by both halves of the indexing pass
         index_pass(pages, loader).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        pages.unpersist()
 
     writer = raw_pages.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def current_pages(stored: DataFrame) -> DataFrame:
+    """The newest row of each URL of what ``index_arrivals`` has written, by (crawled_at, page_id).
+
+    Which batch a row came with does not matter, so neither does how arrivals were cut into batches.
+    """
+    newest = Window.partitionBy("url").orderBy(F.col("crawled_at").desc(), F.col("page_id").desc())
+    return stored.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn", "batch_id")
+
+
 def _first_per_url(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.sort_values(list(pdf.columns)).drop_duplicates("url")
@@ -123,7 +132,8 @@ def fire_timers(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """``(url, due_at)`` once event time has reached the due time of a URL's latest event.
 
     ``events(url, ts, seq, due_at)``; ``due_at`` is epoch milliseconds, NULL for an event
-    that only cancels an earlier timer. Each task reduces its rows to the latest event
+    that only cancels an earlier timer. An event later than the watermark is dropped, a cancelling
+    one too: choose a watermark longer than events are ever late. Each task reduces its rows to the latest event
     per URL before the shuffle, so a busy URL sends on one row per batch.
     """
     src = (

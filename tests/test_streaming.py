@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import pathlib
 
 import pyarrow.parquet as pq
 import pytest
@@ -24,7 +25,10 @@ def event(seq, url, second, kind, retry_at=None, worker="", parent=""):
 
 
 def add_file(spark, folder, name, rows, schema=URL_EVENT):
-    pq.write_table(spark.createDataFrame(rows, schema).toArrow(), f"{folder}/{name}.parquet")
+    """A file of the table that ``name`` is called after, but for its number."""
+    table = pathlib.Path(folder) / f"{name.rstrip('0123456789')}.parquet"
+    table.mkdir(exist_ok=True)
+    pq.write_table(spark.createDataFrame(rows, schema).toArrow(), f"{table}/{name}.parquet")
 
 
 def follow(stream, tmp_path):
@@ -39,7 +43,7 @@ def url_events(spark, folder):
 
 @pytest.fixture
 def log(tmp_path):
-    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "log.parquet").mkdir(parents=True)
     return tmp_path / "in"
 
 
