@@ -4,7 +4,9 @@ The automaton runs once over a segment. At each position its output links give e
 ends there; each relaxes the best score of that position from the best score where the piece
 starts. Scores are those of the vocabulary file; the segmentation with the largest sum wins, on
 ties the one whose last piece is longer. A character that no piece covers falls back to its UTF-8
-bytes at a score below every piece. The vocabulary is read, never trained.
+bytes at a score below every piece. Pieces whose score is a mere placeholder (below -1e8, runs of
+separators) count as that if they are one character, and are not used otherwise. The vocabulary
+is read, never trained.
 
 Spaces become the separator U+2581, with one in front of the text. No usable piece has a
 separator after its first character, nor a line break, so text is cut into segments there without
@@ -64,9 +66,8 @@ class Codec:
                 self.bytes_of.append(b"")
         usable = [s for _, s, _ in self.scores.values() if s > _UNUSABLE]
         self.fallback = min(usable, default=0.0) - 10.0
-        single = self.scores.get(SEPARATOR, (1, self.fallback, 0))[1]
-        # runs of separators that score below single ones never win, so they need not be searched
-        self.scores = {p: v for p, v in self.scores.items() if not (set(p) == {SEPARATOR} and len(p) > 1 and v[1] < len(p) * single)}
+        # some pieces carry a placeholder for a score: those of one character count as its bytes do, longer ones go
+        self.scores = {p: (n, max(s, self.fallback), i) for p, (n, s, i) in self.scores.items() if s > _UNUSABLE or n == 1}
         self.cuts = not any(SEPARATOR in p[1:] or "\n" in p for p in self.scores)
         self.automaton = ahocorasick.Automaton()
         for piece, value in self.scores.items():
@@ -97,7 +98,7 @@ class Codec:
             if literal and text.find(SEPARATOR, max(start, literal_from), at) >= 0:
                 continue
             total = best[start] + score
-            if total > best[at] or total == best[at] and size > back[at][0]:
+            if total > best[at] or total == best[at] and (size > back[at][0] or back[at][1] < 0):
                 best[at] = total
                 back[at] = (size, piece)
         while done < n:

@@ -33,7 +33,7 @@ def score_of(codec, ids):
     for i in ids:
         if i in by_id:
             total += by_id[i]
-        else:
+        else:  # bytes of characters, at most four each
             run += codec.bytes_of[i]
     return total + len(run.decode()) * codec.fallback
 
