@@ -135,11 +135,16 @@ class Model:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """docs(doc_id, text, lang), learnable rows only."""
     narrow = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    langs = [r[0] for r in narrow.select("lang").distinct().collect()]
-    if not langs:
+    counts = narrow.groupBy("lang").count().collect()  # one row a language
+    if not counts:
         return Model({})
-    order = Window.partitionBy("lang").orderBy(F.crc32(F.concat(F.lit("sample"), F.col("doc_id").cast("string")).cast("binary")), "doc_id")
-    picked = narrow.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(1, rows // len(langs))).select("doc_id").distinct()
+    each = max(1, rows // len(counts))
+    # checksums are even, so about twice the rows wanted are left to be ranked, however many there are
+    tops = docs.sparkSession.createDataFrame([(lang, min(1 << 32, ((2 * each + 100) << 32) // n)) for lang, n in counts], "lang string, top bigint")
+    mark = F.crc32(F.concat(F.lit("sample"), F.col("doc_id").cast("string")).cast("binary"))
+    few = narrow.withColumn("mark", mark).join(F.broadcast(tops), "lang").where("mark < top")
+    order = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    picked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("doc_id").distinct()
     picked = docs.sparkSession.createDataFrame(picked.collect(), "doc_id bigint")  # at most ``rows`` ids
     chosen = docs.join(F.broadcast(picked), "doc_id").where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
 

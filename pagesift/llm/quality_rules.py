@@ -16,7 +16,8 @@ Cutoffs are set per stratum (language) and rule:
       to certify anything rejects nothing.
 
 The toxic-word list is fitted on a bounded sample of labelled documents (``LEXICON_ROWS``,
-one half of the labels); cutoffs are set on the other half, over all its rows. A document
+from one half of the labels); the cutoff on its hits is set on the other half, over all its rows.
+The other signals are not fitted, so their cutoffs are set on all labels. A document
 without stratum, or of one without labels, falls under the base rules only.
 
 Base rules, before all others: fewer than 10 words, or over 20 % of the words in five-word
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import doc_key
 from pagesift.session import written
 
-RISK = 0.01
+RISK = 0.02
 """Largest share of good documents of a stratum that one rule may reject."""
 DELTA = 0.05
 """Probability that any of the certified cutoffs breaks its promise."""
@@ -51,6 +52,8 @@ LEXICON_ROWS = 20_000
 """Labelled documents that the toxic-word list is fitted on, at most."""
 LEXICON_WORDS = 1_000
 LEXICON_SUPPORT = 5
+LEXICON_SHARE = 0.02
+"""A word of the list is in at least so many toxic documents, and in this share of them."""
 LEXICON_RATIO = 20.0
 """A word is toxic if its share of toxic documents is so many times its share of others."""
 
@@ -157,7 +160,7 @@ def toxic_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS)
     if totals is None or not totals[0] or not totals[1]:
         return frozenset()
     ratio = ((F.col("a") + 0.5) / totals[0]) / ((F.col("b") + 0.5) / totals[1])
-    top = counted.where((F.col("word") != "") & (ratio >= LEXICON_RATIO)).orderBy(F.desc("a"), F.desc(ratio), "word").limit(LEXICON_WORDS)
+    top = counted.where((F.col("word") != "") & (F.col("a") >= LEXICON_SHARE * totals[0]) & (ratio >= LEXICON_RATIO)).orderBy(F.desc("a"), F.desc(ratio), "word").limit(LEXICON_WORDS)
     return frozenset(r[0] for r in top.select("word").collect())
 
 
@@ -172,16 +175,19 @@ def within_risk(k: int, n: int, risk: float, level: float) -> bool:
 
 
 def choose_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[tuple[str, str, float]]:
-    """holdout(stratum, quality, toxic, signals) -> (stratum, rule, cutoff), for those certified.
+    """holdout(stratum, fitted, quality, toxic, signals) -> (stratum, rule, cutoff), for those certified.
 
-    Only counts reach the driver: one row per stratum.
+    ``fitted`` marks rows that the word list may have seen; its rule leaves them out. Only
+    counts reach the driver: one row per stratum.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    bad = {r: (F.col("toxic") == 1) if r == "toxic_words" else (F.col("quality") == 0) for r in RULES}
-    sums = [F.count_if(good).alias("n")]
+    unseen = ~F.col("fitted")
+    sums = []
     for r, cutoffs in RULES.items():
+        fine, bad = (good & unseen, (F.col("toxic") == 1) & unseen) if r == "toxic_words" else (good, F.col("quality") == 0)
+        sums.append(F.count_if(fine).alias(f"n_{r}"))
         for i, c in enumerate(cutoffs):
-            sums += [F.count_if(good & (F.col(r) > c)).alias(f"g_{r}_{i}"), F.count_if(bad[r] & (F.col(r) > c)).alias(f"b_{r}_{i}")]
+            sums += [F.count_if(fine & (F.col(r) > c)).alias(f"g_{r}_{i}"), F.count_if(bad & (F.col(r) > c)).alias(f"b_{r}_{i}")]
     strata = holdout.groupBy("stratum").agg(*sums).collect()
     level = delta / max(1, len(strata) * len(RULES))
     chosen = []
@@ -190,7 +196,7 @@ def choose_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA)
             best = None
             for i, c in enumerate(cutoffs):
                 k = row[f"g_{r}_{i}"]
-                if not within_risk(k, row["n"], risk, level):
+                if not within_risk(k, row[f"n_{r}"], risk, level):
                     break
                 gain = row[f"b_{r}_{i}"] - GOOD_COST * k
                 if gain > 0 and (best is None or gain > best[0]):
@@ -213,7 +219,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # numbers only: a few dozen bytes a document, read twice below
     measured = written(measured.withColumn("base_failed", failed), "signals")
-    holdout = measured.where("NOT base_failed AND stratum IS NOT NULL").join(labels.where(_fold() == 0), "doc_id")
+    holdout = measured.where("NOT base_failed AND stratum IS NOT NULL").join(labels.withColumn("fitted", _fold() == 1), "doc_id")
     chosen = choose_cutoffs(holdout, risk, delta)
     hits = [F.when((F.col("stratum") == s) & (F.col(r) > c), F.lit(r)) for s, r, c in chosen]
     rejected = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
