@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagesift.registry import QUERIES
 from pagesift.operators import frontier as Q
@@ -58,5 +59,7 @@ def test_search_shuffles_hits_only(spark):
 
 
 def test_upsert_limits_updates_before_the_exchange(spark):
-    text = plan(QUERIES["pages_upsert"](spark, FOLDER))
+    pages = page_table(spark, FOLDER)
+    updates = pages.drop("page_id", "can_be_vectorized").withColumn("version", F.hash("url"))
+    text = plan(P.changed_pages(pages, updates))
     assert "row_number(), 1, Partial" in text
