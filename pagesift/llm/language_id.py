@@ -99,7 +99,6 @@ class Model:
         self.families: dict[str, list[str]] = {}
         for lang in sorted(sample):
             self.families.setdefault(family_of(lang), []).append(lang)
-        self.pairs: list[tuple[str, str]] = []
         weights = []
         groups = {f: [r for lang in langs for r in sample[lang]] for f, langs in self.families.items()}
         tasks = [(a, b, groups[a], groups[b], "") for a, b in combinations(sorted(self.families), 2)]
