@@ -58,21 +58,25 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _even_out(sizes: np.ndarray, where: np.ndarray, shards: int) -> np.ndarray:
-    """Move the smallest groups from the fullest shard (by bytes) to the emptiest while that narrows the gap."""
-    load = np.bincount(where, weights=sizes[:, 0], minlength=shards)
-    members = [sorted(np.flatnonzero(where == s), key=lambda i: sizes[i, 0]) for s in range(shards)]
+    """Narrow the gap in bytes between the fullest and the emptiest shard, by moving one group or swapping two, while that is possible."""
+    size = sizes[:, 0]
+    load = np.bincount(where, weights=size, minlength=shards)
     for _ in range(20 * shards):
         full, empty = int(load.argmax()), int(load.argmin())
         gap = load[full] - load[empty]
-        fits = [i for i in members[full] if 0 < sizes[i, 0] < gap]
-        if not fits:
+        giving, taking = np.flatnonzero(where == full), np.flatnonzero(where == empty)
+        # the last column stands for getting nothing back
+        back = np.concatenate((size[taking], [0.0]))
+        shift = size[giving][:, None] - back[None, :]
+        off = np.where((shift > 0) & (shift < gap), np.abs(shift - gap / 2), np.inf)
+        if not off.size or not np.isfinite(off.min()):
             break
-        best = min(fits, key=lambda i: abs(gap / 2 - sizes[i, 0]))
-        members[full].remove(best)
-        members[empty].append(best)
-        load[full] -= sizes[best, 0]
-        load[empty] += sizes[best, 0]
-        where[best] = empty
+        i, j = divmod(int(off.argmin()), len(back))
+        where[giving[i]] = empty
+        if j < len(taking):
+            where[taking[j]] = full
+        load[full] -= shift[i, j]
+        load[empty] += shift[i, j]
     return where
 
 
