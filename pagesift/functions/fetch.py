@@ -25,6 +25,7 @@ SPA_MARKERS = [
     "__NUXT__",
     "window.__INITIAL_STATE__",
 ]
+# Fixed value: a page that asks for JavaScript where it is off.
 SPA_NOSCRIPT = r"(?i)<noscript>[^<]*javascript"
 
 # Tags that mark HTML at the start of a body (WHATWG MIME sniffing).

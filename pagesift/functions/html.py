@@ -20,7 +20,7 @@ _NOT_TAG = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
 _TOKEN = re.compile(rf"{_NOT_TAG}|<(/?)([a-zA-Z][^\s/>]*+)({_ATTR_LIST})[\s/]*+>", re.S)
 
 # Elements whose content is text, never markup.
-_RAW_TEXT = "script style textarea title xmp iframe noembed noframes noscript".split()
+_RAW_TEXT = ["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"]
 
 # The same tokens in one expression that only reports the attributes of links.
 _LINK_TOKEN = re.compile(
@@ -30,23 +30,23 @@ _LINK_TOKEN = re.compile(
 )
 
 # Elements that end a run of text.
-_BLOCKS = set(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer "
-    "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th "
-    "thead tr ul".split()
-)
-_CHROME = set("aside dialog footer form header nav".split())
-_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_BLOCKS = {
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main",
+    "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
+_CHROME = {"aside", "dialog", "footer", "form", "header", "nav"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES_P = _BLOCKS - {"html", "body"}
 _SELF_CLOSING_PEERS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 
 # Starting weight of a container by its tag.
 _TAG_WEIGHT = {
-    **dict.fromkeys("article main".split(), 10.0),
-    **dict.fromkeys("div section".split(), 5.0),
-    **dict.fromkeys("pre td blockquote".split(), 3.0),
-    **dict.fromkeys("address ol ul dl dd dt li form".split(), -3.0),
-    **dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5.0),
+    **dict.fromkeys(["article", "main"], 10.0),
+    **dict.fromkeys(["div", "section"], 5.0),
+    **dict.fromkeys(["pre", "td", "blockquote"], 3.0),
+    **dict.fromkeys(["address", "ol", "ul", "dl", "dd", "dt", "li", "form"], -3.0),
+    **dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6", "th"], -5.0),
 }
 _UNLIKELY = re.compile(
     r"\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie|footer|menu|modal|nav\w*|popup|promo|related|share|"

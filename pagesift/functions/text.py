@@ -20,7 +20,3 @@ def page_text(title: Column, description: Column, content: Column) -> Column:
         part("Description: ", description, ". "),
         part("Content: ", content, "."),
     )
-
-
-def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -163,12 +163,10 @@ def resolve_url(base: Column, href: Column, strict_base: Column | None = None) -
 
 
 # Suffixes of images, fonts, media and documents that carry no page text.
-ASSET_SUFFIXES = (
-    "jpg jpeg png gif webp avif svg ico heic "
-    "woff woff2 ttf eot otf "
-    "mp4 mp3 webm ogg wav mov m3u8 ts mpd avi mkv m4s "
-    "pdf zip"
-).split()
+ASSET_SUFFIXES = [
+    "jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "ico", "heic", "woff", "woff2", "ttf", "eot", "otf", "mp4", "mp3",
+    "webm", "ogg", "wav", "mov", "m3u8", "ts", "mpd", "avi", "mkv", "m4s", "pdf", "zip",
+]
 
 
 def is_static_asset(url: Column) -> Column:

@@ -76,6 +76,7 @@ def same_site_links(spark, sf):
     return both.select("page_id", "pos", "url", hostname(F.col("url")).alias("host"), same)
 
 
+# The suffixes again, as SQL takes them.
 _ASSETS = "jpg|jpeg|png|gif|webp|avif|svg|ico|heic|woff|woff2|ttf|eot|otf|mp4|mp3|webm|ogg|wav|mov|m3u8|ts|mpd|avi|mkv|m4s|pdf|zip"
 _ASSET_URL = "CASE page_id % 3 WHEN 0 THEN {u} || '/logo.png' WHEN 1 THEN {u} || '/clip.m3u8' ELSE {u} END"
 
