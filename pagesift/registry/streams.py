@@ -104,4 +104,4 @@ def stream_reaper(spark, sf):
 def stream_url_state(spark, sf):
     out = scratch_path(spark, "stream_url_state")
     J.follow_url_state(url_events(event_stream(spark, sf)), f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    return J.current_url_state(spark.read.parquet(f"{out}/data"))
+    return J.stored_url_state(spark, f"{out}/data")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +17,7 @@ from pagesift.operators.extract import assemble_pages
 from pagesift.plans.indexing import index_pass
 
 WATERMARK = "10 minutes"
+COMPACT_EVERY = 64
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -203,18 +204,35 @@ def fold_url_events(events: DataFrame) -> DataFrame:
     )
 
 
-def follow_url_state(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep URL states up to date: every micro-batch writes the rows it changed."""
+def follow_url_state(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_every: int = COMPACT_EVERY
+) -> StreamingQuery:
+    """Keep URL states up to date: every micro-batch writes the rows it changed.
+
+    Every ``compact_every``-th batch writes the newest row of every URL instead, so that
+    ``stored_url_state`` never reads more than that one and the batches after it.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = batch
+        if (batch_id + 1) % compact_every == 0 and batch_id:
+            before = batch.sparkSession.read.parquet(path).where(F.col("batch_id").between(max(batch_id - compact_every, 0), batch_id - 1))
+            rows = current_url_state(before.select(*batch.columns, "batch_id").unionByName(batch.withColumn("batch_id", F.lit(batch_id))))
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = fold_url_events(events).writeStream.outputMode("update").foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def stored_url_state(spark: SparkSession, path: str, compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """The newest row per URL of what ``follow_url_state`` has written below ``path``."""
+    stored = spark.read.parquet(path)
+    newest = stored.agg(F.max("batch_id")).first()[0]
+    return current_url_state(stored.where(F.col("batch_id") >= (newest + 1) // compact_every * compact_every - 1))
+
+
 def current_url_state(stored: DataFrame) -> DataFrame:
-    """The newest row per URL of what ``follow_url_state`` has written."""
+    """The newest row per URL of rows that carry the ``batch_id`` they were written with."""
     columns = [c for c in stored.columns if c not in ("url", "batch_id")]
     newest = F.max(F.struct("batch_id", *columns)).alias("row")
     return stored.groupBy("url").agg(newest).select("url", *[F.col(f"row.{c}").alias(c) for c in columns])

@@ -87,6 +87,18 @@ def test_state_fold_stream_equals_batch(spark, log, tmp_path):
     assert got == batch == {("A", S.DONE, "w2", 1, ms(5), ms(9), "p1"), ("B", S.QUEUED, "w3", 0, ms(6), -1, "p2")}
 
 
+def test_state_is_compacted(spark, log, tmp_path):
+    rows = [event(i, f"U{i % 3}", i, "retry" if i % 2 else "take", ms(i), worker=f"w{i}") for i in range(7)]
+    for i, r in enumerate(rows):
+        add_file(spark, log, f"log{i}", [r])
+    out = str(tmp_path / "out")
+    J.follow_url_state(url_events(spark, log), out, str(tmp_path / "ckpt"), compact_every=3).awaitTermination()
+    counts = {r.batch_id: r["count"] for r in spark.read.parquet(out).groupBy("batch_id").count().collect()}
+    assert counts == {0: 1, 1: 1, 2: 3, 3: 1, 4: 1, 5: 3, 6: 1}
+    got = {tuple(r) for r in J.stored_url_state(spark, out, compact_every=3).collect()}
+    assert got == {tuple(r) for r in J.fold_url_events(spark.createDataFrame(rows, URL_EVENT)).collect()}
+
+
 def test_index_arrivals_is_incremental_and_replay_safe(spark, log, tmp_path):
     body = "<html><head><title>{0}</title></head><body><article><p>" + "Words about {0}, and more words. " * 5 + "</p></article></body></html>"
     schema = S.RAW_PAGE
