@@ -7,8 +7,6 @@ together through one small summary row each.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,33 +92,46 @@ def ratio_of_sums(events: DataFrame, keys: list[Column], numerator: Column, deno
     return events.groupBy(keys).agg(F.try_divide(F.sum(numerator).cast("double"), F.sum(denominator)).alias("ratio"))
 
 
-def _slice(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+SLICE_ROWS = 200_000
+"""Rows of a log that one time slice should hold; a slice of one label is sorted in one task."""
+_NO_TIME = -(1 << 62)
+
 
+def slice_width(log: DataFrame, ts: str = "ts") -> int:
+    """Seconds per time slice for a log of this length and density, from one pass over its times."""
+    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+    n, first, last = log.agg(F.count("*"), F.min(seconds), F.max(seconds)).first()
+    return max(1, (last - first) * SLICE_ROWS // n) if n and first is not None else 3600
 
-def _with_slice_row(rows: DataFrame, per_slice: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach each slice's summary row; a NULL label or time is a key like any other."""
-    named = per_slice.select(*[F.col(k).alias(f"_of{k}") for k in keys], *[c for c in per_slice.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
-    return rows.join(named, same).drop(*[f"_of{k}" for k in keys])
+
+def _keyed(rows: DataFrame, ts: str, label: str | None, seconds: int) -> DataFrame:
+    """With ``_slice`` and ``_label``, which are never NULL: a missing label or time is a key like any other.
+
+    Plain equality of such keys lets a window and a join on them share one shuffle.
+    """
+    second = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+    key = F.struct(label) if label else F.struct(F.lit(0).alias("all"))
+    return rows.withColumns({"_label": key, "_slice": F.coalesce(second, F.lit(_NO_TIME))})
 
 
 def counter_deltas(
-    snapshots: DataFrame, label: str, value: str = "total", order: tuple[str, str] = ("ts", "event_id"), slice_seconds: int = 3600
+    snapshots: DataFrame, label: str, value: str = "total", order: tuple[str, str] = ("ts", "event_id"), slice_seconds: int | None = None
 ) -> DataFrame:
     """Increase of a cumulative counter since its previous snapshot, per label.
 
     The first snapshot counts in full. Lags are taken inside (label, time slice);
-    the first row of a slice continues from the last row of the slice before it.
+    the first row of a slice continues from the last row of the slice before it. The
+    width of a slice comes from the data (``slice_width``) unless given; snapshots are read twice.
     """
     ts, tie = order
-    sliced = snapshots.withColumn("_slice", _slice(ts, slice_seconds))
-    within = Window.partitionBy(label, "_slice").orderBy(ts, tie)
-    ends = sliced.groupBy(label, "_slice").agg(F.max(F.struct(ts, tie, value))[value].alias("_end"))
-    carried = ends.withColumn("_carry", F.lag("_end", 1, 0.0).over(Window.partitionBy(label).orderBy("_slice")))
+    sliced = _keyed(snapshots, ts, label, slice_seconds or slice_width(snapshots, ts))
+    within = Window.partitionBy("_label", "_slice").orderBy(ts, tie)
+    ends = sliced.groupBy("_label", "_slice").agg(F.max(F.struct(ts, tie, value))[value].alias("_end"))
+    carried = ends.withColumn("_carry", F.lag("_end", 1, 0.0).over(Window.partitionBy("_label").orderBy("_slice")))
     before = sliced.withColumn("_prev", F.lag(value).over(within))
-    joined = _with_slice_row(before, carried.select(label, "_slice", "_carry"), [label, "_slice"])
-    return joined.withColumn("delta", F.col(value) - F.coalesce("_prev", "_carry")).drop("_prev", "_carry", "_slice")
+    joined = before.join(carried.select("_label", "_slice", "_carry"), ["_label", "_slice"])
+    delta = F.col(value) - F.coalesce("_prev", "_carry")
+    return joined.select(*snapshots.columns, delta.alias("delta"))
 
 
 def running_totals(
@@ -128,20 +139,23 @@ def running_totals(
     amount: Column,
     label: str | None = None,
     order: tuple[str, str] = ("ts", "event_id"),
-    slice_seconds: int = 3600,
+    slice_seconds: int | None = None,
     name: str = "total",
 ) -> DataFrame:
-    """Running sum of ``amount`` in time order, per label or over the whole log."""
+    """Running sum of ``amount`` in time order, per label or over the whole log.
+
+    Sums run inside time slices, whose totals give the offsets. The width of a slice comes from
+    the data (``slice_width``) unless given.
+    """
     ts, tie = order
-    keys = [label] if label else []
-    sliced = events.withColumn("_slice", _slice(ts, slice_seconds)).withColumn("_amount", amount)
-    within = Window.partitionBy(*keys, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("_amount").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    sliced = _keyed(events.withColumn("_amount", amount), ts, label, slice_seconds or slice_width(events, ts))
+    within = Window.partitionBy("_label", "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sliced.groupBy("_label", "_slice").agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy("_label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_label", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     local = sliced.withColumn("_local", F.sum("_amount").over(within))
-    joined = _with_slice_row(local, offsets, [*keys, "_slice"])
-    return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset", "_amount", "_slice")
+    joined = local.join(offsets, ["_label", "_slice"])
+    return joined.select(*events.columns, (F.col("_local") + F.col("_offset")).alias(name))
 
 
 def latest_gauge(events: DataFrame, label: str, value: str = "value", order: tuple[str, str] = ("ts", "event_id")) -> DataFrame:
@@ -155,7 +169,7 @@ def counter_totals(events: DataFrame, label: str, value: str = "value") -> DataF
     return events.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def concurrency(intervals: DataFrame, start: str = "start_ts", end: str = "end_ts", id_col: str = "event_id", slice_seconds: int = 3600) -> DataFrame:
+def concurrency(intervals: DataFrame, start: str = "start_ts", end: str = "end_ts", id_col: str = "event_id", slice_seconds: int | None = None) -> DataFrame:
     """Active intervals after each start or end: ``(ts, id, change, active)``; ends come first on ties."""
     marks = intervals.select(
         F.col(id_col),

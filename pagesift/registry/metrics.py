@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators import ops as M
 from pagesift.registry.base import query
+from pagesift.session import written
 from pagesift.sources.tables import table
 
 _BOUNDS = M.LATENCY_BOUNDS
@@ -99,8 +100,10 @@ def mean_wait(spark, sf):
 )
 def counter_deltas(spark, sf):
     """Cumulative snapshots per event type, and their increments."""
-    snapshots = M.running_totals(_events(spark, sf).select("event_id", "ts", "event_type", "value"), F.col("value"), "event_type")
-    deltas = M.counter_deltas(snapshots, "event_type")
+    log = _events(spark, sf).select("event_id", "ts", "event_type", "value")
+    width = M.slice_width(log)
+    snapshots = written(M.running_totals(log, F.col("value"), "event_type", slice_seconds=width), "snapshots")
+    deltas = M.counter_deltas(snapshots, "event_type", slice_seconds=width)
     return deltas.select("event_id", "event_type", F.round("total", 4).alias("total"), F.round("delta", 4).alias("delta"))
 
 
