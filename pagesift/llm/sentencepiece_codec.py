@@ -19,6 +19,8 @@ are encoded alike; empty tables give empty results; other columns are carried al
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEPARATOR = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 """Segments remembered by a worker; when full the memory is emptied. Results do not depend on it."""
 
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -68,6 +70,7 @@ class Codec:
         self.fallback = min(usable, default=0.0) - 10.0
         # some pieces carry a placeholder for a score: those of one character count as its bytes do, longer ones go
         self.scores = {p: (n, max(s, self.fallback), i) for p, (n, s, i) in self.scores.items() if s > _UNUSABLE or n == 1}
+        self.singles = frozenset(p for p in self.scores if len(p) == 1)
         self.cuts = not any(SEPARATOR in p[1:] or "\n" in p for p in self.scores)
         self.automaton = ahocorasick.Automaton()
         for piece, value in self.scores.items():
@@ -83,6 +86,8 @@ class Codec:
     def segment(self, text: str, literal_from: int) -> list[int]:
         """Ids of one segment; separators at ``literal_from`` or later are characters of the text, not spaces."""
         n = len(text)
+        if self.singles.issuperset(text) and text.find(SEPARATOR, literal_from) < 0:
+            return self._covered(text, n)
         best = [0.0] * (n + 1)
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # length of the last piece and its id, -1 for bytes
         done = 0  # best[0..done] are final but for pieces that end at ``done``
@@ -118,12 +123,31 @@ class Codec:
         ids.reverse()
         return ids
 
+    def _covered(self, text: str, n: int) -> list[int]:
+        """The same where each character is a piece: bytes never win, so they need not be weighed."""
+        best = [0.0] + [-math.inf] * n
+        back = [(0, 0)] * (n + 1)
+        for end, (size, score, piece) in self.automaton.iter(text):  # the longest of an end comes first and wins ties
+            at = end + 1
+            total = best[at - size] + score
+            if total > best[at]:
+                best[at] = total
+                back[at] = (size, piece)
+        ids: list[int] = []
+        at = n
+        while at:
+            size, piece = back[at]
+            ids.append(piece)
+            at -= size
+        ids.reverse()
+        return ids
+
     def _encode_bare(self, word: str) -> bytes:
         """A segment without a space in front."""
-        return np.array(self.segment(word, 0), dtype=np.int32).tobytes()
+        return array("i", self.segment(word, 0)).tobytes()
 
     def _encode_spaced(self, word: str) -> bytes:
-        return np.array(self.segment(SEPARATOR + word, 1), dtype=np.int32).tobytes()
+        return array("i", self.segment(SEPARATOR + word, 1)).tobytes()
 
     def _lookup(self, memory: dict[str, bytes], word: str, encode) -> bytes:
         ids = memory.get(word)
