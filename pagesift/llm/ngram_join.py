@@ -3,8 +3,8 @@
 Rare-first prefix filtering: the n-grams of a document are ordered by a global order that puts
 rare ones first; two documents with Jaccard similarity t or more share an n-gram among the first
 ``n - ceil(t * n) + 1`` of either. Candidates are joined on those, thinned by a length filter,
-a positional filter and a suffix filter (counts of n-grams by hash range bound the overlap of
-what is left), and each remaining pair is verified once on the whole sets.
+a positional filter and a suffix filter (bitmaps, then counts, of n-grams by hash range bound the
+overlap), and each remaining pair is verified once on the whole sets.
 
 How it runs at scale
     * Frequencies for the order come from counters over all n-grams of all documents, added up
@@ -30,6 +30,7 @@ each; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,9 @@ BATCH_BYTES = 2 << 20
 RANGES = 256
 """Hash ranges of the suffix filter; with many, unrelated long documents fail it too."""
 
+BITMAP = ["b0", "b1", "b2", "b3"]
+"""Columns of the bitmap: for each hash range, whether a set has an odd number of n-grams in it."""
+
 _BASE = 0xD1B54A32D192ED03
 
 
@@ -109,12 +113,12 @@ def _counts_of(ranges: bytes) -> np.ndarray:
 
 def _index(shared, size: int, num: int, den: int):
     """Each document's set size, fingerprint, prefix and range counts."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranges", pa.binary())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranges", pa.binary()), *((b, pa.int64()) for b in BITMAP)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, dtype=np.uint8)
         for batch, texts in _text_batches(batches, 3):
-            ns, f1, f2, prefixes, ranges = [], [], [], [], []
+            ns, f1, f2, prefixes, ranges, bitmaps = [], [], [], [], [], []
             for s in shingle_sets(texts, size):
                 n = len(s)
                 ns.append(n)
@@ -124,11 +128,12 @@ def _index(shared, size: int, num: int, den: int):
                 order = np.argsort(classes[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[:first]  # ties by hash, as s is sorted
                 prefixes.append(s[order].view(np.int64))
                 ranges.append(_range_counts(s))
+                bitmaps.append(np.packbits(_counts_of(ranges[-1]).astype(np.uint8) & 1).view(np.int64))
             lengths = np.cumsum([0] + [len(p) for p in prefixes])
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(ranges, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(ranges, pa.binary()), *(pa.array(c, pa.int64()) for c in np.array(bitmaps).T)], schema=schema)
 
-    return run, "k1 bigint, k2 bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, ranges binary"
+    return run, "k1 bigint, k2 bigint, doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, ranges binary, " + ", ".join(f"{b} bigint" for b in BITMAP)
 
 
 def _sets(shared, size: int):
@@ -173,11 +178,17 @@ def _verify(num: int, den: int):
     return run
 
 
-def _may_link(num: int, den: int, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Length and positional filter of a pair that shares an n-gram at places p1 and p2 of the order."""
+def _may_link(num: int, den: int, n1: Column, p1: Column, bits1: list[Column], n2: Column, p2: Column, bits2: list[Column]) -> Column:
+    """Length, positional and bitmap filter of a pair that shares an n-gram at places p1 and p2 of the order.
+
+    An n-gram that only one set has changes one bit, so the bitmaps differ in at most as many
+    bits as the sets differ in n-grams. As part of a join's condition it keeps near misses of
+    a large group from ever becoming rows.
+    """
     short, long = F.least(n1, n2), F.greatest(n1, n2)
     most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (den * short >= num * long) & ((den + num) * most >= num * (n1 + n2))
+    differ = reduce(lambda a, b: a + b, [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits1, bits2, strict=True)])
+    return (den * short >= num * long) & ((den + num) * most >= num * (n1 + n2)) & ((den + num) * differ <= (den - num) * (n1 + n2))
 
 
 class NgramJoin:
@@ -193,16 +204,18 @@ class NgramJoin:
         self.indexed = written(self.docs.mapInArrow(run, ddl), "indexed")
         cls = F.xxhash64("f1", "f2", "n").alias("cls")
         self.classes = self.indexed.where("n > 0").groupBy(cls, "n").agg(
-            F.min(F.struct("k1", "k2")).alias("first"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")
+            F.min(F.struct("k1", "k2")).alias("first"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"),
+            *(F.first(b).alias(b) for b in BITMAP),
         )
-        self.heads = written(self.classes.select("cls", "n", "first", "ranges"), "heads")
+        self.heads = written(self.classes.select("cls", "n", "first", "ranges", *BITMAP), "heads")
 
     def _active(self) -> DataFrame:
         """Prefix entries of n-grams that two classes or more have in their prefixes."""
         entries = self.classes.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
         narrow = entries.select("gram", "cls", "n", F.col("pos").cast("bigint").alias("pos"))
         counts = narrow.groupBy("gram").agg(F.count("*").alias("many"))
-        return narrow.join(counts.where("many > 1"), "gram").select("gram", "cls", "n", "pos")
+        shared = narrow.join(counts.where("many > 1"), "gram").select("gram", "cls", "n", "pos")
+        return shared.join(self.heads.select("cls", *BITMAP), "cls")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs whose counts by hash range leave room for the wanted overlap."""
@@ -254,18 +267,19 @@ class NgramJoin:
 
     def _leader_pairs(self, active: DataFrame) -> DataFrame:
         """Each class with the leaders of its n-grams: those with the smallest checksums."""
-        entry = F.struct(F.col("cls").alias("c"), F.col("n").alias("m"), F.col("pos").alias("p"))
+        entry = F.struct(F.col("cls").alias("c"), F.col("n").alias("m"), F.col("pos").alias("p"), *BITMAP)
         leaders = active.groupBy("gram").agg(*(F.min_by(entry, F.xxhash64("cls", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)))
         leaders = leaders.select("gram", F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leaders"))
-        met = active.join(leaders, "gram").select("cls", "n", "pos", F.explode("leaders").alias("lead")).where(F.col("cls") != F.col("lead.c"))
-        met = met.where(_may_link(self.num, self.den, F.col("n"), F.col("pos"), F.col("lead.m"), F.col("lead.p")))
+        met = active.join(leaders, "gram").select("cls", "n", "pos", *BITMAP, F.explode("leaders").alias("lead")).where(F.col("cls") != F.col("lead.c"))
+        own, other = [F.col(b) for b in BITMAP], [F.col(f"lead.{b}") for b in BITMAP]
+        met = met.where(_may_link(self.num, self.den, F.col("n"), F.col("pos"), own, F.col("lead.m"), F.col("lead.p"), other))
         return met.select(F.least("cls", "lead.c").alias("u"), F.greatest("cls", "lead.c").alias("v"))
 
     def _all_pairs(self, placed: DataFrame) -> DataFrame:
         """Every pair of classes of different components that share an n-gram."""
-        a = placed.select("gram", F.col("cls").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"))
-        b = placed.select(F.col("gram").alias("gram2"), F.col("cls").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"))
-        near = _may_link(self.num, self.den, F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"))
+        a = placed.select("gram", F.col("cls").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"), *BITMAP)
+        b = placed.select(F.col("gram").alias("gram2"), F.col("cls").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"), *(F.col(x).alias(f"v_{x}") for x in BITMAP))
+        near = _may_link(self.num, self.den, F.col("n1"), F.col("p1"), [F.col(x) for x in BITMAP], F.col("n2"), F.col("p2"), [F.col(f"v_{x}") for x in BITMAP])
         met = a.join(b, (F.col("gram") == F.col("gram2")) & (F.col("u") < F.col("v")) & (F.col("c1") != F.col("c2")) & near)
         return met.select("u", "v")
 
