@@ -51,8 +51,8 @@ BATCH_BYTES = 2 << 20
 RANGES = 256
 """Hash ranges of the suffix filter; with many, unrelated long documents fail it too."""
 
-BITMAP = ["b0", "b1", "b2", "b3"]
-"""Columns of the bitmap: for each hash range, whether a set has an odd number of n-grams in it."""
+BITMAP = ["b0", "b1", "b2", "b3", "b4", "b5", "b6", "b7"]
+"""Columns of the bitmap, 64 bits each: for each hash range, whether a set has an odd number of n-grams in it."""
 
 _BASE = 0xD1B54A32D192ED03
 
@@ -128,7 +128,8 @@ def _index(shared, size: int, num: int, den: int):
                 order = np.argsort(classes[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[:first]  # ties by hash, as s is sorted
                 prefixes.append(s[order].view(np.int64))
                 ranges.append(_range_counts(s))
-                bitmaps.append(np.packbits(_counts_of(ranges[-1]).astype(np.uint8) & 1).view(np.int64))
+                bits = np.bincount((s >> np.uint64(16)).astype(np.int64) % (64 * len(BITMAP)), minlength=64 * len(BITMAP)) & 1
+                bitmaps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
             lengths = np.cumsum([0] + [len(p) for p in prefixes])
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(ranges, pa.binary()), *(pa.array(c, pa.int64()) for c in np.array(bitmaps).T)], schema=schema)
