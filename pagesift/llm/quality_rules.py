@@ -9,23 +9,31 @@ Cutoffs are set per stratum (language) and rule:
       holdout documents above it decides;
     * within one rule and stratum the cutoffs are tried from the loosest down and the first
       failure ends the row (fixed-sequence testing), so no level is spent twice; across rules
-      and strata the level is divided by their number (Bonferroni). With probability at least
-      1 - ``delta`` every certified cutoff keeps its promise, whichever is picked later;
+      and strata the level is divided by the number of tests (Bonferroni). Only rules and strata
+      with labels enough to pass without a false rejection are tested and counted; label numbers
+      alone decide that. With probability at least 1 - ``delta`` every certified cutoff keeps its
+      promise, whichever is picked later;
     * among the certified cutoffs the one with the most bad documents rejected is used, good
-      ones counting ``GOOD_COST`` times; ties go to the loosest. A stratum with too few labels
-      to certify anything rejects nothing.
-
-The toxic-word list is fitted on a bounded sample of labelled documents (``LEXICON_ROWS``,
-from one half of the labels); the cutoff on its hits is set on the other half, over all its rows.
-The other signals are not fitted, so their cutoffs are set on all labels. A document
-without stratum, or of one without labels, falls under the base rules only.
+      ones counting ``GOOD_COST`` times; ties go to the loosest;
+    * all labels together are one more stratum. Its cutoffs, certified in the same way for good
+      documents of the whole mixture, serve documents without stratum and those of strata
+      with too few labels for the rule, unless the stratum's own good labels show more than ``risk``
+      above the cutoff. With too few labels altogether nothing is rejected.
+
+Toxic words are fitted for each stratum and over all, on a bounded sample (``LEXICON_ROWS``). The
+promise is about good documents, so only those must not be seen twice: the fit takes all toxic
+documents and one in ``FIT_SHARE`` of the others, and the good ones of the rest, all of them, set
+the cutoff on the hits. Toxic documents that were fitted count as rejected ones too, which bears
+on the pick among certified cutoffs only. The other signals are not fitted, so their cutoffs are
+set on all labels. A document is compared with the words of its stratum and those over all, one
+without stratum or of a stratum without words with all words.
 
 Base rules, before all others: fewer than 10 words, or over 20 % of the words in five-word
 windows that occur twice or more.
 
 Input cases: null or empty text has no words and fails the base rules; labels with a null
-in any column are left out, and of labels repeated for one document each row counts; a
-document that is repeated is judged each time alike; a null document id is judged but never
+in any column are left out, and of labels repeated for one document each row counts, but none
+as good for the toxic words if one says toxic; a document that is repeated is judged each time alike; a null document id is judged but never
 matches a label; empty labels certify nothing; empty documents give an empty result.
 """
 
@@ -37,7 +45,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.llm.common import doc_key
@@ -51,9 +59,11 @@ GOOD_COST = 50
 LEXICON_ROWS = 20_000
 """Labelled documents that the toxic-word list is fitted on, at most."""
 LEXICON_WORDS = 1_000
+FIT_SHARE = 5
+"""One in so many labelled documents that are not toxic serves the word list and not its cutoff."""
 LEXICON_SUPPORT = 5
 LEXICON_SHARE = 0.02
-"""A word of the list is in at least so many toxic documents, and in this share of them."""
+"""A word of a list is in at least so many toxic documents of its stratum, and in this share of them."""
 LEXICON_RATIO = 20.0
 """A word is toxic if its share of toxic documents is so many times its share of others."""
 
@@ -114,10 +124,11 @@ def measure(text: str, lexicon: frozenset[str]) -> tuple:
     )
 
 
-def _measured(at: int, lexicon: frozenset[str]):
+def _measured(at: int, stratum_at: int, lexicons: dict[str | None, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t or "", lexicon) for t in batch.column(at).to_pylist()]
+            strata = batch.column(stratum_at).to_pylist()
+            rows = [measure(t or "", lexicons.get(s, lexicons[None])) for s, t in zip(strata, batch.column(at).to_pylist(), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(BASE) + len(RULES))
             kinds = [pa.int64()] * len(BASE) + [pa.float64()] * len(RULES)
             arrays = batch.columns[:at] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -126,42 +137,53 @@ def _measured(at: int, lexicon: frozenset[str]):
     return run
 
 
-def _fold() -> F.Column:
-    """1 for labels that the word list may see, 0 for those that set cutoffs."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2))
+def _split(labels: DataFrame) -> DataFrame:
+    """labels and ``fitted``: true for documents that the word lists may see, false for those that set their cutoff."""
+    toxic = F.max(F.col("toxic") == 1).over(Window.partitionBy("doc_id"))
+    share = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FIT_SHARE)) == 0
+    return labels.withColumn("fitted", toxic | share)
 
 
-def toxic_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS) -> frozenset[str]:
-    """Words far more frequent in toxic documents than in others, over at most ``rows`` labelled documents.
+def toxic_lexicons(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS) -> dict[str | None, frozenset[str]]:
+    """Words far more frequent in toxic documents than in others, by stratum, over at most ``rows`` fitted labels.
 
-    The sample is the first ``rows`` of its half in an order by checksum; its ids and flags are
-    the only thing broadcast. Documents count once for each word that they have.
+    Each stratum has the words that stand out in it and those that stand out over all; under None
+    are all of them. The sample is the first ``rows`` in an order by checksum; its ids and flags
+    are the only thing broadcast. Documents count once for each word that they have.
     """
-    sample = labels.where(_fold() == 1).orderBy(F.crc32(F.concat(F.lit("lexicon"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(rows)
+    sample = labels.where("fitted").orderBy(F.crc32(F.concat(F.lit("lexicon"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(rows)
     sample = sample.select("doc_id", (F.col("toxic") == 1).alias("bad"))
     spark = docs.sparkSession
     picked = spark.createDataFrame(sample.collect(), "doc_id bigint, bad boolean")  # at most ``rows`` pairs
-    texts = docs.join(F.broadcast(picked), "doc_id").select("bad", "text").where("text IS NOT NULL")
+    texts = docs.join(F.broadcast(picked), "doc_id").select("stratum", "bad", "text").where("text IS NOT NULL")
+    schema = pa.schema([("pool", pa.bool_()), ("stratum", pa.string()), ("word", pa.string()), ("bad", pa.bool_()), ("n", pa.int64())])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        counts: dict[tuple[str | None, bool], Counter] = {}
         for batch in batches:
-            for bad, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[bad].update(set(_LETTERS.findall(text.lower())))
-                counts[bad][""] += 1
-        for bad, found in counts.items():
-            yield pa.RecordBatch.from_pydict({"word": list(found), "bad": [bad] * len(found), "n": list(found.values())}, schema=pa.schema([("word", pa.string()), ("bad", pa.bool_()), ("n", pa.int64())]))
-
-    counted = texts.mapInArrow(words, "word string, bad boolean, n bigint").groupBy("word").agg(
+            for stratum, bad, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = counts.setdefault((stratum, bad), Counter())
+                own.update(set(_LETTERS.findall(text.lower())))
+                own[""] += 1
+        for (stratum, bad), found in counts.items():
+            for pool in (True, False) if stratum is not None else (True,):
+                k = len(found)
+                yield pa.RecordBatch.from_pydict({"pool": [pool] * k, "stratum": ["" if pool else stratum] * k, "word": list(found), "bad": [bad] * k, "n": list(found.values())}, schema=schema)
+
+    counted = texts.mapInArrow(words, "pool boolean, stratum string, word string, bad boolean, n bigint").groupBy("pool", "stratum", "word").agg(
         F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("b")
     )
-    counted = counted.where((F.col("a") >= LEXICON_SUPPORT) | (F.col("word") == ""))
-    totals = counted.where("word = ''").select("a", "b").first()
-    if totals is None or not totals[0] or not totals[1]:
-        return frozenset()
-    ratio = ((F.col("a") + 0.5) / totals[0]) / ((F.col("b") + 0.5) / totals[1])
-    top = counted.where((F.col("word") != "") & (F.col("a") >= LEXICON_SHARE * totals[0]) & (ratio >= LEXICON_RATIO)).orderBy(F.desc("a"), F.desc(ratio), "word").limit(LEXICON_WORDS)
-    return frozenset(r[0] for r in top.select("word").collect())
+    key = Window.partitionBy("pool", "stratum")
+    all_a, all_b = (F.max(F.when(F.col("word") == "", F.col(c))).over(key) for c in "ab")
+    counted = counted.where((F.col("a") >= LEXICON_SUPPORT) | (F.col("word") == "")).withColumns({"all_a": all_a, "all_b": all_b})
+    counted = counted.where((F.col("word") != "") & (F.col("all_b") > 0) & (F.col("a") >= LEXICON_SHARE * F.col("all_a")))
+    counted = counted.withColumn("ratio", ((F.col("a") + 0.5) / F.col("all_a")) / ((F.col("b") + 0.5) / F.col("all_b"))).where(F.col("ratio") >= LEXICON_RATIO)
+    top = counted.withColumn("r", F.row_number().over(key.orderBy(F.desc("a"), F.desc("ratio"), "word"))).where(F.col("r") <= LEXICON_WORDS)
+    pooled: set[str] = set()
+    own: dict[str, set[str]] = {}
+    for pool, stratum, word in top.select("pool", "stratum", "word").collect():
+        (pooled if pool else own.setdefault(stratum, set())).add(word)
+    return {s: frozenset(w | pooled) for s, w in own.items()} | {None: frozenset(pooled.union(*own.values()))}
 
 
 def within_risk(k: int, n: int, risk: float, level: float) -> bool:
@@ -174,36 +196,50 @@ def within_risk(k: int, n: int, risk: float, level: float) -> bool:
     return top + math.log(math.fsum(math.exp(x - top) for x in log_sum)) <= math.log(level)
 
 
-def choose_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[tuple[str, str, float]]:
-    """holdout(stratum, fitted, quality, toxic, signals) -> (stratum, rule, cutoff), for those certified.
+def _tests_made(sizes: list[int], risk: float, delta: float) -> int:
+    """The smallest m such that no more than m tests have labels enough to pass at delta / m without a false rejection."""
+    return next((m for m in range(1, len(sizes)) if sum(within_risk(0, n, risk, delta / m) for n in sizes) <= m), max(1, len(sizes)))
+
+
+def choose_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[list[tuple[str, str, float]], list[tuple[str, float, list[str]]]]:
+    """holdout(stratum, fitted, quality, toxic, signals) -> (stratum, rule, cutoff), and (rule, cutoff, strata without it) over all labels.
 
-    ``fitted`` marks rows that the word list may have seen; its rule leaves them out. Only
-    counts reach the driver: one row per stratum.
+    ``fitted`` marks rows that the word lists may have seen; no good one of them counts for their
+    rule. Only counts reach the driver: one row per stratum.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    unseen = ~F.col("fitted")
     sums = []
     for r, cutoffs in RULES.items():
-        fine, bad = (good & unseen, (F.col("toxic") == 1) & unseen) if r == "toxic_words" else (good, F.col("quality") == 0)
+        fine, bad = (good & ~F.col("fitted"), F.col("toxic") == 1) if r == "toxic_words" else (good, F.col("quality") == 0)
         sums.append(F.count_if(fine).alias(f"n_{r}"))
         for i, c in enumerate(cutoffs):
             sums += [F.count_if(fine & (F.col(r) > c)).alias(f"g_{r}_{i}"), F.count_if(bad & (F.col(r) > c)).alias(f"b_{r}_{i}")]
-    strata = holdout.groupBy("stratum").agg(*sums).collect()
-    level = delta / max(1, len(strata) * len(RULES))
-    chosen = []
-    for row in strata:
-        for r, cutoffs in RULES.items():
-            best = None
-            for i, c in enumerate(cutoffs):
-                k = row[f"g_{r}_{i}"]
-                if not within_risk(k, row[f"n_{r}"], risk, level):
-                    break
-                gain = row[f"b_{r}_{i}"] - GOOD_COST * k
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, c)
-            if best:
-                chosen.append((row["stratum"], r, best[1]))
-    return chosen
+    rows = [row.asDict() for row in holdout.groupBy("stratum").agg(*sums).collect()]
+    strata = {row["stratum"]: row for row in rows if row["stratum"] is not None}
+    if not rows:
+        return [], []
+    pool = {name: sum(row[name] for row in rows) for name in rows[0] if name != "stratum"}
+    level = delta / _tests_made([row[f"n_{r}"] for row in [*strata.values(), pool] for r in RULES], risk, delta)
+
+    def pick(row: dict, r: str) -> tuple[int, float] | None:
+        best = None
+        for i, c in enumerate(RULES[r]):
+            k = row[f"g_{r}_{i}"]
+            if not within_risk(k, row[f"n_{r}"], risk, level):
+                break
+            gain = row[f"b_{r}_{i}"] - GOOD_COST * k
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, i)
+        return best and (best[1], RULES[r][best[1]])
+
+    chosen, shared = [], []
+    for r in RULES:
+        tested = [s for s, row in strata.items() if within_risk(0, row[f"n_{r}"], risk, level)]
+        chosen += [(s, r, best[1]) for s in tested if (best := pick(strata[s], r))]
+        if best := pick(pool, r):
+            refuted = [s for s, row in strata.items() if row[f"g_{r}_{best[0]}"] > risk * row[f"n_{r}"]]
+            shared.append((r, best[1], sorted({*tested, *refuted})))
+    return chosen, shared
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -214,14 +250,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "toxic").dropna()
     k1, k2 = doc_key()
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
-    lexicon = toxic_lexicon(plain, labels)
-    measured = plain.mapInArrow(_measured(4, lexicon), "doc_id bigint, stratum string, k1 bigint, k2 bigint, " + _MEASURE_DDL)
+    labels = _split(labels)
+    lexicons = toxic_lexicons(plain, labels)
+    measured = plain.mapInArrow(_measured(4, 1, lexicons), "doc_id bigint, stratum string, k1 bigint, k2 bigint, " + _MEASURE_DDL)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # numbers only: a few dozen bytes a document, read twice below
     measured = written(measured.withColumn("base_failed", failed), "signals")
-    holdout = measured.where("NOT base_failed AND stratum IS NOT NULL").join(labels.withColumn("fitted", _fold() == 1), "doc_id")
-    chosen = choose_cutoffs(holdout, risk, delta)
+    chosen, shared = choose_cutoffs(measured.where("NOT base_failed").join(labels, "doc_id"), risk, delta)
     hits = [F.when((F.col("stratum") == s) & (F.col(r) > c), F.lit(r)) for s, r, c in chosen]
+    # a document without stratum, or of one that is not named
+    hits += [F.when((F.col("stratum").isNull() | ~F.col("stratum").isin(names)) & (F.col(r) > c), F.lit(r)) for r, c, names in shared]
     rejected = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     return measured.withColumn("rejected_by", rejected).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 

@@ -74,3 +74,45 @@ def test_nulls_empty_tables_and_repeats(spark):
     none = spark.createDataFrame([], LABELS)
     assert Q.quality_rules(docs, none).count() == 5
     assert Q.quality_rules(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def tongues(spark):
+    """Toxic and good texts: 3,000 labels of one language, 500 of another, 60 of a third, some without language or label."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for lang, n, labelled in [("en", 3000, 3000), ("fr", 500, 500), ("es", 200, 60), (None, 100, 0), ("it", 100, 0)]:
+        for _ in range(n):
+            i = len(rows)
+            words = [f"{lang}{''.join(chr(97 + int(c)) for c in str(rng.randrange(3000)))}" for _ in range(40)]
+            toxic = i % 10 == 9
+            if toxic:
+                words[::7] = [f"vile{lang if lang in ('en', 'fr') else 'en'}"] * len(words[::7])
+            rows.append((i, " ".join(words), lang, "s", 0))
+            if labelled > 0:
+                labels.append((i, 1, int(toxic)))
+                labelled -= 1
+    return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+
+
+def test_small_strata_and_those_without_labels_are_checked_for_toxic_words(spark):
+    docs, labels = tongues(spark)
+    rows = Q.quality_rules(docs, labels).collect()
+    assert {(r.stratum, r.doc_id % 10 == 9) for r in rows if not r.kept} == {(s, True) for s in ("en", "fr", "es", None, "it")}
+    assert all(r.kept == (r.doc_id % 10 != 9) for r in rows)
+
+
+def test_a_shared_cutoff_spares_a_stratum_whose_own_labels_speak_against_it(spark):
+    docs, labels = tongues(spark)
+    # in the third language the word is in good texts as well
+    usual = (F.col("lang") == "es") & (F.col("doc_id") % 10 == 0)
+    docs = docs.withColumn("text", F.when(usual, F.concat("text", F.lit(" vileen" * 6))).otherwise(F.col("text")))
+    rows = Q.quality_rules(docs, labels).collect()
+    assert all(r.kept for r in rows if r.stratum == "es")
+    assert all(r.kept == (r.doc_id % 10 != 9) for r in rows if r.stratum != "es")
+
+
+def test_tests_are_counted_by_label_numbers():
+    assert Q._tests_made([], 0.02, 0.05) == 1
+    assert Q._tests_made([149, 3], 0.02, 0.05) == 1
+    assert Q._tests_made([160] * 7, 0.02, 0.05) == 2  # none passes at half the level
+    assert Q._tests_made([1000] * 21 + [314] * 7 + [297] * 7, 0.02, 0.05) == 28
