@@ -2,15 +2,17 @@
 
 Lines are parsed as log messages are. A line goes down the tree by its number of words and its
 first ``DEPTH`` words, words with a digit counting as the variable ``<*>``. In the leaf that it
-reaches, variable fields are generalised: a word stays constant at its place if enough documents
+reaches, variable fields are generalised: a word stays constant at its place if enough lines
 of the leaf have that word there, else the place becomes variable too. Lines with the same
 constants at the same places share a template, provided that at least ``SIMILARITY`` of the places
-are constant; a ``<*>`` never is. A template of ``min_docs`` documents or more recurs: its first line (smallest
-document, then line) stays, every other one is dropped.
+are constant; a ``<*>`` never is. A template of ``min_docs`` lines or more recurs: its first line (smallest
+document, then line) stays, every other one is dropped. All counts, of leaves, places and
+templates, are of pairs of a document and a distinct masked line of it, as in the SQL; so a long document
+with ``min_docs`` different lines of one template makes it recur alone.
 
 The generalisation is by counts and so does not depend on the order of lines, and no leaf is
 gathered anywhere: leaves, places and templates are grouped sums, combined before the shuffle.
-Lines in leaves of fewer than ``min_docs`` documents, nearly all of prose, leave the job at once:
+Lines in leaves of fewer than ``min_docs`` such pairs, nearly all of prose, leave the job at once:
 a fixed number of counters, filled over all lines of all documents, tells most of them in the
 scan (never a line that could recur), exact counts the rest.
 
@@ -70,8 +72,9 @@ def _forms(text: bytes) -> dict[bytes, list[int]]:
 def _leaves(depth: int):
     def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in as_bytes(batch.column(0)):
-            leaves = {_leaf(form, depth) for form in _forms(text)}
-            yield np.fromiter(leaves, dtype=np.int64, count=len(leaves)).view(np.uint64)
+            # one for each distinct line, as the exact counts have it, so no leaf that passes those is lost here
+            leaves = [_leaf(form, depth) for form in _forms(text)]
+            yield np.array(leaves, dtype=np.int64).view(np.uint64)
 
     return run
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from pagesift.llm import line_templates
 from pagesift.llm.line_templates import drop_recurring_lines, masked
 from tests.llm.data import DOCS, documents
 
@@ -77,3 +78,17 @@ def test_empty_table(spark):
 
 def test_masked():
     assert masked(b"  a1  b\tc-2-d ") == b"<*> b <*>"
+
+
+def test_scan_and_exact_counts_agree_whatever_shares_a_counter(spark, monkeypatch):
+    # one document with twelve different lines of one template, and two with six each
+    one = ["own words here\n" + "\n".join(f"number of the {'abcdefghijkl'[i]}" for i in range(12))]
+    two = ["\n".join(f"total sum of {'abcdefghijkl'[i]} found" for i in half) for half in (range(6), range(6, 12))]
+    texts = [*one, *two, "nothing of that kind"]
+    found = []
+    for bits in (22, 6):  # the fewer counters there are, the more leaves share one
+        monkeypatch.setattr(line_templates, "COUNTER_BITS", bits)
+        rows = drop_recurring_lines(documents(spark, texts), 10).orderBy("doc_id").collect()
+        found.append([r.kept_text for r in rows])
+    assert found[0] == found[1] == brute(texts, 10)
+    assert found[0][0] == "own words here\nnumber of the a"
