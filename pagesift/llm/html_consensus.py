@@ -4,9 +4,15 @@
        score from the text of their blocks, most of it from blocks directly inside, less their
        link text. A container is named by its generalised path: the tags from the body down, each
        with its class names, digits replaced and numbers of siblings left out.
-    2. In Spark, every page votes for its best paths; votes are added up by host.
-    3. Pages are read again and the elements on the host's winning path are taken; a page that has
-       no such element, or none with text, uses its own best container.
+    2. The score finds where most of the text is; a title, a lead or other parts may lie outside.
+       So each path climbs to enclosing paths: to the nearest article or main, or to a container
+       below the body with a heading (h1, h2) directly inside, if that holds any more text that is
+       not linked, and to any container that holds at least ``CLIMB`` more of it, most of what
+       it adds being not linked.
+    3. In Spark, every page votes for what its best paths climb to; votes are added up by host.
+    4. Pages are read again and the elements on the host's winning path are taken, or those of the
+       article, main or headed container around them that has more on this page; a page that has
+       no such element, or none with text, uses its own best container and what that climbs to.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are told by tag, role and class names and give no text.
@@ -35,6 +41,8 @@ SALTS = 16
 """Parts that the pages of each host are dealt to; its winning path is repeated as often."""
 VOTES = 3
 """Paths that one page votes for."""
+CLIMB = 0.2
+"""Share of text not linked that a container other than article and main adds to one inside it, if it is to be taken instead."""
 
 # Tags by role.
 _RAW = ["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp"]
@@ -70,11 +78,12 @@ _SCOPES = frozenset(["table", "ul", "ol", "dl", "select", "article", "section",
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "main", "start", "own", "below", "links")
+    __slots__ = ("tag", "path", "skip", "main", "start", "own", "below", "links", "headed")
 
     def __init__(self, tag: str, path: str, skip: bool, main: bool, start: int):
         self.tag, self.path, self.skip, self.main, self.start = tag, path, skip, main, start
         self.own = self.below = self.links = 0
+        self.headed = False
 
 
 def _names(attributes: str) -> tuple[str, bool]:
@@ -108,6 +117,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[_Node, int, int]]]:
                 size = len(block)
                 top.own += size
                 top.links += min(link, size)
+                top.headed = top.headed or any(x.tag in ("h1", "h2") for x in stack[-3:])
                 blocks.append(block)
         link = 0
 
@@ -188,26 +198,63 @@ def _best(found: list[tuple[_Node, int, int]]) -> tuple[_Node, int, int]:
     return max(found, key=lambda f: (score(f[0]), -f[1], f[2]))
 
 
+def _climber(found: list[tuple[_Node, int, int]]):
+    """A function from a path to the enclosing path that is taken instead, or the path itself."""
+    totals: dict[str, list] = {}
+    for node, _, _ in found:
+        own = totals.setdefault(node.path, [0, 0, node.tag, False])
+        own[0] += node.own + node.below
+        own[1] += node.links
+        own[3] = own[3] or node.headed
+
+    def climb(path: str, by_share: bool = True) -> str:
+        outer, held = path, totals[path][2] in ("article", "main")
+        while path:
+            path = path.rpartition(">")[0]
+            if path not in totals:  # a class name may hold the separator
+                continue
+            text, links, tag, headed = totals[path]
+            more_links = links - totals[outer][1]
+            more = text - totals[outer][0] - more_links
+            marked = not held and (tag in ("article", "main") or headed and tag not in ("body", "html"))
+            if more > 0 and (marked or by_share and more > more_links and more >= CLIMB * (totals[outer][0] - totals[outer][1])):
+                outer = path
+            held = held or tag in ("article", "main")
+        return outer
+
+    return climb
+
+
 def votes_of(html: str) -> list[tuple[str, float]]:
-    """The best paths of a page, each with its share of the page's points."""
+    """What the best paths of a page climb to, each with its share of the page's points."""
     points: dict[str, float] = {}
-    for node, _, _ in parse(html)[1]:
+    found = parse(html)[1]
+    for node, _, _ in found:
         if (s := score(node)) > 0:
             points[node.path] = points.get(node.path, 0.0) + s
     top = sorted(points.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
     total = sum(s for _, s in top)
-    return [(path, s / total) for path, s in top]
+    climb, votes = _climber(found), {}
+    for path, s in top:
+        outer = climb(path)
+        votes[outer] = votes.get(outer, 0.0) + s / total
+    return sorted(votes.items(), key=lambda x: (-x[1], x[0]))
 
 
 def extract(html: str, path: str | None) -> str:
-    """The text of the elements on ``path``, or of the page's own best container."""
+    """The text of the elements on ``path``, or of the page's own best container, with what they climb to."""
     blocks, found = parse(html)
-    ranges = sorted((a, b) for node, a, b in found if node.path == path and b > a)
-    if not ranges:
-        _, a, b = _best(found)
-        ranges = [(a, b)]
+    climb = _climber(found)
+    ranges = [(a, b) for node, a, b in found if node.path == path and b > a]
+    if ranges:
+        outer = climb(path, by_share=False)
+        ranges += [(a, b) for node, a, b in found if node.path == outer]
+    else:
+        best, a, b = _best(found)
+        outer = climb(best.path)
+        ranges = [(a, b)] + [(x, y) for node, x, y in found if node.path == outer != best.path and x <= a and b <= y]
     taken, upto = [], 0
-    for a, b in ranges:
+    for a, b in sorted(ranges):
         taken += blocks[max(a, upto) : b]
         upto = max(upto, b)
     return "\n".join(taken)

@@ -63,3 +63,43 @@ def test_nulls_repeats_clashes_and_empty(spark):
 def test_very_long_page():
     body = "".join(f"<p>paragraph {i} of the text</p>" for i in range(20_000))
     assert extract(page(body), None).count("\n") == 19_999
+
+
+LONG = "<p>" + "long text of the section " * 40 + "</p>"
+
+
+def taken(spark, *bodies):
+    rows = [(i, f"http://nested.example/{i}", page(b)) for i, b in enumerate(bodies)]
+    return [r.text for r in extract_pages(spark.createDataFrame(rows, PAGES)).orderBy("page_id").collect()]
+
+
+def test_title_and_lead_outside_the_section_stay(spark):
+    article = f"<article><h1>Title</h1><p>Lead</p><section>{LONG}</section></article>"
+    for text in [extract(page(article), None), *taken(spark, article, article)]:
+        assert text.startswith("Title\nLead\nlong text")
+    headed = f"<div class='entry'><h1>Title</h1><div class='entry-text'>{LONG}</div></div>"
+    for text in [extract(page(headed), None), *taken(spark, headed, headed)]:
+        assert text.startswith("Title\nlong text")
+
+
+def test_one_page_with_a_lead_where_others_have_none(spark):
+    plain = f"<article><section>{LONG}</section></article>"
+    texts = taken(spark, plain, plain, plain, plain.replace("<section>", "<p>Lead</p><section>"))
+    assert texts[3].startswith("Lead\nlong text")
+    assert all(t.startswith("long text") for t in texts[:3])
+
+
+def test_articles_split_over_several_classes_stay_whole(spark):
+    def split(k):
+        part = lambda name, n: f"<div class='{name}'><p>{name} " + "of the text " * n + "</p></div>"
+        return part("intro", 10) + part("body", 20 + k) + part("outro", 10)
+
+    for text in [extract(page(split(0)), None), *taken(spark, split(1), split(2))]:
+        assert [line.split()[0] for line in text.split("\n")] == ["intro", "body", "outro"]
+
+
+def test_menus_and_short_notes_beside_the_text_stay_out(spark):
+    body = f"<div class='text'>{LONG}</div>"
+    links = "<div class='list'>" + "".join(f"<a href='/{i}'>another page to look at</a> " for i in range(40)) + "</div>"
+    for text in taken(spark, body + links, body + links, body + "<div class='line'>a slogan</div>"):
+        assert text.startswith("long text") and "another" not in text and "slogan" not in text
