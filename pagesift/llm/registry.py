@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import prepare, read_table
 from pagesift.llm.decontaminate import find_contamination
 from pagesift.llm.html_consensus import extract_pages
+from pagesift.llm.importance_resampling import BUCKETS, MIN_WORDS, PERCENT, SEED, resample
 from pagesift.llm.language_id import held_out, identify, train
 from pagesift.llm.license_scan import BLANK, NOTICES, THRESHOLD, bigrams, scan_licenses
 from pagesift.llm.line_templates import DEPTH, MIN_DOCS, SIMILARITY, drop_recurring_lines
@@ -198,3 +199,34 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_consensus")
 def op10_html_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(read_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+_CRC32_TABLE = "list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+_OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_bench_words_sql("text")} AS w FROM documents),
+b AS (SELECT {_bench_words_sql("text")} AS w FROM benchmark),
+df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY doc_id, f),
+bf AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM b) GROUP BY f),
+tb AS (SELECT {_CRC32_TABLE} AS t),
+hx AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+by AS (SELECT f, list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS x FROM hx),
+bk AS (SELECT f, xor(list_reduce(x, lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1])), 4294967295) % {BUCKETS} AS k FROM by, tb),
+sc AS (SELECT k, sum(n) AS n FROM df JOIN bk USING (f) GROUP BY k),
+tc AS (SELECT k, sum(n) AS n FROM bf JOIN bk USING (f) GROUP BY k),
+al AS (SELECT (SELECT coalesce(sum(n), 0) FROM sc) AS s, (SELECT coalesce(sum(n), 0) FROM tc) AS t),
+gn AS (SELECT k, CAST(floor(1000 * ln((CAST(coalesce(tc.n, 0) AS DOUBLE) + 1) * (s + {BUCKETS}) / ((CAST(coalesce(sc.n, 0) AS DOUBLE) + 1) * (t + {BUCKETS})))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT k FROM bk) LEFT JOIN sc USING (k) LEFT JOIN tc USING (k), al),
+wt AS (SELECT doc_id, sum(n) AS n, sum(n * g) AS g FROM df JOIN bk USING (f) JOIN gn USING (k) GROUP BY doc_id),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features,
+  CAST(CASE WHEN g IS NULL THEN 0 WHEN g >= 0 THEN g // n ELSE -((n - 1 - g) // n) END AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN wt USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM x),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE n_features >= {MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {PERCENT} * n // 100 THEN r END AS rank FROM y LEFT JOIN rk USING (doc_id)"""
+
+
+@query("op13_importance_resampling", _OP13_SQL)
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), low=1, high=1)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
