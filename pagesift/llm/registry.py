@@ -210,8 +210,8 @@ df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM
 bf AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM b) GROUP BY f),
 tb AS (SELECT {_CRC32_TABLE} AS t),
 hx AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
-by AS (SELECT f, list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS x FROM hx),
-bk AS (SELECT f, xor(list_reduce(x, lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1])), 4294967295) % {BUCKETS} AS k FROM by, tb),
+oc AS (SELECT f, list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS x FROM hx),
+bk AS (SELECT f, xor(list_reduce(x, lambda s, y: xor(s >> 8, t[(xor(s, y) & 255) + 1])), 4294967295) % {BUCKETS} AS k FROM oc, tb),
 sc AS (SELECT k, sum(n) AS n FROM df JOIN bk USING (f) GROUP BY k),
 tc AS (SELECT k, sum(n) AS n FROM bf JOIN bk USING (f) GROUP BY k),
 al AS (SELECT (SELECT coalesce(sum(n), 0) FROM sc) AS s, (SELECT coalesce(sum(n), 0) FROM tc) AS t),
