@@ -20,6 +20,7 @@ from pagesift.llm.quality_rules import BASE, quality_rules
 from pagesift.llm.sentencepiece_codec import encode
 from pagesift.llm.substring_dedup import substring_dedup
 from pagesift.llm.vector_packing import shard_documents
+from pagesift.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,6 +202,12 @@ def op10_html_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(read_table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whiten(read_table(spark, folder, "embeddings"), components=4)
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 _CRC32_TABLE = "list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 
 _OP13_SQL = f"""
