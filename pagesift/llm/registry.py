@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.llm.bilinear_lm import score_texts
 from pagesift.llm.common import prepare, read_table
 from pagesift.llm.decontaminate import find_contamination
 from pagesift.llm.html_consensus import extract_pages
@@ -208,6 +209,11 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+@query("op12_bilinear_lm")
+def op12_bilinear_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(read_table(spark, folder, "documents"))
+
+
 _CRC32_TABLE = "list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 
 _OP13_SQL = f"""
