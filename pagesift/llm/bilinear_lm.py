@@ -303,10 +303,16 @@ def train(codes: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
 def log_sums(model: Model) -> np.ndarray:
     """Logs of the normalising sums, by the second word before (rows) and the word before (columns)."""
     near = ((model.places[0] * model.context) @ model.output.T).astype(np.float64)
-    far = ((model.places[1] * model.context) @ model.output.T + model.bias).astype(np.float64)
-    top_near, top_far = near.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
-    sums = np.exp(far - top_far) @ np.exp(near - top_near).T
-    return (np.log(np.maximum(sums, 1e-300)) + top_far + top_near.T).astype(np.float32)
+    top_near = near.max(axis=1, keepdims=True)
+    near -= top_near
+    np.exp(near, out=near)
+    out = np.empty((len(near), len(near)), dtype=np.float32)
+    for a in range(0, len(out), 256):
+        far = ((model.places[1] * model.context[a : a + 256]) @ model.output.T + model.bias).astype(np.float64)
+        top_far = far.max(axis=1, keepdims=True)
+        sums = np.exp(far - top_far) @ near.T
+        out[a : a + 256] = np.log(np.maximum(sums, 1e-300)) + top_far + top_near.T
+    return out
 
 
 class Scorer:
