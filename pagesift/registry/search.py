@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.vectors import inner_product, l2_norm, l2_normalize
+from pagesift.operators import banded as B
 from pagesift.operators import search as R
 from pagesift.operators.embed import assign_chunks, embed_texts
 from pagesift.plans.indexing import index_pass
@@ -89,6 +90,50 @@ def search_ann(spark, sf):
     return R.search_ann(R.build_signatures(pages, 64), pages, _newest(spark, sf))
 
 
+_BANDS = B.plan_bands(0.7)
+_PROBES_SQL = f"""{_VEC_SQL},
+hd AS (SELECT min(page_id) AS page_id, v FROM ev GROUP BY v),
+qs AS (SELECT min(page_id) AS query_id, v AS q FROM ev WHERE page_id % 20 = 0 GROUP BY v),
+planes AS MATERIALIZED (
+  SELECT b // {_BANDS.width} AS band, b % {_BANDS.width} AS i,
+         list(CASE WHEN CAST('0x' || substr(md5(b || ':' || (d // 32)), d % 32 + 1, 1) AS INTEGER) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS p
+  FROM (SELECT unnest(range({_BANDS.count * _BANDS.width})) AS b), (SELECT unnest(range(64)) AS d) GROUP BY b),
+ix AS MATERIALIZED (SELECT page_id, band, CAST(sum(CASE WHEN list_inner_product(v, p) >= 0 THEN 1 << i ELSE 0 END) AS BIGINT) AS code FROM hd, planes GROUP BY page_id, band),
+qm AS MATERIALIZED (SELECT query_id, band, i, list_inner_product(q, p) AS m FROM qs, planes),
+qc AS (SELECT query_id, band, CAST(sum(CASE WHEN m >= 0 THEN 1 << i ELSE 0 END) AS BIGINT) AS own FROM qm GROUP BY query_id, band),
+mk AS (SELECT mask FROM (SELECT unnest(range({1 << _BANDS.width})) AS mask) WHERE bit_count(mask) <= {_BANDS.flips}),
+mb AS (SELECT mask, i FROM mk, (SELECT unnest(range({_BANDS.width})) AS i) WHERE (mask >> i) & 1 = 1),
+cost AS (SELECT query_id, band, mask, sum(m * m) AS c FROM qm JOIN mb USING (i) GROUP BY ALL UNION ALL SELECT query_id, band, 0, 0.0 FROM qc),
+pr AS (SELECT query_id, band, mask FROM cost QUALIFY row_number() OVER (PARTITION BY query_id, band ORDER BY c, mask) <= {_BANDS.probes}),
+cand AS MATERIALIZED (SELECT DISTINCT query_id, page_id FROM pr JOIN qc USING (query_id, band) JOIN ix ON ix.band = pr.band AND ix.code = xor(own, mask))"""
+
+
+@query("banded_candidates", f"WITH {_PROBES_SQL} SELECT query_id, page_id FROM cand")
+def banded_candidates(spark, sf):
+    """Which distinct vectors each of the distinct query vectors would score at 0.7."""
+    vectors = vectors_of(spark, sf).select("page_id", "vector")
+    heads, _ = B.classes_of(vectors)
+    kinds, _ = B.classes_of(vectors.where("page_id % 20 = 0"))
+    probes = B.probe_slots(kinds.withColumnRenamed("page_id", "query_id"), 64, _BANDS)
+    return B.candidates(B.build_bands(heads, 64, _BANDS), probes)
+
+
+@query(
+    "search_banded",
+    f"""WITH {_PROBES_SQL},
+    sims AS (SELECT query_id, page_id, list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v))) AS sim
+             FROM cand JOIN qs USING (query_id) JOIN hd USING (page_id)),
+    wide AS (SELECT a.page_id AS query_id, b.page_id, round(sim, 6) AS sim FROM sims JOIN qs ON qs.query_id = sims.query_id JOIN hd ON hd.page_id = sims.page_id
+             JOIN ev a ON a.v = q AND a.page_id % 20 = 0 JOIN ev b ON b.v = hd.v WHERE sim > 0.7)
+    SELECT query_id, CAST(rk AS INTEGER) AS rk, page_id, sim FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, page_id) AS rk FROM wide) WHERE rk <= 10""",
+)
+def search_banded(spark, sf):
+    """Pages like every twentieth page, itself included."""
+    vectors = vectors_of(spark, sf).select("page_id", "vector")
+    return B.search_banded(vectors, vectors.where("page_id % 20 = 0").withColumnRenamed("page_id", "query_id"), 64, min_similarity=0.7)
+
+
 def _hash_sql(name: str, source: str, key: str, text: str) -> str:
     """CTEs ``{name}_w(key, bucket, w)``: the non-zero sums of the hash embedder."""
     return f"""{name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {source}),
