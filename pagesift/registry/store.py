@@ -9,6 +9,9 @@ from pagesift.operators import links as L
 from pagesift.operators import pages as P
 from pagesift.operators.embed import is_too_big
 from pagesift.registry.base import CHUNK_BYTES, SQL_PAGE_TABLE, doc_url, page_table, query
+from pagesift.registry.search import checksum
+from pagesift.session import scratch_path
+from pagesift.sources.page_store import PageStore
 from pagesift.sources.tables import table
 
 _NORM = "sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x)))"
@@ -81,6 +84,40 @@ def pages_upsert(spark, sf):
     )
 
 
+_UNIT_SQL = "round(list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * i)) / sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * x))), 5)"
+
+
+@query(
+    "pages_merge_on_read",
+    f"""WITH {SQL_PAGE_TABLE}, {_UPDATES_SQL},
+    now AS (
+      SELECT page_id, url, title, description, content, crawled_at, vector, can_be_vectorized FROM pt ANTI JOIN latest USING (url)
+      UNION ALL
+      SELECT coalesce(pt.page_id, CAST('0x' || substr(md5(latest.url), 1, 15) AS BIGINT)), latest.url, latest.title, latest.description, latest.content, latest.crawled_at,
+             NULL, NOT latest.refused
+      FROM latest LEFT JOIN pt USING (url)),
+    em AS (SELECT now.url, now.crawled_at, label = 4 AS refused, embedding FROM now JOIN embeddings ON vec_id = page_id WHERE label % 2 = 0)
+    SELECT page_id, now.url, title, description, md5(content) AS content_md5, now.crawled_at,
+           CASE WHEN em.url IS NOT NULL THEN CASE WHEN NOT refused THEN {_UNIT_SQL.format("embedding")} END
+                WHEN vector IS NOT NULL THEN round(list_sum(list_transform(range(1, len(vector) + 1), lambda i: CAST(vector[i] AS DOUBLE) * i)), 5) END AS checksum,
+           CASE WHEN em.url IS NOT NULL THEN NOT refused ELSE can_be_vectorized END AS can_be_vectorized
+    FROM now LEFT JOIN em ON em.url = now.url AND em.crawled_at = now.crawled_at""",
+)
+def pages_merge_on_read(spark, sf):
+    """The store's whole rows after an upsert, a compaction of half of the buckets, and a write-back of vectors, some of an older crawl."""
+    vector = F.col("vector").cast("array<double>")
+    store = PageStore.create(page_table(spark, sf).withColumn("vector", vector), scratch_path(spark, "store"))
+    by_url = F.conv(F.substring(F.md5("url"), 1, 15), 16, 10).cast("bigint")
+    store.upsert(_updates(spark, sf).withColumn("vector", vector), new_id=by_url)
+    store.compact(set(range(0, store.n, 2)))
+    ids = store.read().select("page_id", "url", "crawled_at")
+    found = ids.join(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "page_id"), "page_id")
+    stale = F.expr("crawled_at - make_dt_interval(1, 0, 0, 0)")
+    entries = F.when(F.col("label") == 4, F.array().cast("array<double>")).otherwise(F.col("embedding").cast("array<double>"))
+    store.write_back(found.select("url", F.when(F.col("label") % 2 == 0, F.col("crawled_at")).otherwise(stale).alias("crawled_at"), entries.alias("vector")))
+    return store.read().select("page_id", "url", "title", "description", F.md5("content").alias("content_md5"), "crawled_at", checksum().alias("checksum"), "can_be_vectorized")
+
+
 @query(
     "vector_writeback",
     f"""WITH {SQL_PAGE_TABLE}, em AS (
