@@ -1,8 +1,8 @@
 """Operational analytics over event logs: rates, histograms, gauges, deltas, concurrency.
 
-Ordered computations (deltas, running sums) are cut into time slices, so that one
-label holding most of the log is still spread over many tasks; slices are stitched
-together through one small summary row each.
+Ordered computations (deltas, running sums) are cut into slices of about equally many rows, at
+points sampled from (label, time, tie), so that one label or one second holding most of the log is
+still spread over many tasks; slices are stitched together through one small summary row each.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.session import written
+
 # Default latency bounds in seconds; the last bucket is open.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 WINDOW_SECONDS = 300
@@ -93,38 +95,61 @@ def ratio_of_sums(events: DataFrame, keys: list[Column], numerator: Column, deno
 
 
 SLICE_ROWS = 200_000
-"""Rows of a log that one time slice should hold; a slice of one label is sorted in one task."""
-_NO_TIME = -(1 << 62)
+"""Rows of a slice, about."""
+MAX_SLICES = 4_096
+"""A longer log has longer slices; this many keep a large cluster busy."""
+SAMPLE_ROWS = 50
+"""Sampled rows for each slice, from which the cut points come."""
+
 
+def _cuts(keyed: DataFrame, slice_rows: int) -> tuple[DataFrame | None, int]:
+    """Cut points of about equally many rows as a table of one row, and how many slices there are.
 
-def slice_width(log: DataFrame, ts: str = "ts") -> int:
-    """Seconds per time slice for a log of this length and density, from one pass over its times."""
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    n, first, last = log.agg(F.count("*"), F.min(seconds), F.max(seconds)).first()
-    return max(1, (last - first) * SLICE_ROWS // n) if n and first is not None else 3600
+    They are keys (label, time, tie) of a sample: a burst in one second is cut between its ties. The
+    table is written, so that whoever looks a row up finds the same slice.
+    """
+    n = keyed.count()
+    slices = min(MAX_SLICES, -(-n // slice_rows))
+    if slices <= 1:
+        return None, 1
+    share = min(1.0, SAMPLE_ROWS * slices / n)
+    found = keyed.sample(share, seed=11).agg(F.array_sort(F.collect_list("_key")).alias("keys"))  # SAMPLE_ROWS * MAX_SLICES keys at most, about
+    step = F.greatest(F.lit(1), F.floor(F.size("keys") / slices).cast("int"))
+    return written(found.select(F.filter("keys", lambda _, i: (i > 0) & (i % step == 0)).alias("cuts")), "cuts"), slices
 
 
-def _keyed(rows: DataFrame, ts: str, label: str | None, seconds: int) -> DataFrame:
-    """With ``_slice`` and ``_label``, which are never NULL: a missing label or time is a key like any other.
+def _keyed(rows: DataFrame, order: tuple[str, str], label: str | None, slice_rows: int) -> DataFrame:
+    """With ``_label``, which is never NULL, and ``_slice``: how many cut points lie at or before the row.
 
-    Plain equality of such keys lets a window and a join on them share one shuffle.
+    A missing label or time is a key like any other. Plain equality of such keys lets a window and a
+    join on them share one shuffle. Looking up is a binary search, a column a step.
     """
-    second = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
-    key = F.struct(label) if label else F.struct(F.lit(0).alias("all"))
-    return rows.withColumns({"_label": key, "_slice": F.coalesce(second, F.lit(_NO_TIME))})
+    ts, tie = order
+    rows = rows.withColumn("_label", F.struct(label) if label else F.struct(F.lit(0).alias("all")))
+    key = F.struct(F.col("_label"), F.col(ts).alias("at"), F.col(tie).alias("tie"))
+    cuts, slices = _cuts(rows.select(key.alias("_key")), slice_rows)
+    if cuts is None:
+        return rows.withColumn("_slice", F.lit(0))
+    points = cuts.scalar()
+    rows = rows.withColumn("_slice", F.lit(0))
+    for step in (1 << b for b in range((2 * slices).bit_length(), -1, -1)):
+        at = F.col("_slice")
+        there = (at + step <= F.size(points)) & (key >= F.get(points, at + (step - 1)))
+        rows = rows.withColumn("_slice", at + F.when(there, step).otherwise(0))
+    return rows
 
 
 def counter_deltas(
-    snapshots: DataFrame, label: str, value: str = "total", order: tuple[str, str] = ("ts", "event_id"), slice_seconds: int | None = None
+    snapshots: DataFrame, label: str, value: str = "total", order: tuple[str, str] = ("ts", "event_id"), slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Increase of a cumulative counter since its previous snapshot, per label.
 
-    The first snapshot counts in full. Lags are taken inside (label, time slice);
-    the first row of a slice continues from the last row of the slice before it. The
-    width of a slice comes from the data (``slice_width``) unless given; snapshots are read twice.
+    The first snapshot counts in full. Lags are taken inside (label, slice);
+    the first row of a slice continues from the last row of the slice before it. Slices hold
+    about ``slice_rows`` rows, however these are spread over labels and time.
     """
     ts, tie = order
-    sliced = _keyed(snapshots, ts, label, slice_seconds or slice_width(snapshots, ts))
+    sliced = _keyed(snapshots, order, label, slice_rows)
     within = Window.partitionBy("_label", "_slice").orderBy(ts, tie)
     ends = sliced.groupBy("_label", "_slice").agg(F.max(F.struct(ts, tie, value))[value].alias("_end"))
     carried = ends.withColumn("_carry", F.lag("_end", 1, 0.0).over(Window.partitionBy("_label").orderBy("_slice")))
@@ -139,16 +164,16 @@ def running_totals(
     amount: Column,
     label: str | None = None,
     order: tuple[str, str] = ("ts", "event_id"),
-    slice_seconds: int | None = None,
+    slice_rows: int = SLICE_ROWS,
     name: str = "total",
 ) -> DataFrame:
     """Running sum of ``amount`` in time order, per label or over the whole log.
 
-    Sums run inside time slices, whose totals give the offsets. The width of a slice comes from
-    the data (``slice_width``) unless given.
+    Sums run inside slices of about ``slice_rows`` rows, whose totals give the offsets. Rows of
+    one label, time and tie cannot be told apart and stay together.
     """
     ts, tie = order
-    sliced = _keyed(events.withColumn("_amount", amount), ts, label, slice_seconds or slice_width(events, ts))
+    sliced = _keyed(events.withColumn("_amount", amount), order, label, slice_rows)
     within = Window.partitionBy("_label", "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     sums = sliced.groupBy("_label", "_slice").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy("_label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,7 +194,7 @@ def counter_totals(events: DataFrame, label: str, value: str = "value") -> DataF
     return events.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def concurrency(intervals: DataFrame, start: str = "start_ts", end: str = "end_ts", id_col: str = "event_id", slice_seconds: int | None = None) -> DataFrame:
+def concurrency(intervals: DataFrame, start: str = "start_ts", end: str = "end_ts", id_col: str = "event_id", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Active intervals after each start or end: ``(ts, id, change, active)``; ends come first on ties."""
     marks = intervals.select(
         F.col(id_col),
@@ -180,6 +205,6 @@ def concurrency(intervals: DataFrame, start: str = "start_ts", end: str = "end_t
             )
         ).alias("mark"),
     ).select(F.col("mark.ts").alias("ts"), F.col("mark.change").alias("change"), F.struct("mark.change", id_col).alias("_tie"), id_col)
-    return running_totals(marks, F.col("change"), None, ("ts", "_tie"), slice_seconds, "active").select(
+    return running_totals(marks, F.col("change"), None, ("ts", "_tie"), slice_rows, "active").select(
         "ts", id_col, "change", "active"
     )

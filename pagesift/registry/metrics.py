@@ -101,9 +101,8 @@ def mean_wait(spark, sf):
 def counter_deltas(spark, sf):
     """Cumulative snapshots per event type, and their increments."""
     log = _events(spark, sf).select("event_id", "ts", "event_type", "value")
-    width = M.slice_width(log)
-    snapshots = written(M.running_totals(log, F.col("value"), "event_type", slice_seconds=width), "snapshots")
-    deltas = M.counter_deltas(snapshots, "event_type", slice_seconds=width)
+    snapshots = written(M.running_totals(log, F.col("value"), "event_type"), "snapshots")
+    deltas = M.counter_deltas(snapshots, "event_type")
     return deltas.select("event_id", "event_type", F.round("total", 4).alias("total"), F.round("delta", 4).alias("delta"))
 
 

@@ -49,9 +49,9 @@ def test_ratio_of_nothing_is_null(spark):
 def test_deltas_and_totals_across_slices(spark):
     increments = [1.0, 2.0, 0.0, 5.0, 7.0, 3.0]
     df = events(spark, *[(s * 2000, "a", v) for s, v in enumerate(increments)], (0, "b", 9))
-    totals = M.running_totals(df, F.col("value"), "label", slice_seconds=3600)
+    totals = M.running_totals(df, F.col("value"), "label", slice_rows=2)
     assert [r.total for r in totals.where("label = 'a'").orderBy("ts").collect()] == [1, 3, 3, 8, 15, 18]
-    deltas = M.counter_deltas(totals, "label", slice_seconds=3600)
+    deltas = M.counter_deltas(totals, "label", slice_rows=2)
     assert [r.delta for r in deltas.where("label = 'a'").orderBy("ts").collect()] == increments
     assert [r.delta for r in deltas.where("label = 'b'").collect()] == [9.0]
 
@@ -66,10 +66,31 @@ def test_no_row_is_lost_to_a_missing_label(spark):
 def test_one_label_over_many_slices_equals_one_window(spark):
     df = events(spark, *[(s * 37 % 50_000, "hot" if s % 3 else "cold", s % 11) for s in range(3000)])
     plain = df.selectExpr("event_id", "sum(value) over (partition by label order by ts, event_id) as total").collect()
-    sliced = M.running_totals(df, F.col("value"), "label", slice_seconds=600).select("event_id", "total").collect()
+    sliced = M.running_totals(df, F.col("value"), "label", slice_rows=100).select("event_id", "total").collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, sliced))
 
 
+def test_a_burst_in_one_second_is_cut_evenly(spark):
+    """Nine tenths of the log in one second, most of it one label."""
+    df = events(spark, *[(5 if s % 10 else s, "hot" if s % 7 else None, s % 13) for s in range(20_000)]).repartition(9)
+    plain = df.selectExpr("event_id", "sum(value) over (partition by label order by ts, event_id) as total").collect()
+    got = M.running_totals(df, F.col("value"), "label", slice_rows=500)
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, got.select("event_id", "total").collect()))
+    sizes = [r["count"] for r in M._keyed(df, ("ts", "event_id"), "label", 500).groupBy("_slice").count().collect()]
+    assert len(sizes) >= 30 and max(sizes) < 2_000
+    deltas = M.counter_deltas(got, "label", slice_rows=700)
+    assert sorted((r.event_id, r.delta) for r in deltas.collect()) == sorted((r.event_id, r.value) for r in df.collect())
+
+
+def test_concurrency_equals_one_window_with_many_slices(spark):
+    rows = [(i, T0 + dt.timedelta(seconds=i % 50), T0 + dt.timedelta(seconds=i % 50 + i % 7)) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "event_id long, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    marks = df.selectExpr("event_id", "start_ts as ts", "1 as change").unionAll(df.selectExpr("event_id", "end_ts", "-1"))
+    plain = marks.selectExpr("event_id", "change", "sum(change) over (order by ts, change, event_id) as active").collect()
+    got = M.concurrency(df, slice_rows=100).select("event_id", "change", "active").collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, got))
+
+
 def test_latest_gauge_breaks_ties_by_id(spark):
     got = M.latest_gauge(events(spark, (5, "a", 1), (5, "a", 2), (1, "a", 3)), "label").collect()
     assert [(r.label, r.value) for r in got] == [("a", 2.0)]
