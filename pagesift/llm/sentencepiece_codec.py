@@ -20,6 +20,7 @@ are encoded alike; empty tables give empty results; other columns are carried al
 from __future__ import annotations
 
 import math
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -32,8 +33,11 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEPARATOR = "▁"
-CACHE_WORDS = 500_000
-"""Segments remembered by a worker; when full the memory is emptied. Results do not depend on it."""
+CACHE_BYTES = 48 << 20
+"""About how much a worker remembers of segments; when full the memory is emptied. Results do not depend on it."""
+CACHE_SEGMENT = 64
+"""Longer segments are not remembered."""
+_ENTRY_BYTES = 160
 
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNUSABLE = -1e8
@@ -79,6 +83,7 @@ class Codec:
         self.line_break = self._ids_of_bytes(b"\n")
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.room = CACHE_BYTES // (_ENTRY_BYTES + 6 * CACHE_SEGMENT)
 
     def _ids_of_bytes(self, raw: bytes) -> bytes:
         return np.array([self.byte_ids[b] for b in raw], dtype=np.int32).tobytes()
@@ -152,9 +157,11 @@ class Codec:
     def _lookup(self, memory: dict[str, bytes], word: str, encode) -> bytes:
         ids = memory.get(word)
         if ids is None:
-            if len(memory) >= CACHE_WORDS:
-                memory.clear()
-            ids = memory[word] = encode(word)
+            ids = encode(word)
+            if len(word) <= CACHE_SEGMENT:
+                if len(memory) >= self.room:
+                    memory.clear()
+                memory[word] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -188,7 +195,7 @@ class Codec:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-_BUILT: dict[int, Codec] = {}
+_BUILT: dict[str, Codec] = {}
 
 
 def _codec(shared) -> Codec:
@@ -200,11 +207,11 @@ def _codec(shared) -> Codec:
 
 
 class _Shared:
-    """A broadcast value with a number to remember what was built from it."""
+    """A broadcast value with a name of its own, by which workers remember what was built from it."""
 
     def __init__(self, spark: SparkSession, value):
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = id(self.broadcast)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self):

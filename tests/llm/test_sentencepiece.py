@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gc
 import random
 
 import pytest
@@ -79,3 +80,19 @@ def test_spark_round_trip_with_odd_rows(spark):
     assert [r.n_tokens for r in rows] == [len(r.ids or ()) for r in rows]
     assert [r.text for r in decode(tokens.drop("round_trip")).orderBy("doc_id").collect()] == texts
     assert encode(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_each_vocabulary_has_its_own_codec(spark):
+    """Many vocabularies in one session, their broadcasts collected as garbage meanwhile."""
+    docs = documents(spark, ["ab"]).coalesce(1)
+    for k in range(25):
+        pieces = [("a", -1.0, 1), ("b", -1.0, 1), ("▁", -1.0, 1), *(("x" * (i + 3), -1.0, 1) for i in range(k)), ("ab", -0.5, 1)]
+        assert encode(docs, pieces).first().ids[-1] == k + 3
+        gc.collect()
+
+
+def test_long_segments_are_not_remembered():
+    codec = Codec(read_pieces())
+    text = " ".join("a" * n for n in range(1, 200))
+    assert codec.decode(codec.encode(text).tolist()) == text
+    assert max(map(len, codec.spaced)) <= 64 and codec.encode(text).tolist() == Codec(read_pieces()).encode(text).tolist()
