@@ -5,9 +5,9 @@ shard where the dot product of its size vector with the shard's residual capacit
 
 To place any number of groups with bounded work on the driver, groups that are small against a
 shard are first put on pallets by hash, ``PALLETS`` for each shard; a pallet is placed as a
-whole and so keeps its groups whole. Groups above ``HEAVY`` of a shard are placed on their own,
-and one above ``SPLIT`` of a shard (say, copies that are a third of all rows) goes in parts of
-at most that, dealt by a checksum of the id. What the driver sees is at most
+whole and so keeps its groups whole. Groups above ``HEAVY`` of a shard are placed on their own.
+Only one that no shard could hold (say, copies that are a third of all rows) goes in parts of about
+``PART`` of a shard, dealt by a checksum of the id. What the driver sees is at most
 ``shards * (PALLETS + 2 / HEAVY)`` sums, whatever the number of rows.
 
 Slots number the rows of a shard without gaps: rows are numbered inside small blocks of each
@@ -30,8 +30,8 @@ PALLETS = 500
 """Pallets per shard."""
 HEAVY = 1 / 200
 """Groups of more than this part of a shard's bytes, tokens or rows are placed on their own."""
-SPLIT = 1 / 4
-"""Larger groups are placed in parts of about this size."""
+PART = 1 / 4
+"""Groups larger than a shard are placed in parts of about this size."""
 ROW_BYTES = 16
 """Bytes that each row counts besides its text."""
 BLOCK_ROWS = 50_000
@@ -97,7 +97,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     sums = [F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")]
     part = F.greatest(*(F.col(c) / F.lit(s) for c, s in zip(("bytes", "tokens", "rows"), share, strict=True)))
     key = ["h", "text_crc32", "size"]
-    heavy = items.groupBy(*key).agg(*sums).where(part > HEAVY).select(*key, F.ceil(part / SPLIT).cast("int").alias("parts"))
+    heavy = items.groupBy(*key).agg(*sums).where(part > HEAVY).select(*key, F.when(part > 1, F.ceil(part / PART)).otherwise(1).cast("int").alias("parts"))
     heavy = written(heavy, "heavy")  # at most 3 * shards / HEAVY rows
     pallet = F.pmod(F.xxhash64("h", "text_crc32", "size"), F.lit(shards * PALLETS)).cast("int")
     piece = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "h"), F.col("parts"))).otherwise(0).cast("int")

@@ -26,7 +26,16 @@ def test_shards_are_even_and_keep_groups(spark):
     assert set(load) == set(range(8))
     assert max(load.values()) - min(load.values()) < 0.01 * sum(load.values()) / 8
     sizes = Counter(texts)
-    assert all(len(where[t]) == 1 for t in sizes if sizes[t] * len(t) < sum(load.values()) / 8 / 4)
+    assert all(len(where[t]) == 1 for t in sizes if sizes[t] * (len(t) + 16) < sum(load.values()) / 8)
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    texts = ["one of fifteen copies " * 3] * 15 + [f"text {i} " * 8 for i in range(1985)]
+    rows = shard_documents(documents(spark, texts), 40).collect()
+    assert len({r.shard for r in rows if texts[r.doc_id] == texts[0]}) == 1
+    nearly = [f"text {i} of many words " * 5 for i in range(900)] + ["copy text of many words " * 4] * 95
+    rows = shard_documents(documents(spark, nearly), 10).collect()
+    assert len({r.shard for r in rows if r.doc_id >= 900}) == 1
 
 
 def test_a_group_of_a_third_of_all_rows_is_split(spark):
