@@ -3,17 +3,17 @@
 Lines are parsed as log messages are. A line goes down the tree by its number of words and its
 first ``DEPTH`` words, words with a digit counting as the variable ``<*>``. In the leaf that it
 reaches, variable fields are generalised: a word stays constant at its place if enough lines
-of the leaf have that word there, else the place becomes variable too. Lines with the same
+documents of the leaf have that word there, else the place becomes variable too. Lines with the same
 constants at the same places share a template, provided that at least ``SIMILARITY`` of the places
-are constant; a ``<*>`` never is. A template of ``min_docs`` lines or more recurs: its first line (smallest
+are constant; a ``<*>`` never is. A template of ``min_docs`` documents or more recurs: its first line (smallest
 document, then line) stays, every other one is dropped. All counts, of leaves, places and
-templates, are of pairs of a document and a distinct masked line of it, as in the SQL; so a long document
-with ``min_docs`` different lines of one template makes it recur alone.
+templates, are of distinct documents, so no document makes a template recur alone, however many of its lines
+are alike.
 
 The generalisation is by counts and so does not depend on the order of lines, and no leaf is
-gathered anywhere: leaves, places and templates are grouped sums, combined before the shuffle.
-Lines in leaves of fewer than ``min_docs`` such pairs, nearly all of prose, leave the job at once:
-a fixed number of counters, filled over all lines of all documents, tells most of them in the
+gathered anywhere: documents are made distinct by leaf, place or template and document, and then counted.
+Lines in leaves of fewer than ``min_docs`` documents, nearly all of prose, leave the job at once:
+a fixed number of counters, filled over all documents, tells most of them in the
 scan (never a line that could recur), exact counts the rest.
 
 Input cases: null text stays null and has no lines; empty and blank lines are never dropped;
@@ -72,9 +72,9 @@ def _forms(text: bytes) -> dict[bytes, list[int]]:
 def _leaves(depth: int):
     def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in as_bytes(batch.column(0)):
-            # one for each distinct line, as the exact counts have it, so no leaf that passes those is lost here
-            leaves = [_leaf(form, depth) for form in _forms(text)]
-            yield np.array(leaves, dtype=np.int64).view(np.uint64)
+            # each leaf once, as the exact counts have it, so no leaf that passes those is lost here
+            leaves = {_leaf(form, depth) for form in _forms(text)}
+            yield np.fromiter(leaves, dtype=np.int64, count=len(leaves)).view(np.uint64)
 
     return run
 
@@ -128,22 +128,29 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, sim
     shared = docs.sparkSession.sparkContext.broadcast(counters)
     ddl = "leaf bigint, form bigint, k1 bigint, k2 bigint, lines array<int>, words array<bigint>"
     lines = written(docs.select("k1", "k2", "text").mapInArrow(_candidates(shared, depth, min_docs), ddl), "lines")
-    first = F.min(F.struct("k1", "k2", F.array_min("lines").alias("line")))
-    forms = lines.groupBy("leaf", "form").agg(F.count("*").alias("n"), first.alias("first"), F.first("words").alias("words"))
-    leaves = forms.groupBy("leaf").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    forms = written(forms.join(leaves, "leaf"), "forms")
-    places = forms.select("leaf", "form", "n", F.posexplode("words").alias("place", "word")).where(F.col("word") != _VARIABLE_HASH)
+    doc = ["k1", "k2"]
+
+    def in_enough(rows: DataFrame, *key: str) -> DataFrame:
+        """The keys that ``min_docs`` documents or more have, with the number of these."""
+        return rows.select(*key, *doc).distinct().groupBy(*key).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+
+    lines = written(lines.join(in_enough(lines, "leaf").select("leaf"), "leaf"), "lines")
+    first = F.min(F.struct(*doc, F.array_min("lines").alias("line")))
+    forms = lines.groupBy("leaf", "form").agg(first.alias("first"), F.first("words").alias("words"))
     # the first words are the path to the leaf and constant there
-    later = places.where(F.col("place") >= depth)
-    constant = later.groupBy("leaf", "place", "word").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    later = later.join(constant.select("leaf", "place", "word"), ["leaf", "place", "word"])
-    kept = later.groupBy("leaf", "form").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("constants"))  # as long as one line
+    later = (F.col("place") >= depth) & (F.col("word") != _VARIABLE_HASH)
+    words = F.posexplode("words").alias("place", "word")
+    constant = in_enough(lines.select("leaf", *doc, words).where(later), "leaf", "place", "word").drop("docs")
+    places = forms.select("leaf", "form", words).where(later).join(constant, ["leaf", "place", "word"])
+    kept = places.groupBy("leaf", "form").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("constants"))  # as long as one line
     path = F.size(F.filter(F.slice("words", 1, depth), lambda w: w != _VARIABLE_HASH)).alias("path")
-    shaped = forms.select("leaf", "form", "n", "first", F.size("words").alias("size"), path).join(kept, ["leaf", "form"], "left")
+    shaped = forms.select("leaf", "form", "first", F.size("words").alias("size"), path).join(kept, ["leaf", "form"], "left")
     same = F.col("path") + F.when(F.col("constants").isNull(), 0).otherwise(F.size("constants"))
     shaped = shaped.where(same >= F.lit(similarity) * F.col("size")).withColumn("template", F.xxhash64("leaf", "constants"))
-    found = shaped.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-    return lines.drop("words"), shaped.select("leaf", "form", "template").join(found, "template")
+    shaped = written(shaped.select("leaf", "form", "template", "first"), "shaped")
+    found = in_enough(lines.join(shaped.drop("first"), ["leaf", "form"]), "template")
+    firsts = shaped.groupBy("template").agg(F.min("first").alias("first"))
+    return lines.drop("words"), shaped.drop("first").join(found.join(firsts, "template"), "template")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:

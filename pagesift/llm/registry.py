@@ -107,14 +107,15 @@ WITH ln AS (SELECT doc_id, i, ls[i] AS line FROM (
   SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 w AS (SELECT doc_id, i, list_transform({words_sql("line")}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM ln),
 inst AS (SELECT doc_id, w, min(i) AS i FROM w WHERE len(w) > 0 GROUP BY doc_id, w),
-form AS (SELECT w, len(w) AS size, w[1:{DEPTH}] AS head, count(*) AS n, min((doc_id, i)) AS fst FROM inst GROUP BY w),
-leaf AS (SELECT size, head FROM form GROUP BY size, head HAVING sum(n) >= {MIN_DOCS}),
-hot AS (SELECT form.* FROM form JOIN leaf USING (size, head)),
-pl AS (SELECT w, size, head, n, p, w[p] AS word FROM (SELECT *, unnest(range({DEPTH} + 1, size + 1)) AS p FROM hot) WHERE w[p] <> '<*>'),
-con AS (SELECT size, head, p, word FROM pl GROUP BY size, head, p, word HAVING sum(n) >= {MIN_DOCS}),
-kept AS (SELECT w, list((p, word) ORDER BY p) AS cs, count(*) AS k FROM pl JOIN con USING (size, head, p, word) GROUP BY w),
+di AS (SELECT *, len(w) AS size, w[1:{DEPTH}] AS head FROM inst),
+leaf AS (SELECT size, head FROM di GROUP BY size, head HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+hot AS (SELECT di.* FROM di JOIN leaf USING (size, head)),
+pl AS (SELECT doc_id, w, size, head, p, w[p] AS word FROM (SELECT *, unnest(range({DEPTH} + 1, size + 1)) AS p FROM hot) WHERE w[p] <> '<*>'),
+con AS (SELECT size, head, p, word FROM pl GROUP BY size, head, p, word HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+kept AS (SELECT w, list((p, word) ORDER BY p) AS cs, count(*) AS k FROM (SELECT DISTINCT w, size, head, p, word FROM pl) JOIN con USING (size, head, p, word) GROUP BY w),
 shape AS (SELECT hot.*, cs FROM hot LEFT JOIN kept USING (w) WHERE len(list_filter(head, lambda x: x <> '<*>')) + coalesce(k, 0) >= {SIMILARITY} * size),
-tpl AS (SELECT w, sum(n) OVER same AS docs, min(fst) OVER same AS fst FROM shape WINDOW same AS (PARTITION BY size, head, cs)),
+tn AS (SELECT size, head, cs, count(DISTINCT doc_id) AS docs, min((doc_id, i)) AS fst FROM shape GROUP BY size, head, cs),
+tpl AS (SELECT DISTINCT shape.w, docs, fst FROM shape JOIN tn ON tn.size = shape.size AND tn.head = shape.head AND tn.cs IS NOT DISTINCT FROM shape.cs),
 gone AS (SELECT w.doc_id, w.i FROM w JOIN tpl ON w.w = tpl.w WHERE docs >= {MIN_DOCS} AND (w.doc_id, w.i) <> fst),
 lost AS (SELECT doc_id, count(*) AS n, list(i) AS ps FROM gone GROUP BY doc_id),
 d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)

@@ -19,17 +19,17 @@ def brute(texts, min_docs, depth=3, similarity=0.5):
     leaf = lambda w: (len(w), w[:depth])
     leaf_docs, places = {}, {}
     for w, docs in forms.items():
-        leaf_docs[leaf(w)] = leaf_docs.get(leaf(w), 0) + len(docs)
+        leaf_docs.setdefault(leaf(w), set()).update(docs)
         for p in (p for p in range(depth, len(w)) if w[p] != "<*>"):
-            places[leaf(w), p, w[p]] = places.get((leaf(w), p, w[p]), 0) + len(docs)
+            places.setdefault((leaf(w), p, w[p]), set()).update(docs)
     shapes = {}
     for w in forms:
-        constant = tuple((p, w[p]) for p in range(depth, len(w)) if w[p] != "<*>" and places[leaf(w), p, w[p]] >= min_docs)
-        if leaf_docs[leaf(w)] >= min_docs and sum(x != "<*>" for x in w[:depth]) + len(constant) >= similarity * len(w):
+        constant = tuple((p, w[p]) for p in range(depth, len(w)) if w[p] != "<*>" and len(places[leaf(w), p, w[p]]) >= min_docs)
+        if len(leaf_docs[leaf(w)]) >= min_docs and sum(x != "<*>" for x in w[:depth]) + len(constant) >= similarity * len(w):
             shapes.setdefault((leaf(w), constant), []).append(w)
     drops = {}
     for same in shapes.values():
-        if sum(len(forms[w]) for w in same) >= min_docs:
+        if len({i for w in same for i in forms[w]}) >= min_docs:
             spots = sorted((i, k) for w in same for i, ks in forms[w].items() for k in ks)
             for i, k in spots[1:]:
                 drops.setdefault(i, set()).add(k)
@@ -80,15 +80,18 @@ def test_masked():
     assert masked(b"  a1  b\tc-2-d ") == b"<*> b <*>"
 
 
-def test_scan_and_exact_counts_agree_whatever_shares_a_counter(spark, monkeypatch):
-    # one document with twelve different lines of one template, and two with six each
-    one = ["own words here\n" + "\n".join(f"number of the {'abcdefghijkl'[i]}" for i in range(12))]
+def test_one_document_makes_no_template_recur(spark, monkeypatch):
+    recipe = "\n".join(f"Step number {'abcdefghijkl'[i]} of the recipe needs x now" for i in range(12))
     two = ["\n".join(f"total sum of {'abcdefghijkl'[i]} found" for i in half) for half in (range(6), range(6, 12))]
-    texts = [*one, *two, "nothing of that kind"]
-    found = []
+    texts = [recipe, *two, "nothing of that kind"]
     for bits in (22, 6):  # the fewer counters there are, the more leaves share one
         monkeypatch.setattr(line_templates, "COUNTER_BITS", bits)
         rows = drop_recurring_lines(documents(spark, texts), 10).orderBy("doc_id").collect()
-        found.append([r.kept_text for r in rows])
-    assert found[0] == found[1] == brute(texts, 10)
-    assert found[0][0] == "own words here\nnumber of the a"
+        assert [r.kept_text for r in rows] == brute(texts, 10) == texts
+
+
+def test_long_texts_and_a_template_in_many_documents(spark):
+    texts = [f"Step number {'abcdefghijkl'[i]} of the recipe needs x now\nown words of {'abcdefghijkl'[i]}\n" + f"filler{'abcdefghijkl'[i]} " * 20_000 for i in range(12)]
+    rows = drop_recurring_lines(documents(spark, texts), 10).orderBy("doc_id").collect()
+    assert [r.kept_text for r in rows] == brute(texts, 10)
+    assert [r.n_dropped for r in rows] == [0] + [1] * 11
