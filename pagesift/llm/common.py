@@ -31,13 +31,17 @@ _CODEC = pa.Codec("zstd", compression_level=1)
 
 
 BATCH_ROWS = 2_000
-"""Rows that a Python worker is handed at a time; documents are long, and memory is what runs out."""
+BATCH_BYTES = 4 << 20
+"""Rows and bytes that a Python worker is handed at a time; documents are long, and memory is what runs out."""
+KEPT_POWERS = 1 << 17
+"""Entries of a power table that a worker keeps; longer ones go after use."""
 
 
 def prepare(spark: SparkSession) -> None:
     """What every operator's job needs: the package on the executors, and small Arrow batches."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +69,15 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and ``base**-i`` modulo 2**64 for i below at least n."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16, 2 * len(have[0]) if have else 0)
+        size = max(n, 1 << 16)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
             both.append(np.cumprod(p))
-        _POWERS[base] = have = (both[0], both[1])
+        have = (both[0], both[1])
+        if size <= KEPT_POWERS or base == _WORD_BASE:  # those of bytes are bounded by the slices
+            _POWERS[base] = have
     return have
 
 
