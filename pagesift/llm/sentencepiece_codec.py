@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEPARATOR = "▁"
-CACHE_BYTES = 48 << 20
-"""About how much a worker remembers of segments; when full the memory is emptied. Results do not depend on it."""
+CACHE_BYTES = 64 << 20
+"""About how much a worker remembers of segments of either kind; when full the memory is emptied. Results do not depend on it."""
 CACHE_SEGMENT = 64
 """Longer segments are not remembered."""
 _ENTRY_BYTES = 160
@@ -83,7 +83,7 @@ class Codec:
         self.line_break = self._ids_of_bytes(b"\n")
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
-        self.room = CACHE_BYTES // (_ENTRY_BYTES + 6 * CACHE_SEGMENT)
+        self.room = {id(self.spaced): CACHE_BYTES, id(self.bare): CACHE_BYTES}
 
     def _ids_of_bytes(self, raw: bytes) -> bytes:
         return np.array([self.byte_ids[b] for b in raw], dtype=np.int32).tobytes()
@@ -159,8 +159,10 @@ class Codec:
         if ids is None:
             ids = encode(word)
             if len(word) <= CACHE_SEGMENT:
-                if len(memory) >= self.room:
+                self.room[id(memory)] -= _ENTRY_BYTES + len(word) + len(ids)
+                if self.room[id(memory)] < 0:
                     memory.clear()
+                    self.room[id(memory)] = CACHE_BYTES
                 memory[word] = ids
         return ids
 
