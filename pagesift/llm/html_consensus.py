@@ -7,15 +7,17 @@
     2. The score finds where most of the text is; a title, a lead or other parts may lie outside.
        So each path climbs to enclosing paths: to the nearest article or main, or to a container
        below the body with a heading (h1, h2) directly inside, if that holds any more text that is
-       not linked, and to any container that holds at least ``CLIMB`` more of it, most of what
-       it adds being not linked.
+       not linked, and to any container that holds at least ``CLIMB`` more of it (``CLIMB_OUT`` beyond
+       an article or main), most of what it adds being not linked.
     3. In Spark, every page votes for what its best paths climb to; votes are added up by host.
     4. Pages are read again and the elements on the host's winning path are taken, or those of the
        article, main or headed container around them that has more on this page; a page that has
        no such element, or none with text, uses its own best container and what that climbs to.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are told by tag, role and class names and give no text.
+are told by tag, role and class names and give no text. Inside an article or main a class name tells
+so only as a whole ("share", not "share-prices"); an element with such a word as a part of its name goes
+there if at least half of its text is linked, and stays otherwise.
 
 Votes of a host are grouped sums, combined before the shuffle, so a host with a third of all
 pages is no hot spot; pages are dealt to hosts by a salted key for the same reason.
@@ -41,8 +43,10 @@ SALTS = 16
 """Parts that the pages of each host are dealt to; its winning path is repeated as often."""
 VOTES = 3
 """Paths that one page votes for."""
-CLIMB = 0.2
+CLIMB = 0.02
 """Share of text not linked that a container other than article and main adds to one inside it, if it is to be taken instead."""
+CLIMB_OUT = 0.2
+"""The same where it would leave an article or main."""
 
 # Tags by role.
 _RAW = ["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp"]
@@ -78,32 +82,35 @@ _SCOPES = frozenset(["table", "ul", "ol", "dl", "select", "article", "section",
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "main", "start", "own", "below", "links", "headed")
+    __slots__ = ("tag", "path", "skip", "main", "start", "own", "below", "links", "headed", "before")
 
     def __init__(self, tag: str, path: str, skip: bool, main: bool, start: int):
         self.tag, self.path, self.skip, self.main, self.start = tag, path, skip, main, start
         self.own = self.below = self.links = 0
         self.headed = False
+        self.before = None  # for an element in doubt: what there was when it began
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Generalised class names, and whether a class, id or role marks boilerplate."""
-    classes, marked = "", False
+def _names(attributes: str) -> tuple[str, bool, bool]:
+    """Generalised class names, whether a part of a class, id or role marks boilerplate, and whether a whole one does."""
+    classes, marked, whole = "", False, False
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         for name in value.lower().split():
             parts = _NAME_PARTS.findall(name)
             # "with-sidebar" or "no-header" tell what a wrapper holds, not what it is
             marked = marked or bool(parts) and parts[0] not in _WRAPPERS and not _MARK_SET.isdisjoint(parts)
+            whole = whole or name in _MARK_SET
         if m[1].lower() == "class":
             classes = "".join("." + x for x in sorted(re.sub(r"\d+", "#", c.lower()) for c in value.split()))
-    return classes, marked
+    return classes, marked, whole
 
 
 def parse(html: str) -> tuple[list[str], list[tuple[_Node, int, int]]]:
     """Blocks of text in page order, and each container with its range of blocks."""
     root = _Node("html", "", False, False, 0)
     stack, blocks, found = [root], [], []
+    linked: list[int] = []  # characters of each block that are link text
     text: list[str] = []
     link = 0
 
@@ -119,12 +126,16 @@ def parse(html: str) -> tuple[list[str], list[tuple[_Node, int, int]]]:
                 top.links += min(link, size)
                 top.headed = top.headed or any(x.tag in ("h1", "h2") for x in stack[-3:])
                 blocks.append(block)
+                linked.append(min(link, size))
         link = 0
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
-            if node.tag in _BOX_SET and not node.skip:
+            if node.before and 2 * sum(linked[node.start :]) >= sum(map(len, blocks[node.start :])):
+                box, box.own, box.below, box.links, box.headed, kept = node.before
+                del blocks[node.start :], linked[node.start :], found[kept:]
+            elif node.tag in _BOX_SET and not node.skip:
                 found.append((node, node.start, len(blocks)))
                 box = next(x for x in reversed(stack) if x.tag in _BOX_SET or x is root)
                 box.below += node.own + node.below
@@ -170,7 +181,9 @@ def parse(html: str) -> tuple[list[str], list[tuple[_Node, int, int]]]:
                 text.append(" ")
             continue
         parent = stack[-1]
-        classes, marked = _names(m[3]) if m[3] else ("", False)
+        classes, marked, whole = _names(m[3]) if m[3] else ("", False, False)
+        doubt = marked and not whole and block and parent.main and not parent.skip
+        marked = marked and not doubt and (block or whole or not parent.main)
         skip = parent.skip or tag in _SKIP_SET or tag == "header" and not parent.main or marked and tag not in ("html", "body", "article", "main")
         skip = skip or marked and tag == "article" and "comment" in m[3].lower()
         if tag == "a":
@@ -181,7 +194,11 @@ def parse(html: str) -> tuple[list[str], list[tuple[_Node, int, int]]]:
             continue
         if m[3].endswith("/") and not block:
             continue
-        stack.append(_Node(tag, f"{parent.path}>{tag}{classes}" if tag in _BOX_SET else parent.path, skip, parent.main or tag in ("article", "main"), len(blocks)))
+        node = _Node(tag, f"{parent.path}>{tag}{classes}" if tag in _BOX_SET else parent.path, skip, parent.main or tag in ("article", "main"), len(blocks))
+        if doubt and not skip:
+            box = next(x for x in reversed(stack) if x.tag in _BOX_SET or x is root)
+            node.before = (box, box.own, box.below, box.links, box.headed, len(found))
+        stack.append(node)
     flush()
     close(1)
     found.append((root, 0, len(blocks)))
@@ -217,7 +234,7 @@ def _climber(found: list[tuple[_Node, int, int]]):
             more_links = links - totals[outer][1]
             more = text - totals[outer][0] - more_links
             marked = not held and (tag in ("article", "main") or headed and tag not in ("body", "html"))
-            if more > 0 and (marked or by_share and more > more_links and more >= CLIMB * (totals[outer][0] - totals[outer][1])):
+            if more > 0 and (marked or by_share and more > more_links and more >= (CLIMB_OUT if held else CLIMB) * (totals[outer][0] - totals[outer][1])):
                 outer = path
             held = held or tag in ("article", "main")
         return outer

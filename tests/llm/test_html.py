@@ -103,3 +103,20 @@ def test_menus_and_short_notes_beside_the_text_stay_out(spark):
     links = "<div class='list'>" + "".join(f"<a href='/{i}'>another page to look at</a> " for i in range(40)) + "</div>"
     for text in taken(spark, body + links, body + links, body + "<div class='line'>a slogan</div>"):
         assert text.startswith("long text") and "another" not in text and "slogan" not in text
+
+
+def test_class_words_inside_an_article_do_not_decide(spark):
+    article = "<article><h1>T</h1><p>First words.</p><div class='share-prices'><p>Prices rose again.</p></div><p class='search-method'>We searched by hand.</p><section class='related-work'><h2>Related work</h2><p>Others did too.</p></section>{}</article>"
+    odd = "<div class='related-posts'><ul><li><a href='/1'>Another post</a></li><li><a href='/2'>One more</a></li></ul></div><ul class='share-links'><li><a href='/s'>Share it</a></li></ul><div class='share'>Tell others</div><div class='comments'><p>A reader's word</p></div>"
+    expected = "T\nFirst words.\nPrices rose again.\nWe searched by hand.\nRelated work\nOthers did too."
+    pages = [f"<html><body><nav><a href='/'>home</a></nav>{article.format(odd)}<footer>foot</footer></body></html>"] * 3
+    assert extract(pages[0], None) == expected
+    frame = spark.createDataFrame([(i, f"http://marks.example/{i}", p) for i, p in enumerate(pages)], PAGES)
+    assert [r.text for r in extract_pages(frame).collect()] == [expected] * 3
+
+
+def test_a_short_conclusion_beside_the_body_stays(spark):
+    body = "<div class='body'>" + "<p>" + "words of the long body " * 12 + "</p>" * 4 + "</div><div class='outro'><p>So much for that.</p></div>"
+    pages = [f"<html><body><nav>menu</nav>{body}<footer>foot</footer></body></html>"] * 5
+    frame = spark.createDataFrame([(i, f"http://outro.example/{i}", p) for i, p in enumerate(pages)], PAGES)
+    assert all(r.text.endswith("So much for that.") and r.text.startswith("words of") for r in extract_pages(frame).collect())
