@@ -138,7 +138,12 @@ def probe_slots(queries: DataFrame, dim: int, bands: Bands) -> DataFrame:
 
 def candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
     """Pairs ``(query_id, page_id)`` that share a slot, each once."""
-    return index.join(probes, "slot").select("query_id", "page_id").distinct()
+    return _meet(index, probes).select("query_id", "page_id").distinct()
+
+
+def _meet(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """The equi-join on the slot. One query has thousands of probes, which the planner cannot know: neither side is to be broadcast."""
+    return index.hint("merge").join(probes.hint("merge"), "slot")
 
 
 def search_banded(
@@ -186,7 +191,7 @@ def search_banded(
                     yield pa.RecordBatch.from_arrays(columns, names=["query_id", "k", "page_id", "sim"])
 
         block = pages.sparkSession.createDataFrame(pa.table({"query_id": q.ids, "vector": pa.array(q.unit.tolist(), pa.list_(pa.float64()))}))
-        found = index.join(probe_slots(block, dim, bands), "slot")
+        found = _meet(index, probe_slots(block, dim, bands))
         near = written(found.groupBy("page_id").agg(F.collect_set("query_id").alias("near")), "near")  # at most one block of queries
         return near.join(heads, "page_id").select("page_id", "near", "vector").mapInArrow(score, "query_id bigint, k bigint, page_id bigint, sim double")
 
