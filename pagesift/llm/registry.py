@@ -14,7 +14,7 @@ from pagesift.llm.decontaminate import find_contamination
 from pagesift.llm.html_consensus import extract_pages
 from pagesift.llm.importance_resampling import BUCKETS, MIN_WORDS, PERCENT, SEED, resample
 from pagesift.llm.language_id import held_out, identify, train
-from pagesift.llm.license_scan import BLANK, NOTICES, THRESHOLD, bigrams, scan_licenses
+from pagesift.llm.license_scan import BLANK, LINE_STOP, NOTICES, STOP, THRESHOLD, bigrams, family_of, scan_licenses
 from pagesift.llm.line_templates import DEPTH, MIN_DOCS, SIMILARITY, drop_recurring_lines
 from pagesift.llm.ngram_join import ngram_join
 from pagesift.llm.quality_rules import BASE, quality_rules
@@ -169,15 +169,26 @@ def _list_sql(texts: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in texts) + "]"
 
 
+_OP7_TEMPLATES = ", ".join(
+    f"('{name}', '{family}', {_list_sql(marks)}, {_list_sql([m for m in marks if m in grams])}, {_list_sql(grams)})"
+    for name, grams, (family, marks) in ((name, bigrams(text), family_of(name)) for name, text in NOTICES)
+)
 _OP7_SQL = f"""
-WITH tpl AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {_list_sql(bigrams(text))})" for name, text in NOTICES)}) AS t(license, t)),
-seg AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), list_filter(
-  regexp_split_to_array(text, '{BLANK}'), lambda x: contains(x, chr(10))))) AS s, 0 AS x FROM documents WHERE text IS NOT NULL),
+WITH tpl AS (SELECT * FROM (VALUES {_OP7_TEMPLATES}) AS t(license, family, marks, own, t)),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL),
+pg AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '{BLANK}'), lambda x: contains(x, chr(10)))) AS s FROM documents WHERE text IS NOT NULL),
+li AS (SELECT doc_id, list_filter(regexp_split_to_array(s, '{LINE_STOP}'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS p FROM ln),
+pi AS (SELECT doc_id, list_filter(regexp_split_to_array(s, '{STOP}'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS p FROM pg),
+seg AS (SELECT * FROM ln UNION ALL SELECT * FROM pg UNION ALL SELECT doc_id, unnest(p) FROM li WHERE len(p) > 1
+  UNION ALL SELECT doc_id, unnest(list_filter(p, lambda x: contains(trim(x, ' ' || chr(9) || chr(13) || chr(10)), chr(10)))) FROM pi WHERE len(p) > 1),
 wd AS (SELECT doc_id, row_number() OVER () AS k,
   string_split(trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM seg),
 gr AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM wd WHERE len(w) > 1),
-sc AS (SELECT doc_id, k, license, CAST(2 * len(list_intersect(g, t)) AS DOUBLE) / (len(g) + len(t)) AS dice FROM gr, tpl),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, license) AS r FROM sc WHERE dice >= {THRESHOLD}) WHERE r = 1)
+sc AS (SELECT doc_id, k, license, family, CAST(2 * len(list_intersect(g, t)) AS DOUBLE) / (len(g) + len(t)) AS dice,
+  list_sort(list_intersect(g, marks)) <> list_sort(own) AS other
+  FROM gr JOIN tpl ON 2 * least(len(g), len(t)) >= {THRESHOLD} * (len(g) + len(t)) AND list_has_any(g, t)),
+nm AS (SELECT doc_id, k, other, dice, CASE WHEN other THEN family ELSE license END AS license FROM sc WHERE dice >= {THRESHOLD}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY other, dice DESC, license) AS r FROM nm) WHERE r = 1)
 SELECT doc_id, license, count(*) AS n_segments, max(dice) AS dice FROM best GROUP BY doc_id, license"""
 
 
