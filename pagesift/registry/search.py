@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift import schemas as S
 from pagesift.functions.vectors import inner_product, l2_norm, l2_normalize
 from pagesift.operators import banded as B
 from pagesift.operators import search as R
 from pagesift.operators.embed import assign_chunks, embed_texts
 from pagesift.plans.indexing import index_pass
 from pagesift.plans.searching import semantic_search
-from pagesift.registry.base import CHUNK_BYTES, SQL_PAGE_TABLE, page_table, query, vectors_of
+from pagesift.registry.base import CHUNK_BYTES, SQL_PAGE_TABLE, checksum, checksum_sql, norm_sql, page_table, query, vectors_of
 from pagesift.sources.tables import table
 
 _VEC_SQL = "ev AS (SELECT vec_id AS page_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -20,12 +21,13 @@ _VEC_SQL = "ev AS (SELECT vec_id AS page_id, label, CAST(embedding AS DOUBLE[])
 @query(
     "l2_normalize",
     f"""WITH {_VEC_SQL} SELECT page_id, round(3 * v[1] / (3 * sqrt(list_inner_product(v, v))), 6) AS head,
-        round(3 * v[64] / (3 * sqrt(list_inner_product(v, v))), 6) AS tail FROM ev""",
+        round(3 * v[64] / (3 * sqrt(list_inner_product(v, v))), 6) AS tail,
+        round({checksum_sql("v")} / {norm_sql("v")}, 5) AS checksum FROM ev""",
 )
 def normalised(spark, sf):
     tripled = F.transform("vector", lambda x: x.cast("double") * 3)
     unit = vectors_of(spark, sf).select("page_id", l2_normalize(tripled).alias("u"))
-    return unit.select("page_id", F.round(F.col("u")[0], 6).alias("head"), F.round(F.col("u")[63], 6).alias("tail"))
+    return unit.select("page_id", F.round(F.col("u")[0], 6).alias("head"), F.round(F.col("u")[63], 6).alias("tail"), checksum("u").alias("checksum"))
 
 
 @query(
@@ -247,12 +249,6 @@ def empty_searches(spark, sf):
     return R.empty_searches(_requests(spark, sf), _search_documents(spark, sf))
 
 
-def checksum(vector: str = "vector"):
-    """Position-weighted sum of a vector, to compare whole vectors as one number."""
-    cell = F.zip_with(vector, F.sequence(F.lit(1), F.size(vector)), lambda x, i: x.cast("double") * i)
-    return F.when(F.size(vector) > 0, F.round(F.aggregate(cell, F.lit(0.0), lambda a, x: a + x), 5))
-
-
 _WAITING = "vector IS NULL AND can_be_vectorized"
 
 
@@ -260,16 +256,16 @@ _WAITING = "vector IS NULL AND can_be_vectorized"
     "index_pass",
     f"""WITH {SQL_PAGE_TABLE}, x AS (
       SELECT *, 'Title: ' || title || '. Description: ' || description || '. ' || CASE WHEN content <> '' THEN 'Content: ' || content || '.' ELSE '' END AS txt FROM pt),
-    todo AS (SELECT page_id, txt FROM x WHERE {_WAITING} AND strlen(txt) <= {CHUNK_BYTES}),
+    todo AS (SELECT page_id, txt FROM x WHERE {_WAITING} AND strlen(txt) <= {S.MAX_CHUNK_BYTES}),
     {_hash_sql("d", "todo", "page_id", "txt")},
     c AS (SELECT page_id, sum(CAST(w AS DOUBLE) / norm * (bucket + 1)) AS s FROM d_w JOIN d_n USING (page_id) GROUP BY page_id)
-    SELECT x.page_id, url, CASE WHEN {_WAITING} THEN strlen(txt) <= {CHUNK_BYTES} ELSE can_be_vectorized END AS can_be_vectorized,
-      round(CASE WHEN vector IS NOT NULL THEN list_sum(list_transform(range(1, len(vector) + 1), lambda i: CAST(vector[i] AS DOUBLE) * i)) ELSE c.s END, 5) AS checksum
+    SELECT x.page_id, url, CASE WHEN {_WAITING} THEN strlen(txt) <= {S.MAX_CHUNK_BYTES} ELSE can_be_vectorized END AS can_be_vectorized,
+      round(CASE WHEN vector IS NOT NULL THEN {checksum_sql("vector")} ELSE c.s END, 5) AS checksum
     FROM x LEFT JOIN c USING (page_id)""",
 )
 def indexed(spark, sf):
     pages = page_table(spark, sf).withColumn("vector", F.col("vector").cast("array<double>"))
-    done = index_pass(pages, limit=CHUNK_BYTES)
+    done = index_pass(pages)
     return done.select("page_id", "url", "can_be_vectorized", checksum().alias("checksum"))
 
 

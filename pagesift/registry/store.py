@@ -8,13 +8,14 @@ from pagesift.functions.vectors import l2_norm
 from pagesift.operators import links as L
 from pagesift.operators import pages as P
 from pagesift.operators.embed import is_too_big
-from pagesift.registry.base import CHUNK_BYTES, SQL_PAGE_TABLE, doc_url, page_table, query
-from pagesift.registry.search import checksum
+from pagesift.registry.base import CHUNK_BYTES, SQL_PAGE_TABLE, checksum, checksum_sql, doc_url, norm_sql, page_table, query
 from pagesift.session import scratch_path
 from pagesift.sources.page_store import PageStore
 from pagesift.sources.tables import table
 
-_NORM = "sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x)))"
+_NORM = norm_sql("vector")
+_UNIT_SQL = f"round({checksum_sql('embedding')} / {norm_sql('embedding')}, 5)"
+_STORED_SQL = f"round({checksum_sql('vector')}, 5)"
 
 _UPDATES_SQL = """
 up AS (
@@ -61,11 +62,11 @@ def _updates(spark, sf):
     "pages_upsert",
     f"""WITH {SQL_PAGE_TABLE}, {_UPDATES_SQL}
     SELECT pt.page_id, pt.url, pt.title, pt.description, md5(pt.content) AS content_md5, pt.crawled_at,
-           pt.vector IS NOT NULL AS has_vector, pt.can_be_vectorized
+           pt.vector IS NOT NULL AS has_vector, round({checksum_sql("vector")}, 5) AS checksum, pt.can_be_vectorized
     FROM pt ANTI JOIN latest USING (url)
     UNION ALL
     SELECT coalesce(pt.page_id, -1), latest.url, latest.title, latest.description, md5(latest.content), latest.crawled_at,
-           false, NOT latest.refused
+           false, NULL, NOT latest.refused
     FROM latest LEFT JOIN pt USING (url)""",
 )
 def pages_upsert(spark, sf):
@@ -80,13 +81,11 @@ def pages_upsert(spark, sf):
         F.md5("content").alias("content_md5"),
         "crawled_at",
         F.col("vector").isNotNull().alias("has_vector"),
+        checksum().alias("checksum"),
         "can_be_vectorized",
     )
 
 
-_UNIT_SQL = "round(list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * i)) / sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * x))), 5)"
-
-
 @query(
     "pages_merge_on_read",
     f"""WITH {SQL_PAGE_TABLE}, {_UPDATES_SQL},
@@ -98,8 +97,8 @@ _UNIT_SQL = "round(list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAS
       FROM latest LEFT JOIN pt USING (url)),
     em AS (SELECT now.url, now.crawled_at, label = 4 AS refused, embedding FROM now JOIN embeddings ON vec_id = page_id WHERE label % 2 = 0)
     SELECT page_id, now.url, title, description, md5(content) AS content_md5, now.crawled_at,
-           CASE WHEN em.url IS NOT NULL THEN CASE WHEN NOT refused THEN {_UNIT_SQL.format("embedding")} END
-                WHEN vector IS NOT NULL THEN round(list_sum(list_transform(range(1, len(vector) + 1), lambda i: CAST(vector[i] AS DOUBLE) * i)), 5) END AS checksum,
+           CASE WHEN em.url IS NOT NULL THEN CASE WHEN NOT refused THEN {_UNIT_SQL} END
+                WHEN vector IS NOT NULL THEN {_STORED_SQL} END AS checksum,
            CASE WHEN em.url IS NOT NULL THEN NOT refused ELSE can_be_vectorized END AS can_be_vectorized
     FROM now LEFT JOIN em ON em.url = now.url AND em.crawled_at = now.crawled_at""",
 )
@@ -122,15 +121,16 @@ def pages_merge_on_read(spark, sf):
     "vector_writeback",
     f"""WITH {SQL_PAGE_TABLE}, em AS (
       SELECT pt.url, CASE WHEN e.label % 2 = 0 THEN pt.crawled_at ELSE pt.crawled_at - INTERVAL 1 DAY END AS crawled_at,
-             e.label = 4 AS refused, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * 3) AS scaled
+             e.label = 4 AS refused, e.embedding
       FROM pt JOIN embeddings e ON e.vec_id = pt.page_id),
-    j AS (SELECT pt.*, em.url IS NOT NULL AS hit, em.refused FROM pt LEFT JOIN em ON em.url = pt.url AND em.crawled_at = pt.crawled_at)
+    j AS (SELECT pt.*, em.url IS NOT NULL AS hit, em.refused, em.embedding FROM pt LEFT JOIN em ON em.url = pt.url AND em.crawled_at = pt.crawled_at)
     SELECT page_id, url, CASE WHEN hit THEN NOT refused ELSE vector IS NOT NULL END AS has_vector,
            CASE WHEN hit AND refused THEN NULL WHEN vector IS NOT NULL THEN round({_NORM}, 4) END AS norm,
+           CASE WHEN hit AND refused THEN NULL WHEN hit THEN {_UNIT_SQL} WHEN vector IS NOT NULL THEN {_STORED_SQL} END AS checksum,
            CASE WHEN hit THEN NOT refused ELSE can_be_vectorized END AS can_be_vectorized FROM j""",
 )
 def vector_writeback(spark, sf):
-    pages = page_table(spark, sf)
+    pages = page_table(spark, sf).withColumn("vector", F.col("vector").cast("array<double>"))
     ids = pages.select("page_id", "url", "crawled_at")
     found = ids.join(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "page_id"), "page_id")
     stale = F.expr("crawled_at - make_dt_interval(1, 0, 0, 0)")
@@ -146,13 +146,14 @@ def vector_writeback(spark, sf):
         "url",
         F.col("vector").isNotNull().alias("has_vector"),
         F.when(F.col("vector").isNotNull(), F.round(l2_norm(F.col("vector")), 4)).alias("norm"),
+        checksum().alias("checksum"),
         "can_be_vectorized",
     )
 
 
 @query(
     "vector_backfill",
-    """SELECT vec_id AS page_id, round(e.c / n.norm, 6) AS first_component, CAST(round(1.0, 6) AS DOUBLE) AS norm
+    f"""SELECT vec_id AS page_id, round(e.c / n.norm, 6) AS first_component, CAST(round(1.0, 6) AS DOUBLE) AS norm, {_UNIT_SQL} AS checksum
        FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS c, embedding FROM embeddings) e
        JOIN (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings) n USING (vec_id)""",
 )
@@ -160,7 +161,7 @@ def vector_backfill(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), F.col("embedding").alias("vector"))
     filled = P.backfill_vectors(vectors, 64)
     return filled.select(
-        "page_id", F.round(F.col("vector")[0], 6).alias("first_component"), F.round(l2_norm(F.col("vector")), 6).alias("norm")
+        "page_id", F.round(F.col("vector")[0], 6).alias("first_component"), F.round(l2_norm(F.col("vector")), 6).alias("norm"), checksum().alias("checksum")
     )
 
 

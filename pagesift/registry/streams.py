@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.registry.base import SQL_CONTENT, canon_sql, query
-from pagesift.registry.search import _hash_sql, checksum
+from pagesift.registry.base import SQL_CONTENT, canon_sql, checksum, query
+from pagesift.registry.search import _hash_sql
 from pagesift.session import scratch_path
 from pagesift.sources.tables import event_stream, page_stream
 from pagesift.streaming import jobs as J
