@@ -59,6 +59,7 @@ GOOD_COST = 50
 LEXICON_ROWS = 20_000
 """Labelled documents that the toxic-word list is fitted on, at most."""
 LEXICON_WORDS = 1_000
+SLICES = 16
 FIT_SHARE = 5
 """One in so many labelled documents that are not toxic serves the word list and not its cutoff."""
 LEXICON_SUPPORT = 5
@@ -173,12 +174,17 @@ def toxic_lexicons(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS)
     counted = texts.mapInArrow(words, "pool boolean, stratum string, word string, bad boolean, n bigint").groupBy("pool", "stratum", "word").agg(
         F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("b")
     )
-    key = Window.partitionBy("pool", "stratum")
-    all_a, all_b = (F.max(F.when(F.col("word") == "", F.col(c))).over(key) for c in "ab")
-    counted = counted.where((F.col("a") >= LEXICON_SUPPORT) | (F.col("word") == "")).withColumns({"all_a": all_a, "all_b": all_b})
-    counted = counted.where((F.col("word") != "") & (F.col("all_b") > 0) & (F.col("a") >= LEXICON_SHARE * F.col("all_a")))
+    # words of the sample that are frequent enough, and one row of totals (the empty word) for each stratum of it
+    counted = written(counted.where((F.col("a") >= LEXICON_SUPPORT) | (F.col("word") == "")), "words")
+    totals = counted.where("word = '' AND b > 0").select("pool", "stratum", F.col("a").alias("all_a"), F.col("b").alias("all_b"))
+    # no more rows than the sample has, and one
+    counted = counted.where("word <> ''").join(F.broadcast(totals), ["pool", "stratum"]).where(F.col("a") >= LEXICON_SHARE * F.col("all_a"))
     counted = counted.withColumn("ratio", ((F.col("a") + 0.5) / F.col("all_a")) / ((F.col("b") + 0.5) / F.col("all_b"))).where(F.col("ratio") >= LEXICON_RATIO)
-    top = counted.withColumn("r", F.row_number().over(key.orderBy(F.desc("a"), F.desc("ratio"), "word"))).where(F.col("r") <= LEXICON_WORDS)
+    # the first of each slice of words, then of each stratum: no task ranks more than SLICES lists
+    top = counted.withColumn("slice", F.pmod(F.xxhash64("word"), F.lit(SLICES)))
+    for key in (["pool", "stratum", "slice"], ["pool", "stratum"]):
+        order = Window.partitionBy(*key).orderBy(F.desc("a"), F.desc("ratio"), "word")
+        top = top.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEXICON_WORDS)
     pooled: set[str] = set()
     own: dict[str, set[str]] = {}
     for pool, stratum, word in top.select("pool", "stratum", "word").collect():
