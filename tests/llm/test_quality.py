@@ -116,3 +116,78 @@ def test_tests_are_counted_by_label_numbers():
     assert Q._tests_made([149, 3], 0.02, 0.05) == 1
     assert Q._tests_made([160] * 7, 0.02, 0.05) == 2  # none passes at half the level
     assert Q._tests_made([1000] * 21 + [314] * 7 + [297] * 7, 0.02, 0.05) == 28
+
+
+def test_word_lists_equal_brute_force(spark):
+    docs, labels = tongues(spark)
+    docs = docs.select("doc_id", F.col("lang").alias("stratum"), "text")
+    labels = Q._split(labels)
+    texts = {r.doc_id: (r.stratum, r.text) for r in docs.collect()}
+    fitted = [(r.doc_id, r.toxic == 1) for r in labels.where("fitted").collect()]
+
+    def listed(rows):
+        bad = [set(Q._LETTERS.findall(texts[i][1].lower())) for i, toxic in rows if toxic]
+        other = [set(Q._LETTERS.findall(texts[i][1].lower())) for i, toxic in rows if not toxic]
+        found = []
+        for w in set().union(*bad) if other else ():
+            a, b = sum(w in x for x in bad), sum(w in x for x in other)
+            ratio = ((a + 0.5) / len(bad)) / ((b + 0.5) / len(other))
+            if a >= Q.LEXICON_SUPPORT and a >= Q.LEXICON_SHARE * len(bad) and ratio >= Q.LEXICON_RATIO:
+                found.append((-a, -ratio, w))
+        return {w for _, _, w in sorted(found)[: Q.LEXICON_WORDS]}
+
+    pooled = listed(fitted)
+    own = {s: listed([(i, t) for i, t in fitted if texts[i][0] == s]) for s in {texts[i][0] for i, _ in fitted} - {None}}
+    want = {s: w | pooled for s, w in own.items() if w} | {None: pooled.union(*own.values())}
+    assert Q.toxic_lexicons(docs, labels) == want
+    assert {"vileen", "vilefr"} <= want[None]
+
+
+def test_choice_of_cutoffs_equals_brute_force(spark):
+    """Few values for each signal, so many documents tie with a cutoff and many cutoffs with each other."""
+    rng = random.Random(11)
+    rows = []
+    for stratum, n in [("en", 2500), ("fr", 700), ("es", 40), (None, 90)]:
+        for _ in range(n):
+            quality, toxic = int(rng.random() < 0.8), int(rng.random() < 0.1)
+            signals = []
+            for r, cutoffs in Q.RULES.items():
+                bad = toxic if r == "toxic_words" else not quality
+                signals.append(rng.choice([*cutoffs, 2 * cutoffs[0]]) if bad and rng.random() < 0.5 or rng.random() < 0.004 else 0.0)
+            rows.append((stratum, rng.random() < 0.3, quality, toxic, *signals))
+    holdout = spark.createDataFrame(rows, "stratum string, fitted boolean, quality int, toxic int, " + ", ".join(f"{r} double" for r in Q.RULES))
+
+    def counts(at, rule, stratum=None):
+        some = [x for x in rows if stratum in (None, x[0])]
+        fine = [x[at] for x in some if x[2] == 1 and x[3] == 0 and not (rule == "toxic_words" and x[1])]
+        bad = [x[at] for x in some if (x[3] == 1 if rule == "toxic_words" else x[2] == 0)]
+        return fine, bad
+
+    def tail(k, n):
+        return sum(math.comb(n, i) * Q.RISK**i * (1 - Q.RISK) ** (n - i) for i in range(k + 1))
+
+    sizes = [len(counts(4 + j, r, s)[0]) for s in ("en", "fr", "es", None) for j, r in enumerate(Q.RULES)]
+    tests = next(m for m in range(1, 100) if sum(tail(0, n) <= Q.DELTA / m for n in sizes) <= m)
+    level = Q.DELTA / tests
+
+    def best(rule, fine, bad):
+        found = []
+        for i, c in enumerate(Q.RULES[rule]):
+            k = sum(x > c for x in fine)
+            if k > Q.RISK * len(fine) or tail(k, len(fine)) > level:
+                break
+            gain = sum(x > c for x in bad) - Q.GOOD_COST * k
+            if gain > 0:
+                found.append((-gain, i, c))
+        return min(found)[2] if found else None
+
+    chosen, shared = Q.choose_cutoffs(holdout)
+    want, common = set(), {}
+    for j, r in enumerate(Q.RULES):
+        certifiable = {s for s in ("en", "fr", "es") if tail(0, len(counts(4 + j, r, s)[0])) <= level}
+        want |= {(s, r, c) for s in certifiable if (c := best(r, *counts(4 + j, r, s))) is not None}
+        if (c := best(r, *counts(4 + j, r))) is not None:
+            refuted = {s for s in ("en", "fr", "es") if sum(x > c for x in counts(4 + j, r, s)[0]) > Q.RISK * len(counts(4 + j, r, s)[0])}
+            common[r] = (c, sorted(certifiable | refuted))
+    assert set(chosen) == want and len(chosen) > 0
+    assert {r: (c, names) for r, c, names in shared} == common
