@@ -10,10 +10,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift import schemas as S
+from pagesift.operators.ops import running_totals
 from pagesift.session import written
 
 # Queries of one block. Their matrix of doubles is what gets broadcast, so its size is bounded
@@ -22,7 +23,10 @@ MAX_QUERIES_PER_BLOCK = 16_384
 MAX_QUERY_BYTES = 16 << 20
 BLOCKS_PER_SCAN = 8
 MAX_KEPT_ROWS = 1_000_000  # hits held by a task; with more, what it has is sent on and ranked later
+RANK_IN_WINDOW = 10_000  # up to this k a query's rows are ranked in one window; beyond it by threshold and slices
+PART_ROWS = 1_000  # hits of one part of a long response
 _RANK_BUCKETS = 64
+_CELLS = 1_000  # histogram cells for each 1.0 of similarity
 _HITS = "query_id bigint, k bigint, page_id bigint, sim double"
 _MAX_CELLS = 8_000_000
 
@@ -112,8 +116,17 @@ class _TopK:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["query_id", "k", "page_id", "sim"])
 
 
-def _ranked(hits: DataFrame) -> DataFrame:
-    """Final ranking in two steps: the best k of each group of tasks, then the best k of those.
+def _ranked(hits: DataFrame, largest: int, in_window: int) -> DataFrame:
+    """Final ranking; queries that ask for more than ``in_window`` pages are ranked by threshold."""
+    if largest <= in_window:
+        return _ranked_in_window(hits)
+    stored = written(hits, "unranked")
+    few = _ranked_in_window(stored.where(F.col("k") <= in_window))
+    return few.unionByName(_ranked_by_threshold(stored.where(F.col("k") > in_window)))
+
+
+def _ranked_in_window(hits: DataFrame) -> DataFrame:
+    """Two steps: the best k of each group of tasks, then the best k of those.
 
     One query's rows from all tasks never meet in one task before they are cut to k per group.
     """
@@ -124,6 +137,28 @@ def _ranked(hits: DataFrame) -> DataFrame:
     return best.withColumn("rk", F.row_number().over(last)).where(F.col("rk") <= F.col("k")).select("query_id", "rk", "page_id", "sim")
 
 
+def cut_by_threshold(hits: DataFrame) -> DataFrame:
+    """The hits ``(query_id, k, page_id, sim)`` that can be among the best k of their query.
+
+    A histogram of similarities per query (some thousand cells, pre-summed in each task) tells the
+    lowest cell that may hold one of the best k; rows below it go. What stays of a query is at
+    most k rows and the rest of one cell. No row is ordered for it.
+    """
+    cell = F.floor(F.col("sim") * _CELLS)
+    cells = hits.groupBy("query_id", cell.alias("_cell")).agg(F.count("*").alias("_n"), F.max("k").alias("_k"))
+    higher = Window.partitionBy("query_id").orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    needed = cells.withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0))).where(F.col("_above") < F.col("_k"))
+    cuts = written(needed.groupBy("query_id").agg(F.min("_cell").alias("_cut")), "cuts")  # a row per query, of known size
+    return hits.join(cuts, "query_id").where(cell >= F.col("_cut")).drop("_cut")
+
+
+def _ranked_by_threshold(hits: DataFrame) -> DataFrame:
+    """Ranking for any k: what the threshold leaves is cut into slices of (query, similarity, page), and a rank is a running count."""
+    left = written(cut_by_threshold(hits).withColumn("_falling", -F.col("sim")), "survivors")
+    ranks = running_totals(left, F.lit(1), "query_id", ("_falling", "page_id"), name="rk")
+    return ranks.where(F.col("rk") <= F.col("k")).select("query_id", F.col("rk").cast("int").alias("rk"), "page_id", "sim")
+
+
 def _scan(pages: DataFrame, blocks: list[_QuerySet], min_similarity: float) -> DataFrame:
     """Hits of several blocks of queries from one scan of the pages."""
     shared = [pages.sparkSession.sparkContext.broadcast(q) for q in blocks]
@@ -159,14 +194,15 @@ def _blocks(queries: DataFrame, default_k: int) -> Iterator[_QuerySet]:
             yield _QuerySet(block, default_k)
 
 
-def _scans(queries: DataFrame, default_k: int, run, blocks_per_scan: int) -> DataFrame:
-    """Hits of ``run(blocks)`` for groups of at most ``blocks_per_scan`` blocks; the groups but a lone one are written."""
-    blocks, parts = _blocks(queries, default_k), []
+def _scans(queries: DataFrame, default_k: int, run, blocks_per_scan: int) -> tuple[DataFrame, int]:
+    """Hits of ``run(blocks)`` for groups of at most ``blocks_per_scan`` blocks, and the largest k; the groups but a lone one are written."""
+    blocks, parts, largest = _blocks(queries, default_k), [], 0
     while group := list(islice(blocks, blocks_per_scan)):
         parts.append(run(group))
+        largest = max(largest, *(int(b.k.max()) for b in group))
     if not parts:
-        return queries.sparkSession.createDataFrame([], _HITS)
-    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, [written(p, "search-scan") for p in parts])
+        return queries.sparkSession.createDataFrame([], _HITS), largest
+    return (parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, [written(p, "search-scan") for p in parts])), largest
 
 
 def _query_columns(queries: DataFrame) -> DataFrame:
@@ -175,7 +211,11 @@ def _query_columns(queries: DataFrame) -> DataFrame:
 
 
 def search_topk(
-    pages: DataFrame, queries: DataFrame, k: int = S.DEFAULT_K, min_similarity: float = S.MIN_SIMILARITY
+    pages: DataFrame,
+    queries: DataFrame,
+    k: int = S.DEFAULT_K,
+    min_similarity: float = S.MIN_SIMILARITY,
+    rank_in_window: int = RANK_IN_WINDOW,
 ) -> DataFrame:
     """Exact top-k pages per query: ``(query_id, rk, page_id, sim)``, best first.
 
@@ -184,9 +224,11 @@ def search_topk(
     in place as matrix products against the broadcast queries; each task sends on at
     most k rows per query, and that is all that is ever shuffled. Any number of queries
     is taken in blocks, ``BLOCKS_PER_SCAN`` of them in one scan of the pages. Rows that
-    repeat a query id count as one query with several vectors.
+    repeat a query id count as one query with several vectors, which should ask for the same k.
+    Queries that ask for more than ``rank_in_window`` pages never have their rows in one task.
     """
-    return _ranked(_scans(_query_columns(queries), k, lambda group: _scan(pages, group, min_similarity), BLOCKS_PER_SCAN))
+    hits, largest = _scans(_query_columns(queries), k, lambda group: _scan(pages, group, min_similarity), BLOCKS_PER_SCAN)
+    return _ranked(hits, largest, rank_in_window)
 
 
 # --- approximate search -------------------------------------------------------------
@@ -300,7 +342,7 @@ def search_ann(
         vectors = pages.select("page_id", "vector")
         return candidates.join(vectors, "page_id").select("page_id", "near", "vector").mapInArrow(score, _HITS)
 
-    return _ranked(_scans(_query_columns(queries), k, run, 1))
+    return _ranked(*_scans(_query_columns(queries), k, run, 1), RANK_IN_WINDOW)
 
 
 # --- responses ----------------------------------------------------------------------
@@ -318,13 +360,39 @@ def with_page_fields(hits: DataFrame, pages: DataFrame) -> DataFrame:
 def search_responses(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """One JSON answer per query, ``{"pages":[{url,title,description}, …]}`` in rank order.
 
-    ``hits`` holds at most k rows per query. A query without hits answers with an empty list.
+    ``hits`` holds at most k rows per query, and one answer must fit into a row: for a large k take
+    ``search_response_parts``. A query without hits answers with an empty list.
+    """
+    per_query = hits.groupBy("query_id").agg(_pages_in_order().alias("found"))
+    return queries.select("query_id").join(per_query, "query_id", "left").select("query_id", _body("found").alias("response"))
+
+
+def search_response_parts(queries: DataFrame, hits: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Answers of any length as ``(query_id, part, parts, response)``: part 0 holds the best ``part_rows`` hits, and so on.
+
+    Each response has the form of a whole answer. A query without hits has one part with an empty
+    list. No row and no task holds more than ``part_rows`` hits of a query at a time.
     """
+    ranked = hits.withColumn("part", F.floor((F.col("rk") - 1) / part_rows))
+    found = ranked.groupBy("query_id", "part").agg(_pages_in_order().alias("found"))
+    counts = hits.groupBy("query_id").agg(F.ceil(F.max("rk") / part_rows).alias("parts"))
+    asked = queries.select("query_id").join(counts, "query_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    numbered = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return numbered.join(found, ["query_id", "part"], "left").select("query_id", "part", "parts", _body("found").alias("response"))
+
+
+def write_response_parts(parts: DataFrame, path: str) -> None:
+    """Parts as JSON lines; files and the lines in them follow (query, part), that is rank order."""
+    parts.repartitionByRange("query_id", "part").sortWithinPartitions("query_id", "part").write.json(path)
+
+
+def _pages_in_order() -> Column:
     page = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("url", "title", "description")])
-    per_query = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rk", page.alias("page")))).alias("found"))
-    ordered = F.transform("found", lambda x: x["page"])
-    body = F.to_json(F.struct(F.coalesce(ordered, F.array().cast(_RESPONSE_ITEM)).alias("pages")))
-    return queries.select("query_id").join(per_query, "query_id", "left").select("query_id", body.alias("response"))
+    return F.transform(F.array_sort(F.collect_list(F.struct("rk", page.alias("page")))), lambda x: x["page"])
+
+
+def _body(found: str) -> Column:
+    return F.to_json(F.struct(F.coalesce(found, F.array().cast(_RESPONSE_ITEM)).alias("pages")))
 
 
 _RESPONSE_ITEM = "array<struct<url:string,title:string,description:string>>"

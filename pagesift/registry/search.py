@@ -77,6 +77,16 @@ def similar_pages(spark, sf):
     return R.search_topk(vectors_of(spark, sf), _newest(spark, sf))
 
 
+_DEEP_K = "CASE WHEN query_id % 2 = 0 THEN 1000000 ELSE 200 END"
+
+
+@query("search_deep", f"WITH {_VEC_SQL}, {_NEWEST_SQL} {_TOP.replace('rk <= 10', f'rk <= {_DEEP_K}')}")
+def search_deep(spark, sf):
+    """A million pages for every other label, 200 for the rest, all ranked by threshold and slices."""
+    asked = _newest(spark, sf).withColumn("k", F.expr(_DEEP_K).cast("bigint"))
+    return R.search_topk(vectors_of(spark, sf), asked, rank_in_window=100)
+
+
 _BITS_SQL = f"""planes AS MATERIALIZED (
   SELECT b, list(CASE WHEN CAST('0x' || substr(md5(b || ':' || (d // 32)), d % 32 + 1, 1) AS INTEGER) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS p
   FROM (SELECT unnest(range({R.SIGNATURE_BITS})) AS b), (SELECT unnest(range(64)) AS d) GROUP BY b),
@@ -244,6 +254,20 @@ def search_json(spark, sf):
     return R.search_responses(_requests(spark, sf), hits)
 
 
+@query(
+    "search_json_parts",
+    f"""WITH {_SEMANTIC_SQL}, r AS (
+      SELECT query_id, (rk - 1) // 4 AS part, list({{'url': 'https://docs.example.com/' || source || '/' || doc_id, 'title': source, 'description': ''}} ORDER BY rk) AS pages
+      FROM hits JOIN documents ON doc_id = page_id GROUP BY ALL)
+    SELECT item_id AS query_id, CAST(coalesce(part, 0) AS BIGINT) AS part, CAST(coalesce(max(part) OVER (PARTITION BY item_id), 0) + 1 AS BIGINT) AS parts,
+      CASE WHEN pages IS NULL THEN '{{"pages":[]}}' ELSE CAST(to_json({{'pages': pages}}) AS VARCHAR) END AS response
+    FROM benchmark LEFT JOIN r ON item_id = query_id""",
+)
+def search_json_parts(spark, sf):
+    hits = R.with_page_fields(_search_documents(spark, sf), _doc_pages(spark, sf))
+    return R.search_response_parts(_requests(spark, sf), hits, part_rows=4)
+
+
 @query("empty_searches", f"WITH {_SEMANTIC_SQL} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM hits)")
 def empty_searches(spark, sf):
     return R.empty_searches(_requests(spark, sf), _search_documents(spark, sf))

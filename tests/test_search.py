@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pagesift import schemas as S
 from pagesift.functions import vectors as V
 from pagesift.operators import search as R
+from pagesift.operators.ops import running_totals
 from pagesift.plans.searching import semantic_search
 
 VECTORS = "page_id long, vector array<float>"
@@ -89,6 +91,48 @@ def test_a_large_k_is_sent_on_in_parts(spark, monkeypatch):
     assert R.search_topk(pages, q, min_similarity=-2.0).count() == 300
 
 
+@pytest.mark.parametrize("slice_rows", [50, 200_000])
+def test_ranking_by_threshold_equals_brute_force(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr("pagesift.operators.search.running_totals", partial(running_totals, slice_rows=slice_rows))
+    pages = random_vectors(300, 8, 3, 1)
+    pages += [(1000 + i, pages[5][1]) for i in range(100)]  # a third of the best are ties
+    asks = [(i, [float(x) for x in np.eye(8)[i]], (3, 40, 120, 10**6)[i % 4]) for i in range(8)]
+    p, q = spark.createDataFrame(pages, VECTORS).repartition(5), spark.createDataFrame(asks, QUERIES + ", k long")
+    got = hits(R.search_topk(p, q, min_similarity=-0.2, rank_in_window=10))
+    want = sorted(h for i, v, k in asks for h in brute_force(pages, [(i, v)], k, -0.2))
+    assert same(got, want)
+    assert got == hits(R.search_topk(p, q, min_similarity=-0.2))
+
+
+def test_threshold_leaves_k_rows_and_one_cell(spark):
+    rows = [(0, 500, i, round(1 - i / 20_000, 6)) for i in range(20_000)] + [(1, 10**6, i, 0.5) for i in range(300)]
+    left = R.cut_by_threshold(spark.createDataFrame(rows, "query_id long, k long, page_id long, sim double"))
+    kept = {r.query_id: r["count"] for r in left.groupBy("query_id").count().collect()}
+    assert 500 <= kept[0] <= 500 + 20 and kept[1] == 300
+
+
+def test_no_window_holds_a_query_with_a_large_k(spark, monkeypatch):
+    monkeypatch.setattr("pagesift.operators.search.running_totals", partial(running_totals, slice_rows=50))
+    rows = spark.range(300).select(F.lit(1).alias("query_id"), F.lit(10**6).alias("k"), F.col("id").alias("page_id"), F.lit(0.5).alias("sim"))
+    ranked = R._ranked_by_threshold(rows)
+    windows = [line for line in ranked._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Window " in line or "- Window" in line]
+    assert windows and not any("row_number" in line for line in windows)
+    assert all("_slice" in line for line in windows)
+    assert [r.page_id for r in ranked.orderBy("rk").collect()] == list(range(300))
+
+
+def test_long_responses_come_in_rank_ordered_parts(spark, tmp_path):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id long")
+    found = spark.createDataFrame([(1, rk, f"u{rk}", None, "d") for rk in range(25, 0, -1)], "query_id long, rk int, url string, title string, description string")
+    parts = R.search_response_parts(queries, found, part_rows=10)
+    got = {(r.query_id, r.part): (r.parts, [p["url"] for p in json.loads(r.response)["pages"]]) for r in parts.collect()}
+    urls = [f"u{i}" for i in range(1, 26)]
+    assert got == {(1, 0): (3, urls[:10]), (1, 1): (3, urls[10:20]), (1, 2): (3, urls[20:]), (2, 0): (1, [])}
+    R.write_response_parts(parts, str(tmp_path / "out"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [(x["query_id"], x["part"]) for x in lines] == sorted(got)
+
+
 def test_threshold_is_strict_and_edge_vectors_are_safe(spark):
     pages = spark.createDataFrame([(1, [0.3, float(np.sqrt(1 - 0.09))]), (2, [0.0, 0.0]), (3, None), (4, [2.0, 0.0]), (5, [-1.0, 0.0])], VECTORS)
     query = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, None)], QUERIES)
