@@ -8,10 +8,15 @@ How it runs
        A window met again inside the chunk is settled there, so a passage that fills a third
        of the corpus leaves one entry per chunk. What is left travels in packed blocks of one
        bucket each: 56 bits of hash, and document and start as small differences.
-    2. Each bucket (a few million windows) is sorted in one task and tells the later starts.
+    2. A chunk fills only so many buckets with blocks worth their head. Beyond ``direct`` buckets
+       (64 GB of text) windows first go to ``COARSE`` parts, each of which is read as a stream, a
+       million windows at a time: what repeats among those is settled, the rest is packed
+       again by its own bucket. So a passage that is on every document does not swell its
+       bucket, and what is shuffled for a byte of text does not grow with the corpus.
+    3. Each bucket (a few million windows) is sorted in one task and tells the later starts.
        Bucket and the 56 bits come from two different polynomials, so the number of chance
        matches per bucket stays at 10**-4 or so however many buckets there are.
-    3. Repeated starts go back to the documents, both dealt by document in small groups.
+    4. Repeated starts go back to the documents, both dealt by document in small groups.
 
 Input cases: a null or empty text has no words; a null id sorts before all ids; rows with
 equal id and text are one document with one result each; rows with equal id and different
@@ -26,6 +31,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +47,13 @@ GROUP_BYTES = 4 << 20
 CHUNK_BYTES = 5 << 20
 """Text hashed at a time."""
 
+DIRECT_BUCKETS = 8_192
+"""Buckets that a chunk is cut into at once; more are reached in two steps."""
+COARSE = 4_096
+"""Parts of the first of two steps."""
+HELD_WINDOWS = 1 << 20
+"""Windows that the second step holds at a time."""
+
 _PACKED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 _RESULT = pa.schema(
     [
@@ -81,7 +94,7 @@ def _unpack_places(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return k1, k2.astype(np.int64), count.astype(np.int64), _unsteps(count, steps)
 
 
-def _chunk(rows: list[tuple[int, int, bytes]], size: int, buckets: int, groups: int) -> Iterator[tuple[int, int, bytes]]:
+def _chunk(rows: list[tuple[int, int, bytes]], size: int, buckets: int, coarse: int, groups: int) -> Iterator[tuple[int, int, bytes]]:
     rows = sorted({(k1, k2): text for k1, k2, text in rows}.items())
     k1 = np.array([k[0] for k, _ in rows], dtype=np.int64)
     k2 = np.array([k[1] for k, _ in rows], dtype=np.int64)
@@ -101,12 +114,93 @@ def _chunk(rows: list[tuple[int, int, bytes]], size: int, buckets: int, groups:
     later[order[1:]] = key[order[1:]] == key[order[:-1]]
     yield from _removals(k1, k2, doc[inside[later]], pos[inside[later]], groups)
     left = np.flatnonzero(~later)
-    left = left[np.argsort(bucket[left].astype(np.uint16) if buckets < 1 << 16 else bucket[left], kind="stable")]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[left[1:]] != bucket[left[:-1]], [True])))
+    part = bucket % coarse
+    left = left[np.argsort(part[left].astype(np.uint16) if coarse < 1 << 16 else part[left], kind="stable")]
+    edges = np.flatnonzero(np.concatenate(([True], part[left[1:]] != part[left[:-1]], [True])))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         own = left[a:b]
-        low = key[own].view(np.uint8).reshape(-1, 8)[:, :7].reshape(-1)
-        yield 0, int(bucket[own[0]]), pack(low, *_pack_places(k1[doc[inside[own]]], k2[doc[inside[own]]], doc[inside[own]], pos[inside[own]]))
+        at = doc[inside[own]]
+        fine = [bucket[own] // coarse] if coarse < buckets else []
+        yield 0, int(part[own[0]]), pack(_low(key[own]), *fine, *_pack_places(k1[at], k2[at], at, pos[inside[own]]))
+
+
+def _low(key: np.ndarray) -> np.ndarray:
+    """The low 56 bits of each key, as bytes."""
+    return key.view(np.uint8).reshape(-1, 8)[:, :7].reshape(-1)
+
+
+def _wide(low: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(low) // 7, 8), dtype=np.uint8)
+    wide[:, :7] = low.reshape(-1, 7)
+    return wide.view(np.uint64).reshape(-1)
+
+
+def _starts(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by document: the first row of each, and the number of the document of each row."""
+    new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(k1) else np.zeros(0, dtype=bool)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _first_and_later(key: np.ndarray, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold the first start of a key, and rows that hold a later one; repeats of a first row are neither."""
+    order = np.lexsort((pos, k2, k1, key))
+    key, k1, k2, pos = key[order], k1[order], k2[order], pos[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    of = np.repeat(first, np.diff(np.concatenate((first, [len(key)]))))
+    later = (k1 != k1[of]) | (k2 != k2[of]) | (pos != pos[of])
+    return order[first], order[later]
+
+
+def _later_removals(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
+    order = np.lexsort((pos, k2, k1))
+    k1, k2, pos = k1[order], k2[order], pos[order]
+    head, doc = _starts(k1, k2)
+    return _removals(k1[head], k2[head], doc, pos, groups)
+
+
+def _regroup(blocks: list[tuple[int, list[np.ndarray]]], coarse: int, groups: int) -> Iterator[tuple[int, int, bytes]]:
+    """Blocks of coarse parts as removals, for what repeats among them, and blocks of single buckets."""
+    keys, buckets, k1s, k2s, poss = [], [], [], [], []
+    for part, (low, fine, *places) in blocks:
+        k1, k2, count, pos = _unpack_places(places)
+        keys.append(_wide(low))
+        buckets.append(fine.astype(np.int64) * coarse + part)
+        k1s.append(np.repeat(k1, count))
+        k2s.append(np.repeat(k2, count))
+        poss.append(pos)
+    key, bucket, k1, k2, pos = (np.concatenate(x) for x in (keys, buckets, k1s, k2s, poss))
+    # windows of other buckets are other windows: some bits of what differs inside a part go above the 56
+    full = key ^ ((bucket // coarse).astype(np.uint64) << np.uint64(56))
+    first, later = _first_and_later(full, k1, k2, pos)
+    yield from _later_removals(k1[later], k2[later], pos[later], groups)
+    first = first[np.lexsort((pos[first], k2[first], k1[first], bucket[first]))]
+    key, bucket, k1, k2, pos = key[first], bucket[first], k1[first], k2[first], pos[first]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        _, doc = _starts(k1[a:b], k2[a:b])
+        yield 0, int(bucket[a]), pack(_low(key[a:b]), *_pack_places(k1[a:b], k2[a:b], doc, pos[a:b]))
+
+
+def _refine(coarse: int, groups: int, held_windows: int):
+    """The second of two steps, over the stream of blocks of a part; removals pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            passed = batch.filter(pc.equal(batch.column("kind"), 1))
+            if passed.num_rows:
+                yield passed
+            for kind, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    held.append((part, unpack(data)))
+                    count += len(held[-1][1][1])
+                    if count >= held_windows:
+                        yield _packed_batch(list(_regroup(held, coarse, groups)))
+                        held, count = [], 0
+        if held:
+            yield _packed_batch(list(_regroup(held, coarse, groups)))
+
+    return run
 
 
 def _removals(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, pos: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
@@ -126,7 +220,7 @@ def _packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], schema=_PACKED)
 
 
-def _scan(size: int, buckets: int, groups: int, chunk_bytes: int):
+def _scan(size: int, buckets: int, coarse: int, groups: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
@@ -134,10 +228,10 @@ def _scan(size: int, buckets: int, groups: int, chunk_bytes: int):
                 rows.append(row)
                 held += len(row[2])
                 if held >= chunk_bytes:
-                    if out := list(_chunk(rows, size, buckets, groups)):
+                    if out := list(_chunk(rows, size, buckets, coarse, groups)):
                         yield _packed_batch(out)
                     rows, held = [], 0
-        if rows and (out := list(_chunk(rows, size, buckets, groups))):
+        if rows and (out := list(_chunk(rows, size, buckets, coarse, groups))):
             yield _packed_batch(out)
 
     return run
@@ -151,9 +245,7 @@ def _settle(groups: int):
         for data in table.column("data").to_pylist():
             low, *places = unpack(data)
             k1, k2, count, pos = _unpack_places(places)
-            wide = np.zeros((len(pos), 8), dtype=np.uint8)
-            wide[:, :7] = low.reshape(-1, 7)
-            keys.append(wide.view(np.uint64).reshape(-1))
+            keys.append(_wide(low))
             k1s.append(np.repeat(k1, count))
             k2s.append(np.repeat(k2, count))
             poss.append(pos)
@@ -161,17 +253,9 @@ def _settle(groups: int):
         order = np.argsort(key, kind="stable")
         same = key[order[1:]] == key[order[:-1]]
         met = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        key = key[met]
         k1, k2, pos = (np.concatenate(x)[met] for x in (k1s, k2s, poss))
-        order = np.lexsort((pos, k2, k1, key))
-        key, k1, k2, pos = key[order], k1[order], k2[order], pos[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
-        of = np.repeat(first, np.diff(np.concatenate((first, [len(key)]))))
-        later = np.flatnonzero((k1 != k1[of]) | (k2 != k2[of]) | (pos != pos[of]))
-        later = later[np.lexsort((pos[later], k2[later], k1[later]))]
-        k1, k2, pos = k1[later], k2[later], pos[later]
-        new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(k1) else np.zeros(0, dtype=bool)
-        out = list(_removals(k1[new], k2[new], np.cumsum(new) - 1, pos, groups))
+        _, later = _first_and_later(key[met], k1, k2, pos)
+        out = list(_later_removals(k1[later], k2[later], pos[later], groups))
         return pa.Table.from_batches([_packed_batch(out)] if out else [], schema=_PACKED)
 
     return run
@@ -209,7 +293,15 @@ def _rebuild(size: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame,
+    window: int = 20,
+    chunk_bytes: int = CHUNK_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+    group_bytes: int = GROUP_BYTES,
+    direct: int = DIRECT_BUCKETS,
+    held_windows: int = HELD_WINDOWS,
+) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_text, removed.
 
     ``removed`` holds the maximal intervals [start, end) of word numbers that go; ``kept_text``
@@ -219,7 +311,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK_
     buckets, groups = parts_for(size, bucket_bytes), parts_for(size, group_bytes)
     k1, k2 = doc_key()
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = keyed.select("k1", "k2", "text").mapInArrow(_scan(window, buckets, groups, chunk_bytes), "kind int, part int, data binary")
+    coarse = buckets if buckets <= direct else min(COARSE, direct)
+    packed = keyed.select("k1", "k2", "text").mapInArrow(_scan(window, buckets, coarse, groups, chunk_bytes), "kind int, part int, data binary")
+    if coarse < buckets:
+        packed = packed.repartition(coarse, "kind", "part").mapInArrow(_refine(coarse, groups, held_windows), "kind int, part int, data binary")
     # one scan gives both kinds: blocks of windows to settle, and windows settled on the spot
     settled = packed.groupBy("kind", "part").applyInArrow(_either(groups), "kind int, part int, data binary")
     left = keyed.withColumn("g", F.pmod(F.col("k1").bitwiseXOR(F.col("k2")), F.lit(groups)).cast("int"))

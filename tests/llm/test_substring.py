@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import pack, unpack, window_hashes, word_hashes
+from pagesift.llm import substring_dedup as S
+from pagesift.llm.common import pack, parts_for, unpack, window_hashes, word_hashes
 from pagesift.llm.substring_dedup import substring_dedup
 from tests.llm.data import DOCS, documents, word_soup
 
@@ -43,6 +44,45 @@ def test_equals_brute_force(spark):
         assert found(substring_dedup(docs, size, chunk_bytes=400, bucket_bytes=600, group_bytes=500)) == brute(rows, size)
 
 
+def test_two_steps_equal_brute_force(spark):
+    texts = [*word_soup(2, 40), *["same " * 30 + "passage"] * 10, None, "", "x " * 200]
+    docs = documents(spark, texts).repartition(5)
+    got = found(substring_dedup(docs, 5, chunk_bytes=400, bucket_bytes=400, group_bytes=2000, direct=4, held_windows=50))
+    assert got == brute(list(enumerate(texts)), 5)
+
+
+def test_shuffled_bytes_do_not_grow_with_the_corpus():
+    rng = np.random.default_rng(5)
+    buckets = parts_for(10 << 40, S.BUCKET_BYTES)
+    docs = [(i, i, " ".join(map(str, rng.integers(10**4, 10**6, 600))).encode()) for i in range(1200)]
+    text = sum(len(d[2]) for d in docs)
+    first = list(S._chunk(docs, 20, buckets, S.COARSE, 1 << 20))
+    assert sum(len(data) for _, _, data in first) < 2 * text
+    at_once = S._chunk(docs[:60], 20, buckets, buckets, 1 << 20)
+    assert sum(len(data) for _, _, data in at_once) > 8 * text / 20  # what one step would shuffle
+    # the second step, with an eighth of the windows that it holds and of the buckets of a part
+    n = S.HELD_WINDOWS // 8
+    fine = rng.integers(0, buckets // S.COARSE // 8, n)
+    doc = np.sort(rng.integers(0, 10**6, n))
+    key = rng.integers(0, 1 << 56, n).astype(np.uint64)
+    _, of = S._starts(doc, doc)
+    places = S._pack_places(doc, doc, of, np.arange(n) % 600)
+    second = list(S._regroup([(7, [S._low(key), fine, *unpack(pack(*places))])], S.COARSE, 1 << 20))
+    per_word = text / (1200 * 600)
+    assert sum(len(data) for _, _, data in second) < 2.5 * per_word * n
+    assert all(part % S.COARSE == 7 for kind, part, _ in second if kind == 0)
+
+
+def test_a_passage_on_every_document_leaves_one_entry_in_the_second_step():
+    passage = " ".join(f"p{i}" for i in range(20)).encode()
+    blocks = [(part, unpack(data)) for i in range(500) for kind, part, data in S._chunk([(i, i, passage)], 20, 1 << 20, 64, 8) if kind == 0]
+    assert len(blocks) == 500
+    out = list(S._regroup(blocks, 64, 8))
+    assert [kind for kind, _, _ in out].count(0) == 1
+    removed = [S._unpack_places(unpack(data)) for kind, _, data in out if kind == 1]
+    assert sorted(k for k1, _, _, _ in removed for k in k1.tolist()) == list(range(1, 500))
+
+
 def test_intervals_are_maximal(spark):
     text = " ".join(f"a{i}" for i in range(60))
     docs = documents(spark, [text, "start " + text + " end"])
