@@ -197,7 +197,8 @@ def search_banded(
 
     # a class is named by its smallest id, so the best k pages lie in the best k classes
     first = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "page_id")
-    hits = written(_scans(kinds, most, run, 1).withColumn("rk", F.row_number().over(first)).where(F.col("rk") <= most), "class-hits")
+    found, _ = _scans(kinds, most, run, 1)
+    hits = written(found.withColumn("rk", F.row_number().over(first)).where(F.col("rk") <= most), "class-hits")
     # and of a class only its k smallest ids can be among them
     few = Window.partitionBy("class_id").orderBy("page_id")
     hit_classes = hits.select(F.col("page_id").alias("class_id")).distinct()
