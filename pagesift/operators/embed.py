@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesift import schemas as S
+from pagesift.session import limit_batches
 
 # A loader runs at the start of each task and returns the function that embeds a list of
 # texts. What is expensive to load belongs in a cached module function, which lives as
@@ -23,22 +24,26 @@ EmbedFn = Callable[[list[str]], np.ndarray]
 EmbedLoader = Callable[[], EmbedFn]
 
 _TOKEN = re.compile(r"[^\W_]+")
-_CACHE_LIMIT = 500_000
+_CACHE_LIMIT = 100_000
+_CACHE_TOKEN = 64
+"""Longer tokens are not remembered."""
 
 
 class _TokenCodes(dict):
-    """Token to signed bucket number; bounded so that a worker's memory stays flat."""
+    """Token to signed bucket number; bounded in entries and their length, so that a worker's memory stays flat."""
 
     def __init__(self, dim: int):
         super().__init__()
         self.dim = dim
+        self.codes = list(range(2 * dim))  # one object a number, however many tokens have it
 
     def __missing__(self, token: str) -> int:
         digest = hashlib.md5(token.encode()).hexdigest()
-        code = int(digest[:8], 16) % self.dim * 2 + int(digest[8], 16) % 2
-        if len(self) >= _CACHE_LIMIT:
-            self.clear()
-        self[token] = code
+        code = self.codes[int(digest[:8], 16) % self.dim * 2 + int(digest[8], 16) % 2]
+        if len(token) <= _CACHE_TOKEN:
+            if len(self) >= _CACHE_LIMIT:
+                self.clear()
+            self[token] = code
         return code
 
 
@@ -132,6 +137,7 @@ def embed_texts(
     model call ever holds more than that. A chunk the model fails on fails the task. Chunks do
     not cross tasks.
     """
+    limit_batches(df.sparkSession)
     loader = loader or hash_embedder()
     src = df.select(*keep, F.col(text).alias("_text"), *([F.col(old).cast("array<double>" if unit else "array<float>").alias("_old")] if old else []))
     cell, arrow_cell, numpy_cell = (T.DoubleType(), pa.float64(), np.float64) if unit else (T.FloatType(), pa.float32(), np.float32)

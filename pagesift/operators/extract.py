@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagesift.functions.html import find_hrefs, parse_html
 from pagesift.functions.urls import base_path, base_root, canonical_url, hostname, resolve_hrefs
+from pagesift.session import limit_batches
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "timestamp_ntz": pa.timestamp("us")}
 _TYPES = {pa.string(): T.StringType(), pa.list_(pa.string()): T.ArrayType(T.StringType())}
@@ -19,7 +20,11 @@ _HREFS = pa.field("hrefs", pa.list_(pa.string()))
 
 
 def _map_bodies(corpus: DataFrame, body: str, fields: list[pa.Field], values: Callable[[str], tuple]) -> DataFrame:
-    """Replace the body column by ``fields`` computed from it, one body at a time."""
+    """Replace the body column by ``fields`` computed from it, one body at a time.
+
+    What is held is one small batch of bodies and what was found in them.
+    """
+    limit_batches(corpus.sparkSession)
     kept = [f for f in corpus.schema.fields if f.name != body]
     names = [f.name for f in kept]
     arrow_schema = pa.schema([pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in kept] + fields)

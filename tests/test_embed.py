@@ -3,12 +3,14 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagesift import schemas as S
 from pagesift.functions.text import page_text
-from pagesift.operators.embed import ByteBudget, assign_chunks, embed_texts, hash_embedder
+from pagesift.operators.embed import ByteBudget, _TokenCodes, assign_chunks, embed_texts, hash_embedder
+from pagesift.operators.extract import assemble_pages
 from pagesift.plans.indexing import index_pass
 
 
@@ -128,3 +130,21 @@ def test_index_pass(spark):
     assert (got["E"].vector, got["E"].can_be_vectorized) == (None, True)
     again = {r.url: r for r in index_pass(once, hash_embedder(8), limit=50).collect()}
     assert again == got
+
+
+def test_workers_are_handed_small_batches_and_remember_little(spark):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    rows = spark.range(0, 5_000, numPartitions=1).selectExpr("id AS page_id", "concat('https://h.example/', id) AS url", "concat('<p>', repeat('word ', 1000)) AS html")
+    for made in (assemble_pages(rows), embed_texts(rows, ["page_id", "html"], "html")):
+        handed = made.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+        assert sum(r.rows for r in handed) == 5_000
+        assert max(r.rows for r in handed) <= 2_000 and max(r.bytes for r in handed) < 8 << 20
+    codes = _TokenCodes(8)
+    assert codes["x" * 10_000] in range(16) and not codes
+    assert codes["word"] in range(16) and list(codes) == ["word"]
