@@ -118,8 +118,8 @@ def _cuts(keyed: DataFrame, slice_rows: int) -> tuple[DataFrame | None, int]:
     return written(found.select(F.filter("keys", lambda _, i: (i > 0) & (i % step == 0)).alias("cuts")), "cuts"), slices
 
 
-def _keyed(rows: DataFrame, order: tuple[str, str], label: str | None, slice_rows: int) -> DataFrame:
-    """With ``_label``, which is never NULL, and ``_slice``: how many cut points lie at or before the row.
+def _keyed(rows: DataFrame, order: tuple[str, str], label: str | None, slice_rows: int) -> tuple[DataFrame, int]:
+    """With ``_label``, which is never NULL, and ``_slice``: how many cut points lie at or before the row. Also how many slices there are.
 
     A missing label or time is a key like any other. Plain equality of such keys lets a window and a
     join on them share one shuffle. Looking up is a binary search, a column a step.
@@ -129,14 +129,14 @@ def _keyed(rows: DataFrame, order: tuple[str, str], label: str | None, slice_row
     key = F.struct(F.col("_label"), F.col(ts).alias("at"), F.col(tie).alias("tie"))
     cuts, slices = _cuts(rows.select(key.alias("_key")), slice_rows)
     if cuts is None:
-        return rows.withColumn("_slice", F.lit(0))
+        return rows.withColumn("_slice", F.lit(0)), slices
     points = cuts.scalar()
     rows = rows.withColumn("_slice", F.lit(0))
     for step in (1 << b for b in range((2 * slices).bit_length(), -1, -1)):
         at = F.col("_slice")
         there = (at + step <= F.size(points)) & (key >= F.get(points, at + (step - 1)))
         rows = rows.withColumn("_slice", at + F.when(there, step).otherwise(0))
-    return rows
+    return rows, slices
 
 
 def counter_deltas(
@@ -149,7 +149,7 @@ def counter_deltas(
     about ``slice_rows`` rows, however these are spread over labels and time.
     """
     ts, tie = order
-    sliced = _keyed(snapshots, order, label, slice_rows)
+    sliced, _ = _keyed(snapshots, order, label, slice_rows)
     within = Window.partitionBy("_label", "_slice").orderBy(ts, tie)
     ends = sliced.groupBy("_label", "_slice").agg(F.max(F.struct(ts, tie, value))[value].alias("_end"))
     carried = ends.withColumn("_carry", F.lag("_end", 1, 0.0).over(Window.partitionBy("_label").orderBy("_slice")))
@@ -173,12 +173,15 @@ def running_totals(
     one label, time and tie cannot be told apart and stay together.
     """
     ts, tie = order
-    sliced = _keyed(events.withColumn("_amount", amount), order, label, slice_rows)
+    sliced, slices = _keyed(events.withColumn("_amount", amount), order, label, slice_rows)
     within = Window.partitionBy("_label", "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     sums = sliced.groupBy("_label", "_slice").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy("_label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_label", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     local = sliced.withColumn("_local", F.sum("_amount").over(within))
+    if slices == 1:  # nothing to stitch; without a label the join would have no key either
+        nothing = F.lit(0).cast(offsets.schema["_offset"].dataType)
+        return local.select(*events.columns, (F.col("_local") + nothing).alias(name))
     joined = local.join(offsets, ["_label", "_slice"])
     return joined.select(*events.columns, (F.col("_local") + F.col("_offset")).alias(name))
 
