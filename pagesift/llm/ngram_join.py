@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import NO_ID, as_bytes, counter_bytes, doc_key, mix, window_hashes, word_hashes
+from pagesift.llm.common import NO_ID, as_bytes, counter_bytes, doc_key, forget, mix, window_hashes, word_hashes
 from pagesift.llm.components import components
 from pagesift.session import written
 
@@ -116,6 +116,7 @@ def _index(shared, size: int, num: int, den: int):
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranges", pa.binary()), *((b, pa.int64()) for b in BITMAP)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         classes = np.frombuffer(shared.value, dtype=np.uint8)
         for batch, texts in _text_batches(batches, 3):
             ns, f1, f2, prefixes, ranges, bitmaps = [], [], [], [], [], []
@@ -141,6 +142,7 @@ def _sets(shared, size: int):
     """Sets of the flagged documents, which hold all that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         flags = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             spots = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - WANTED_BITS)

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import doc_key
+from pagesift.llm.common import doc_key, forget
 from pagesift.session import written
 
 RISK = 0.02
@@ -127,6 +127,7 @@ def measure(text: str, lexicon: frozenset[str]) -> tuple:
 
 def _measured(at: int, stratum_at: int, lexicons: dict[str | None, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             strata = batch.column(stratum_at).to_pylist()
             rows = [measure(t or "", lexicons.get(s, lexicons[None])) for s, t in zip(strata, batch.column(at).to_pylist(), strict=True)]
@@ -160,6 +161,7 @@ def toxic_lexicons(docs: DataFrame, labels: DataFrame, rows: int = LEXICON_ROWS)
     schema = pa.schema([("pool", pa.bool_()), ("stratum", pa.string()), ("word", pa.string()), ("bad", pa.bool_()), ("n", pa.int64())])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts: dict[tuple[str | None, bool], Counter] = {}
         for batch in batches:
             for stratum, bad, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesift.llm.common import keep
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEPARATOR = "▁"
 CACHE_BYTES = 64 << 20
@@ -197,15 +199,9 @@ class Codec:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-_BUILT: dict[str, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """The worker's codec of a broadcast vocabulary."""
-    if shared.id not in _BUILT:
-        _BUILT.clear()
-        _BUILT[shared.id] = Codec(shared.value)
-    return _BUILT[shared.id]
+    return keep(shared.id, lambda: Codec(shared.value))
 
 
 class _Shared:

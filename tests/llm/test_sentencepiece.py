@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagesift.llm import common, quality_rules
+from pagesift.llm.common import keep
 from pagesift.llm.sentencepiece_codec import SEPARATOR, Codec, decode, encode, read_pieces
 from tests.llm.data import DOCS, documents
 
@@ -96,3 +98,12 @@ def test_long_segments_are_not_remembered():
     text = " ".join("a" * n for n in range(1, 200))
     assert codec.decode(codec.encode(text).tolist()) == text
     assert max(map(len, codec.spaced)) <= 64 and codec.encode(text).tolist() == Codec(read_pieces()).encode(text).tolist()
+
+
+def test_a_worker_keeps_one_codec_and_forgets_it():
+    built = []
+    for name in ("a", "a", "b"):
+        keep(name, lambda: built.append(name) or Codec([]))
+    assert built == ["a", "b"] and list(common._KEPT) == ["b"]
+    list(quality_rules._measured(0, 0, {None: frozenset()})(iter(())))
+    assert not common._KEPT
