@@ -118,7 +118,7 @@ def _cuts(keyed: DataFrame, slice_rows: int) -> tuple[DataFrame | None, int]:
     return written(found.select(F.filter("keys", lambda _, i: (i > 0) & (i % step == 0)).alias("cuts")), "cuts"), slices
 
 
-def _keyed(rows: DataFrame, order: tuple[str, str], label: str | None, slice_rows: int) -> tuple[DataFrame, int]:
+def _sliced(rows: DataFrame, order: tuple[str, str], label: str | None, slice_rows: int) -> tuple[DataFrame, int]:
     """With ``_label``, which is never NULL, and ``_slice``: how many cut points lie at or before the row. Also how many slices there are.
 
     A missing label or time is a key like any other. Plain equality of such keys lets a window and a
@@ -139,6 +139,10 @@ def _keyed(rows: DataFrame, order: tuple[str, str], label: str | None, slice_row
     return rows, slices
 
 
+def _keyed(rows: DataFrame, order: tuple[str, str], label: str | None, slice_rows: int) -> DataFrame:
+    return _sliced(rows, order, label, slice_rows)[0]
+
+
 def counter_deltas(
     snapshots: DataFrame, label: str, value: str = "total", order: tuple[str, str] = ("ts", "event_id"), slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
@@ -149,7 +153,7 @@ def counter_deltas(
     about ``slice_rows`` rows, however these are spread over labels and time.
     """
     ts, tie = order
-    sliced, _ = _keyed(snapshots, order, label, slice_rows)
+    sliced = _keyed(snapshots, order, label, slice_rows)
     within = Window.partitionBy("_label", "_slice").orderBy(ts, tie)
     ends = sliced.groupBy("_label", "_slice").agg(F.max(F.struct(ts, tie, value))[value].alias("_end"))
     carried = ends.withColumn("_carry", F.lag("_end", 1, 0.0).over(Window.partitionBy("_label").orderBy("_slice")))
@@ -173,7 +177,7 @@ def running_totals(
     one label, time and tie cannot be told apart and stay together.
     """
     ts, tie = order
-    sliced, slices = _keyed(events.withColumn("_amount", amount), order, label, slice_rows)
+    sliced, slices = _sliced(events.withColumn("_amount", amount), order, label, slice_rows)
     within = Window.partitionBy("_label", "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     sums = sliced.groupBy("_label", "_slice").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy("_label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
